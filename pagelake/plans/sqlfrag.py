@@ -127,9 +127,10 @@ scrape_results AS (
          CASE WHEN a.status = 'success' THEN x.content_length END AS content_length,
          CASE WHEN a.status = 'success' THEN len(x.links) ELSE 0 END AS links_count,
          CASE WHEN a.status = 'success' THEN len(x.images) ELSE 0 END AS images_count,
-         CASE WHEN a.status = 'success' THEN x.title END AS _title_for_data,
-         CASE WHEN a.status = 'success' THEN x.meta_description END AS _meta_for_data,
-         CASE WHEN a.status = 'success' THEN x.headings ELSE [] END AS _headings_for_data,
+         CASE WHEN a.status = 'success' THEN '{{' || concat_ws(',',
+              CASE WHEN x.title IS NOT NULL THEN '"title":' || CAST(to_json(x.title) AS VARCHAR) END,
+              CASE WHEN x.meta_description IS NOT NULL THEN '"meta_description":' || CAST(to_json(x.meta_description) AS VARCHAR) END,
+              '"headings":' || CAST(to_json(x.headings) AS VARCHAR)) || '}}' ELSE '{{}}' END AS data_json,
          CASE WHEN a.status = 'success' THEN x.links ELSE [] END AS links,
          CASE WHEN a.status = 'success' THEN x.images ELSE [] END AS images,
          CASE WHEN a.status <> 'success' THEN 'HTTP ' || CAST(a.status_code AS VARCHAR) END AS error_message,
