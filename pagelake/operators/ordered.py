@@ -241,11 +241,11 @@ def health_walk(
     """Proxy health after each attempt (+0.01 ok, −0.05 fail, in [0, 1])
     and the running success rate.
 
-    Exact on integer hundredths across segments (clamp maps compose); inside
-    a segment the double fold runs in the reference's operation order, so
-    values are bit-equal to a sequential fold whenever the segment starts at
-    a clamp (health exactly 1.0 or 0.0) or at the key's first attempt; after
-    a non-clamped segment boundary they may differ by an ulp (SURVEY W2).
+    Bit-equal to the sequential double fold (Q34: ten failures from 1.0 give
+    0.4999999999999996, which is rate-limited).  Segment starts are first
+    found exactly on integer hundredths (clamp maps compose associatively),
+    then turned into exact doubles by folding only the steps between a
+    segment start and its first strict clamp.
     """
     import pandas as pd
 
@@ -279,9 +279,51 @@ def health_walk(
     carry = _map_groups(summ, [key], ["_bucket"], chain, f"{key} {key_type}, _bucket long, start long, n0 long, f0 long")
     joined = b.join(carry, [key, "_bucket"], "inner")
 
+    # Exact doubles: given the exact integer start of a bucket, the double
+    # walk is start-independent from the first strict clamp on (the value is
+    # then exactly 1.0 or 0.0).  Each bucket reports the steps before that
+    # clamp and the double it ends with after it; a chain over the buckets of
+    # one key folds only those prefixes to get every bucket's exact start.
+    def tails(g):
+        x = int(g["start"][0])
+        ops, end, reset = [], float("nan"), False
+        for o in g[ok_col]:
+            y = x + (HEALTH_UP if o else HEALTH_DOWN)
+            if y > HEALTH_HI or y < HEALTH_LO:
+                reset = True
+                x = HEALTH_HI if y > HEALTH_HI else HEALTH_LO
+                end = 1.0 if x == HEALTH_HI else 0.0
+                continue
+            x = y
+            if reset:
+                end = min(1.0, end + 0.01) if o else max(0.0, end - 0.05)
+            else:
+                ops.append("u" if o else "d")
+        return {key: [g[key][0]], "_bucket": [int(g["_bucket"][0])], "ops": ["".join(ops)], "end": [end],
+                "reset": [reset]}
+
+    tail = _map_groups(
+        joined, [key, "_bucket"], [ts, tiebreak], tails,
+        f"{key} {key_type}, _bucket long, ops string, end double, reset boolean",
+    )
+
+    def chain_double(g):
+        x = 1.0
+        starts = []
+        for ops, end, reset in zip(g["ops"], g["end"], g["reset"]):
+            starts.append(x)
+            if reset:
+                x = float(end)
+            else:
+                for c in ops:
+                    x = min(1.0, x + 0.01) if c == "u" else max(0.0, x - 0.05)
+        return {key: g[key], "_bucket": g["_bucket"], "x0": starts}
+
+    dcarry = _map_groups(tail, [key], ["_bucket"], chain_double, f"{key} {key_type}, _bucket long, x0 double")
+    joined = joined.join(dcarry, [key, "_bucket"], "inner")
+
     def walk(g):
-        start = int(g["start"][0])
-        x = 1.0 if start == HEALTH_HI else (0.0 if start == HEALTH_LO else start / 100.0)
+        x = float(g["x0"][0])
         total, failed = int(g["n0"][0]), int(g["f0"][0])
         hs, rs = [], []
         for o in g[ok_col]:

@@ -25,7 +25,7 @@ ORDERED = """o AS (SELECT *, status = 'success' AS ok,
   row_number() OVER (PARTITION BY {key} ORDER BY ts, attempt_id) AS rn,
   epoch_us(ts) / 1e6 AS t FROM attempts)"""
 
-WALK_SQL = (
+WALK_CTE = (
     "WITH RECURSIVE "
     + Q.attempts_cte()
     + ",\n"
@@ -43,9 +43,9 @@ walk AS (
               ELSE greatest(CAST(0.0 AS DOUBLE), w.h - CAST(0.05 AS DOUBLE)) END,
          w.total + 1, w.failed + CASE WHEN o.ok THEN 0 ELSE 1 END
   FROM walk w JOIN o ON o.proxy_id = w.proxy_id AND o.rn = w.rn + 1
+)"""
 )
-SELECT proxy_id, attempt_id, h AS health_score, round((total - failed) / total, 12) AS success_rate FROM walk"""
-)
+WALK_SQL = WALK_CTE + "\nSELECT proxy_id, attempt_id, h AS health_score, round((total - failed) / total, 12) AS success_rate FROM walk"
 
 
 @query("w2_health_walk", WALK_SQL)
@@ -205,3 +205,189 @@ def x32_retry(spark, sf_dir):
     """Retry-gap analysis per request (attempt number, expected vs actual gap)."""
     g = R.retry_gaps(_attempts(spark, sf_dir))
     return g.withColumn("actual_gap_s", F.round("actual_gap_s", 6))
+
+
+PROXIES_CTE = (
+    WALK_CTE
+    + """,
+proxies AS (
+  SELECT u.proxy_id, u.proxy_id || '.example.net' AS host, n.n_name AS country,
+         coalesce(r.r_name, 'default') AS pool_name, u.total_requests, u.failed_requests, u.last_used,
+         l.h AS health_score, l.sr AS success_rate,
+         CASE WHEN l.h < 0.3 THEN 'blocked' WHEN l.h < 0.5 THEN 'rate_limited' ELSE 'active' END AS status
+  FROM (SELECT proxy_id, user_id, count(*) AS total_requests, count(*) FILTER (WHERE status <> 'success') AS failed_requests,
+               max(ts) AS last_used FROM attempts GROUP BY proxy_id, user_id) u
+  JOIN (SELECT proxy_id, h, (total - failed) / total AS sr FROM walk
+        QUALIFY row_number() OVER (PARTITION BY proxy_id ORDER BY rn DESC) = 1) l USING (proxy_id)
+  LEFT JOIN customer c ON c.c_custkey = u.user_id
+  LEFT JOIN nation n ON n.n_nationkey = c.c_nationkey
+  LEFT JOIN region r ON r.r_regionkey = n.n_regionkey
+)"""
+)
+
+
+@query(
+    "w12_health_rank",
+    PROXIES_CTE
+    + """
+SELECT proxy_id, pool_name, round(health_score * 0.7 + success_rate * 0.3, 9) AS score,
+       row_number() OVER (PARTITION BY pool_name ORDER BY health_score * 0.7 + success_rate * 0.3 DESC, proxy_id) AS rank
+FROM proxies""",
+)
+def w12_rank(spark, sf_dir):
+    """Health-based proxy choice rank per pool (0.7·health + 0.3·rate)."""
+    r = R.health_rank(_proxies(spark, sf_dir))
+    return r.select("proxy_id", "pool_name", F.round("score", 9).alias("score"), "rank")
+
+
+@query(
+    "w13_least_used",
+    PROXIES_CTE
+    + "\nSELECT proxy_id, pool_name, total_requests FROM proxies "
+    "QUALIFY total_requests = min(total_requests) OVER (PARTITION BY pool_name)",
+)
+def w13_least(spark, sf_dir):
+    """Least-used proxies per pool (all ties are candidates)."""
+    return R.least_used(_proxies(spark, sf_dir)).select("proxy_id", "pool_name", "total_requests")
+
+
+@query(
+    "w14_a24_geographic",
+    PROXIES_CTE
+    + """, cc AS (SELECT pool_name, coalesce(country, 'unknown') AS c, count(*) AS country_count FROM proxies GROUP BY 1, 2
+        QUALIFY country_count = min(country_count) OVER (PARTITION BY pool_name))
+SELECT p.proxy_id, p.pool_name, p.country, cc.country_count FROM proxies p
+JOIN cc ON cc.pool_name = p.pool_name AND cc.c = coalesce(p.country, 'unknown')""",
+)
+def w14_geo(spark, sf_dir):
+    """W14 + A24: proxies in the least common country of their pool."""
+    g = R.geographic_candidates(_proxies(spark, sf_dir))
+    return g.select("proxy_id", "pool_name", "country", "country_count")
+
+
+@query(
+    "a21_pool_status",
+    PROXIES_CTE
+    + """
+SELECT pool_name, count(*) AS total, count(*) FILTER (WHERE status = 'active') AS active,
+       count(*) FILTER (WHERE status = 'blocked') AS blocked, count(*) FILTER (WHERE status = 'failed') AS failed,
+       count(*) FILTER (WHERE status = 'rate_limited') AS rate_limited
+FROM proxies GROUP BY pool_name""",
+)
+def a21_pools(spark, sf_dir):
+    """Pool status counts from the proxies' final health."""
+    return R.pool_status(_proxies(spark, sf_dir))
+
+
+@query(
+    "a22_a23_proxy_usage",
+    PROXIES_CTE
+    + """
+SELECT proxy_id, total_requests, failed_requests, last_used,
+       round((total_requests - failed_requests) / total_requests, 9) AS success_rate,
+       health_score, status
+FROM proxies""",
+)
+def a22_usage(spark, sf_dir):
+    """A22 + A23 + X28: per-proxy usage, success rate, final health and status."""
+    p = _proxies(spark, sf_dir)
+    return p.select(
+        "proxy_id",
+        "total_requests",
+        "failed_requests",
+        "last_used",
+        F.round((F.col("total_requests") - F.col("failed_requests")) / F.col("total_requests"), 9).alias("success_rate"),
+        "health_score",
+        "status",
+    )
+
+
+@query(
+    "x28_status_rules",
+    PROXIES_CTE
+    + """
+SELECT proxy_id, status AS status_per_result,
+       CASE WHEN health_score < 0.2 THEN 'blocked' WHEN health_score < 0.4 THEN 'rate_limited' ELSE 'active' END AS status_sweep,
+       proxy_id || '.example.net:8080:http' AS proxy_key, 'http://' || proxy_id || '.example.net:8080' AS proxy_url
+FROM proxies""",
+)
+def x28_rules(spark, sf_dir):
+    """X28 + X29: both status rules (per result / periodic sweep), proxy id and URL."""
+    from pagelake.functions import scoring as S
+
+    p = _proxies(spark, sf_dir)
+    return p.select(
+        "proxy_id",
+        F.col("status").alias("status_per_result"),
+        S.proxy_status(F.col("health_score"), "sweep").alias("status_sweep"),
+        S.proxy_id(F.col("host"), F.col("port"), F.col("proxy_type")).alias("proxy_key"),
+        S.proxy_url(F.col("proxy_type"), F.col("host"), F.col("port")).alias("proxy_url"),
+    )
+
+
+@query(
+    "f15_active_in_country",
+    PROXIES_CTE + "\nSELECT proxy_id, country FROM proxies WHERE status = 'active' AND lower(country) = lower('nation_3')",
+)
+def f15_country(spark, sf_dir):
+    """active proxies of a country, case-insensitive ('nation_3')."""
+    return R.active_in_country(_proxies(spark, sf_dir), "nation_3").select("proxy_id", "country")
+
+
+@query(
+    "a26_vpn_rotation",
+    Q.with_attempts(
+        """, s AS (SELECT proxy_id, attempt_id, ts,
+    sum(CASE WHEN status <> 'success' THEN 1 ELSE -1 END) OVER w AS s_rf
+  FROM attempts WINDOW w AS (PARTITION BY proxy_id ORDER BY ts, attempt_id ROWS UNBOUNDED PRECEDING)),
+c AS (SELECT proxy_id, ts, attempt_id, s_rf - least(0, min(s_rf) OVER (PARTITION BY proxy_id ORDER BY ts, attempt_id
+        ROWS UNBOUNDED PRECEDING)) AS rf FROM s)
+SELECT CAST(sum(rf) AS BIGINT) AS recent_failures_total, sum(rf) >= 3 AS rotate_vpn FROM (
+  SELECT proxy_id, rf FROM c QUALIFY row_number() OVER (PARTITION BY proxy_id ORDER BY ts DESC, attempt_id DESC) = 1)"""
+    ),
+)
+def a26_vpn(spark, sf_dir):
+    """Sum of the proxies' latest recent-failure counters against the threshold 3."""
+    c = O.zero_floored_counters(_attempts(spark, sf_dir))
+    return R.vpn_rotation_flag(c)
+
+
+SERVERS_SQL = """servers AS (
+  SELECT s_name AS name, n.n_name AS country, coalesce(CAST(s_acctbal - 100.0 * floor(s_acctbal / 100.0) AS DOUBLE), 0.0) AS load,
+         coalesce(CAST(s_suppkey % 250 AS DOUBLE), 0.0) AS latency
+  FROM supplier s LEFT JOIN nation n ON n.n_nationkey = s.s_nationkey)"""
+
+
+@query(
+    "w15_best_servers",
+    "WITH "
+    + SERVERS_SQL
+    + """
+SELECT name, country, round(load, 6) AS load, latency,
+       row_number() OVER (PARTITION BY country ORDER BY load, latency, name) AS country_rank,
+       round(1 - load / 100, 6) AS server_health
+FROM servers""",
+)
+def w15_servers(spark, sf_dir):
+    """S8 + W15 + X35: servers from suppliers ranked per country by load, latency."""
+    sv = R.servers_from(tables.read(spark, sf_dir, "supplier"), tables.read(spark, sf_dir, "nation"))
+    b = R.best_servers(sv)
+    return b.select(
+        "name", "country", F.round("load", 6).alias("load"), "latency", "country_rank", F.round("server_health", 6).alias("server_health")
+    )
+
+
+@query(
+    "j11_next_server",
+    "WITH "
+    + SERVERS_SQL
+    + """
+SELECT name, country FROM servers
+WHERE name NOT IN (SELECT name FROM servers ORDER BY load, latency, name LIMIT 1)
+ORDER BY load, latency, name LIMIT 1""",
+)
+def j11_next(spark, sf_dir):
+    """J11 + W15: best server other than the current (best) one, via anti join."""
+    sv = R.servers_from(tables.read(spark, sf_dir, "supplier"), tables.read(spark, sf_dir, "nation"))
+    current = sv.orderBy("load", "latency", "name").limit(1)
+    return R.next_server(sv, current).select("name", "country")
