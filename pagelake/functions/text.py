@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pagelake.functions.html import WS_RE, strip, word_count  # noqa: F401  (re-exported)
 
 # Fixed patterns.
-NOT_WORD_PUNCT_RE = r"(?U)[^\w\s.,!?\-]"
+NOT_WORD_PUNCT_RE = r"[^\p{L}\p{N}_\s.,!?\-]"
 PRICE_KEEP_RE = r"[^\d.,]"
 NUMBER_RE = r"\d+(?:\.\d+)?"
 REPEATED_PUNCT = ["!", ".", ",", "?"]
@@ -22,7 +22,7 @@ def clean_text(text) -> Column:
     """Collapse whitespace, keep word chars and ``.,!?-``, collapse runs of
     the same punctuation mark; NULL/empty → ''.
 
-    ``\\w`` is Unicode here, as in Python.  The back-reference form
+    ``\\w`` is Unicode here, as in Python (letters, numbers, underscore).  The back-reference form
     ``([.,!?])\\1+`` is written as one pass per mark, which is the same function.
     """
     t = _col(text)
