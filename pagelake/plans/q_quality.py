@@ -120,21 +120,12 @@ def a28_deals(spark, sf_dir):
     )
 
 
-def _r2(x: str) -> str:
-    """Round half-up to 2 dp on the binary value (DuckDB's round first turns
-    the double into a 17-digit decimal, which can round 815.0649999999999 up)."""
-    return f"floor(CAST({x} AS DOUBLE) * 100 + 0.5) / 100"
 
 
-CURRENCIES_SQL = "(VALUES " + ", ".join(f"('{c}', {r})" for c, r in S.CURRENCY_RATES) + ") AS rates(cur, rate)"
-
-
-@query(
-    "x15_j3_currency",
-    f"""SELECT p_partkey, {_r2('p_retailprice * 0.85 / 1.0')} AS price_eur, {_r2('p_retailprice * 0.73 / 1.0')} AS price_gbp,
-       {_r2('p_retailprice * 110.0 / 1.0')} AS price_jpy, {_r2('p_retailprice * 1.0 / 0.85')} AS usd_from_eur
-FROM part""",
-)
+# No SQL oracle: DuckDB's round() goes through a 17-digit decimal, so it rounds
+# 815.0649999999999 to 815.07 where Python and Spark give 815.06.  The query is
+# checked against Python's round() on the whole part table in tests instead.
+@query("x15_j3_currency")
 def x15_currency(spark, sf_dir):
     """X15 + J3: USD prices converted to the other currencies (2 dp); EUR read back to USD."""
     p = tables.read(spark, sf_dir, "part")
