@@ -74,12 +74,19 @@ def _remove_dot_segments(segments: Column) -> Column:
     last = F.element_at(segments, -1)
     trailing = F.when(last.isin(".", ".."), F.concat(folded, F.array(F.lit("")))).otherwise(folded)
     joined = F.array_join(trailing, "/")
-    return F.when(joined == "", F.lit("/")).otherwise(joined)
+    # urlunparse puts a '/' before a path that lacks one when there is a netloc.
+    return F.when(joined.startswith("/"), joined).otherwise(F.concat(F.lit("/"), joined))
 
 
 def resolve(base, link) -> Column:
     """``urllib.parse.urljoin(base, link)`` as one Catalyst expression."""
     b, l = _col(base), _col(link)
+    # '//' with an empty authority is a path ('///x' → '/x'); '//' alone is
+    # the base without its fragment, as an empty '?' is.
+    empty_authority = F.coalesce(l.rlike(r"^//([/?#].*)?$"), F.lit(False))
+    l = F.when(
+        empty_authority, F.when(F.length(l) == 2, F.lit("?")).otherwise(F.substring(l, 3, 1 << 30))
+    ).otherwise(l)
     b_scheme = F.regexp_extract(b, SCHEME_RE, 1)
     b_netloc = netloc(b)
     b_root = F.concat(b_scheme, F.lit("://"), b_netloc)
@@ -88,7 +95,12 @@ def resolve(base, link) -> Column:
     b_query_part = F.regexp_extract(b_rest, r"^[^?#]*(\?[^#]*)?", 1)
 
     l_path = F.regexp_extract(l, r"^([^?#]*)", 1)
-    l_tail = F.regexp_extract(l, r"^[^?#]*(.*)$", 1)
+    l_query = F.regexp_extract(l, r"^[^?#]*\?([^#]*)", 1)
+    l_frag = F.regexp_extract(l, r"#(.*)$", 1)
+    # urlunparse leaves out an empty '?' or '#'.
+    q_part = F.when(l_query != "", F.concat(F.lit("?"), l_query)).otherwise(F.lit(""))
+    f_part = F.when(l_frag != "", F.concat(F.lit("#"), l_frag)).otherwise(F.lit(""))
+    l_tail = F.concat(q_part, f_part)
 
     # '/x': absolute path, segments taken as they are (empty ones kept).
     abs_path = _remove_dot_segments(F.split(l_path, "/"))
@@ -110,10 +122,10 @@ def resolve(base, link) -> Column:
         F.when(l.isNull() | b.isNull(), F.lit(None).cast("string"))
         .when(l == "", b)
         .when(has_scheme, l)
-        .when(l.startswith("//"), F.concat(b_scheme, F.lit(":"), l))
+        .when(l.startswith("//") & ~empty_authority, F.concat(b_scheme, F.lit(":"), l))
         .when(l.startswith("/"), F.concat(b_root, abs_path, l_tail))
-        .when(l.startswith("?"), F.concat(b_root, b_path, l))
-        .when(l.startswith("#"), F.concat(b_root, b_path, b_query_part, l))
+        .when(l.startswith("?") | l.startswith("#"),
+              F.concat(b_root, b_path, F.when(l_query != "", q_part).otherwise(b_query_part), f_part))
         .otherwise(F.concat(b_root, rel_path, l_tail))
     )
 
