@@ -95,6 +95,13 @@ def flatten_json_columns(results: DataFrame, json_cols: list[str], max_keys: int
     return out
 
 
+def json_fields(df: DataFrame, json_col: str, id_col: str = "id") -> DataFrame:
+    """U1 long form: one ``(id, key, value)`` row per top-level key of a JSON
+    object column; nested values stay JSON text, bad JSON gives no rows."""
+    kv = F.from_json(F.col(json_col), "map<string, string>")
+    return df.select(id_col, F.explode(kv).alias("key", "value"))
+
+
 def export_csv(df: DataFrame, path: str) -> None:
     """CSV with a header; array/map columns as JSON text."""
     cols = [
