@@ -339,6 +339,27 @@ def health_walk(
     return _map_groups(joined, [key, "_bucket"], [ts, tiebreak], walk, out_schema)
 
 
+def breaker_step(state, ok, t):
+    """One attempt through the breaker (also used by the streaming twin).
+
+    ``state`` is ``('c', failures)`` or ``('o', last_failure_epoch_s)``;
+    returns ``(new_state, allowed)``.
+    """
+    if state[0] == "c":
+        if ok:
+            return ("c", 0), True
+        k = state[1] + 1
+        return (("o", t) if k >= BREAKER_THRESHOLD else ("c", k)), True
+    if t - state[1] > BREAKER_RECOVERY_S:
+        return (("c", 0) if ok else ("o", t)), True
+    return state, False
+
+
+def health_step(x: float, ok: bool) -> float:
+    """One attempt of the health walk on the double value (streaming twin)."""
+    return min(1.0, x + 0.01) if ok else max(0.0, x - 0.05)
+
+
 def breaker_replay(
     attempts: DataFrame, key: str = "method", ts: str = "ts", tiebreak: str = "attempt_id", ok_col: str = "ok",
     width_s: int = DEFAULT_BUCKET_SECONDS,
@@ -365,16 +386,7 @@ def breaker_replay(
     def secs(arr):
         return (np.asarray(arr).astype("datetime64[us]").astype("int64") / 1e6).tolist()
 
-    def step(state, ok, t):
-        """state = ('c', k) | ('o', t_fail); returns (new_state, allowed)."""
-        if state[0] == "c":
-            if ok:
-                return ("c", 0), True
-            k = state[1] + 1
-            return (("o", t) if k >= BREAKER_THRESHOLD else ("c", k)), True
-        if t - state[1] > BREAKER_RECOVERY_S:
-            return (("c", 0) if ok else ("o", t)), True
-        return state, False
+    step = breaker_step
 
     def run(state, oks, times):
         for ok, t in zip(oks, times):

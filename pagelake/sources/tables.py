@@ -91,13 +91,13 @@ def extracted_basic(pages_df: DataFrame) -> DataFrame:
     )
 
 
-def scrape_results_from(attempts_df: DataFrame, pages_df: DataFrame) -> DataFrame:
+def scrape_results_from(attempts_df: DataFrame, pages_df: DataFrame, extracted: DataFrame | None = None) -> DataFrame:
     """The stored-result table: one row per attempt (K2 schema).
 
     Failed attempts keep no extraction: title/content_length NULL, counts 0,
     ``error_message = 'HTTP <code>'``, as the failure record of one method.
     """
-    ex = extracted_basic(pages_df)
+    ex = extracted if extracted is not None else extracted_basic(pages_df)
     j = attempts_df.join(ex, "page_id", "left")
     ok = F.col("status") == "success"
     data_json = F.to_json(F.struct(F.col("title"), F.col("meta_description"), F.col("headings")))
