@@ -118,11 +118,12 @@ def listings(df: DataFrame, key: str, arrays: dict[str, str], driver: str) -> Da
     return e.select(key, "pos", *[F.get(F.col(src), F.col("pos")).alias(name) for name, src in arrays.items()])
 
 
-def product_record(df: DataFrame) -> DataFrame:
+def product_record(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Nested product record (basic info, pricing, availability, media, metadata)."""
     from pagelake.functions import text as T
 
     return df.select(
+        *(keep or []),
         F.struct(
             F.trim(F.coalesce(F.col("name"), F.lit(""))).alias("name"),
             F.trim(F.coalesce(F.col("brand"), F.lit(""))).alias("brand"),
@@ -140,3 +141,27 @@ def product_record(df: DataFrame) -> DataFrame:
         ).alias("media"),
         F.struct(F.col("url"), F.col("response_time")).alias("metadata"),
     )
+
+
+def flatten(df: DataFrame, sep: str = "_", list_sep: str = ", ") -> DataFrame:
+    """Nested structs to ``a_b_c`` columns, arrays joined with ``", "``.
+
+    The walk is over the schema on the driver (plan time); every output column
+    is a plain expression, so the job stays one projection.
+    """
+    from pyspark.sql import types as T
+
+    cols = []
+
+    def walk(expr, dtype, name):
+        if isinstance(dtype, T.StructType):
+            for f in dtype.fields:
+                walk(expr[f.name], f.dataType, f"{name}{sep}{f.name}" if name else f.name)
+        elif isinstance(dtype, T.ArrayType):
+            cols.append(F.array_join(F.transform(expr, lambda x: x.cast("string")), list_sep).alias(name))
+        else:
+            cols.append(expr.alias(name))
+
+    for f in df.schema.fields:
+        walk(F.col(f"`{f.name}`"), f.dataType, f.name)
+    return df.select(*cols)

@@ -73,6 +73,7 @@ MODULES = [
     "q_graph",
     "q_streams",
     "q_io",
+    "q_sites",
 ]
 
 
