@@ -182,9 +182,15 @@ def _resolve_list(raw: Column, base, mode: str) -> Column:
     if mode == "root":
         # http(s) links as they are, '/x' (and '//x') joined, the rest dropped.
         kept = F.filter(raw, lambda x: x.startswith("http://") | x.startswith("https://") | x.startswith("/"))
+        # Fast path: a plain root-relative path ('/a/b', no dot segment, no
+        # query or fragment) joins to root + link, which is what urljoin gives.
+        root = F.concat(urls.scheme_raw(b), F.lit("://"), urls.netloc(b))
+        plain = lambda x: x.rlike(r"^/[^/]") & ~x.contains("/.") & ~x.contains("?") & ~x.contains("#")
         return F.transform(
             kept,
-            lambda x: F.when(x.startswith("http://") | x.startswith("https://"), x).otherwise(urls.resolve(b, x)),
+            lambda x: F.when(x.startswith("http://") | x.startswith("https://"), x)
+            .when(plain(x), F.concat(root, x))
+            .otherwise(urls.resolve(b, x)),
         )
     if mode == "relative":
         # v2 rule: also join relative paths, skip '#', mailto:, tel:, javascript:.

@@ -37,6 +37,11 @@ def netloc(url) -> Column:
     return F.regexp_extract(_col(url), NETLOC_RE, 1)
 
 
+def scheme_raw(url) -> Column:
+    """The scheme as written (``urljoin`` keeps the base's spelling)."""
+    return F.regexp_extract(_col(url), SCHEME_RE, 1)
+
+
 def scheme(url) -> Column:
     return F.lower(F.regexp_extract(_col(url), SCHEME_RE, 1))
 

@@ -12,8 +12,10 @@ fold here is cut into *segments* ``(key, time bucket)``:
 4. the carry is joined back on ``(key, bucket)``, the same partitioning as
    step 1, so the big side is not shuffled again.
 
-Bucket width (default one hour) bounds a segment by the event rate of one
-key in that time, not by the key's total size.
+Bucket width is chosen per key from its row count and time span so that a
+segment holds about ``TARGET_SEGMENT_ROWS`` rows: a hot key is cut into many
+narrow buckets, a sparse key into a few wide ones (a fixed width is used when
+the caller gives one, or when there are too many keys to broadcast widths).
 """
 
 from __future__ import annotations
@@ -23,6 +25,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 DEFAULT_BUCKET_SECONDS = 3600
+# Adaptive segments: rows per segment aimed at, the narrowest bucket, and the
+# most keys whose widths are broadcast.
+TARGET_SEGMENT_ROWS = 100_000
+MIN_WIDTH_US = 1_000_000
+MAX_BROADCAST_KEYS = 1_000_000
 
 # Health walk (W2): start, step on success / failure, bounds — in hundredths.
 HEALTH_START, HEALTH_UP, HEALTH_DOWN, HEALTH_LO, HEALTH_HI = 100, 1, -5, 0, 100
@@ -34,12 +41,46 @@ def bucket(ts: Column, width_s: int = DEFAULT_BUCKET_SECONDS) -> Column:
     return F.floor(F.unix_micros(ts.cast("timestamp")) / (width_s * 1_000_000)).cast("long")
 
 
-def _with_bucket(df: DataFrame, ts: str, width_s: int) -> DataFrame:
-    return df.withColumn("_bucket", bucket(F.col(ts), width_s))
+def _with_bucket(df: DataFrame, ts: str, width_s: int | None, key: str | None = None) -> DataFrame:
+    """Segment id per row: a fixed width when given, else a width per key
+    sized so that a segment holds about ``TARGET_SEGMENT_ROWS`` rows."""
+    if width_s is not None or key is None:
+        return df.withColumn("_bucket", bucket(F.col(ts), width_s or DEFAULT_BUCKET_SECONDS))
+    widths = key_widths(df, key, ts)
+    if widths is None:
+        return df.withColumn("_bucket", bucket(F.col(ts), DEFAULT_BUCKET_SECONDS))
+    t_us = F.unix_micros(F.col(ts).cast("timestamp"))
+    w = widths.withColumnRenamed(key, "_wkey")
+    return (
+        df.join(F.broadcast(w), df[key].eqNullSafe(w["_wkey"]))
+        .withColumn("_bucket", F.floor(t_us / F.col("_width_us")).cast("long"))
+        .drop("_width_us", "_wkey")
+    )
+
+
+def key_widths(df: DataFrame, key: str, ts: str, target_rows: int | None = None) -> DataFrame | None:
+    """Per key, the bucket width (µs) that gives segments of about
+    ``target_rows`` rows at the key's average rate: a hot key gets narrow
+    buckets, a sparse key a few wide ones.
+
+    One partial aggregate per key; the result is broadcast only when the key
+    count is under ``MAX_BROADCAST_KEYS`` (checked), else ``None`` and the
+    caller falls back to the fixed width.
+    """
+    target = target_rows or TARGET_SEGMENT_ROWS
+    t_us = F.unix_micros(F.col(ts).cast("timestamp"))
+    stats = df.groupBy(key).agg(
+        F.count(F.lit(1)).alias("_n"), F.min(t_us).alias("_lo"), F.max(t_us).alias("_hi")
+    )
+    if stats.limit(MAX_BROADCAST_KEYS + 1).count() > MAX_BROADCAST_KEYS:
+        return None
+    span = F.col("_hi") - F.col("_lo") + 1
+    width = F.greatest(F.lit(MIN_WIDTH_US), F.ceil(span * F.lit(target) / F.col("_n"))).cast("long")
+    return stats.select(key, width.alias("_width_us")).checkpoint()
 
 
 def prefix_sums(
-    df: DataFrame, key: str, ts: str, tiebreak: str, values: dict[str, Column], width_s: int = DEFAULT_BUCKET_SECONDS,
+    df: DataFrame, key: str, ts: str, tiebreak: str, values: dict[str, Column], width_s: int | None = None,
     with_min: tuple[str, ...] = (),
 ) -> DataFrame:
     """Running sums (inclusive) of ``values`` per key in (ts, tiebreak) order.
@@ -47,7 +88,7 @@ def prefix_sums(
     For names in ``with_min`` the running minimum of that running sum is
     added as ``<name>_min`` (needed by the zero-floored counter).
     """
-    b = _with_bucket(df, ts, width_s)
+    b = _with_bucket(df, ts, width_s, key)
     for name, expr in values.items():
         b = b.withColumn(f"_v_{name}", expr)
     seg = W.partitionBy(key, "_bucket").orderBy(F.col(ts), F.col(tiebreak)).rowsBetween(W.unboundedPreceding, 0)
@@ -236,7 +277,7 @@ def _map_groups(df: DataFrame, group_cols: list[str], order_cols: list[str], fn,
 
 def health_walk(
     attempts: DataFrame, key: str = "proxy_id", ts: str = "ts", tiebreak: str = "attempt_id", ok_col: str = "ok",
-    width_s: int = DEFAULT_BUCKET_SECONDS,
+    width_s: int | None = None,
 ) -> DataFrame:
     """Proxy health after each attempt (+0.01 ok, −0.05 fail, in [0, 1])
     and the running success rate.
@@ -249,7 +290,7 @@ def health_walk(
     """
     import pandas as pd
 
-    b = _with_bucket(attempts.select(key, ts, tiebreak, ok_col), ts, width_s)
+    b = _with_bucket(attempts.select(key, ts, tiebreak, ok_col), ts, width_s, key)
 
     def summarise(g):
         oks = g[ok_col].astype(bool)
@@ -362,7 +403,7 @@ def health_step(x: float, ok: bool) -> float:
 
 def breaker_replay(
     attempts: DataFrame, key: str = "method", ts: str = "ts", tiebreak: str = "attempt_id", ok_col: str = "ok",
-    width_s: int = DEFAULT_BUCKET_SECONDS,
+    width_s: int | None = None,
 ) -> DataFrame:
     """Circuit-breaker state per method replayed over the attempt log.
 
@@ -379,7 +420,7 @@ def breaker_replay(
     import numpy as np
     import pandas as pd
 
-    b = _with_bucket(attempts.select(key, ts, tiebreak, ok_col), ts, width_s)
+    b = _with_bucket(attempts.select(key, ts, tiebreak, ok_col), ts, width_s, key)
     ts_type = dict(attempts.dtypes)[ts]
     key_type = dict(attempts.dtypes)[key]
 

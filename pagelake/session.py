@@ -16,8 +16,10 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # Arrow batches for the few Python stages stay small: pages are wide rows.
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
+    # Arrow batches for the few Python stages: up to 10,000 narrow rows, but
+    # never more than 16 MB, so batches of wide page rows stay small.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(16 * 1024 * 1024),
 }
 
 
