@@ -199,9 +199,12 @@ def first_success(attempts: DataFrame, group: str = "request_id") -> DataFrame:
     """First successful attempt per request in method priority order;
     requests with none get one row with method 'none' and the fixed message."""
     prio = F.when(F.col("method") == "scrapy", 1).when(F.col("method") == "pydoll", 2).otherwise(3)
-    w = W.partitionBy(group).orderBy(F.col("_ok").desc(), F.col("_prio"), F.col("ts"), F.col("attempt_id"))
-    t = attempts.withColumn("_ok", (F.col("status") == "success").cast("int")).withColumn("_prio", prio)
-    best = t.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1)
+    failed = (F.col("status") != "success").cast("int")
+    # min_by over (failed, priority, ts, id): a partial aggregate per request,
+    # so a request with very many attempts is pre-reduced map-side.
+    best = attempts.groupBy(group).agg(
+        F.min_by(F.struct("method", "attempt_id", failed.alias("_failed")), F.struct(failed, prio, "ts", "attempt_id")).alias("_b")
+    ).select(group, "_b.method", "_b.attempt_id", (1 - F.col("_b._failed")).alias("_ok"))
     ok = F.col("_ok") == 1
     return best.select(
         group,

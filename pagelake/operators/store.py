@@ -137,18 +137,6 @@ def delete_ids(results: DataFrame, ids: DataFrame) -> DataFrame:
     return results.join(ids.select("id").distinct(), "id", "left_anti")
 
 
-def latest_per_key(df: DataFrame, key: str | list[str], order: list[Column]) -> DataFrame:
-    """The first row per key under ``order`` (e.g. newest).
-
-    ``row_number`` over a window partitioned by the key: one shuffle on the
-    key; rows of one key are sorted within a task.  For a key holding a third
-    of all rows use ``latest_per_key_agg`` (map-side partial aggregation).
-    """
-    keys = [key] if isinstance(key, str) else key
-    w = W.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
-
-
 def latest_per_key_agg(df: DataFrame, key: str, ts: str, tiebreak: str) -> DataFrame:
     """W6, skew-safe: ``max_by`` of the whole row by (ts, tiebreak).
 

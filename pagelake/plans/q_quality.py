@@ -219,7 +219,7 @@ def x22_health(spark, sf_dir):
     from pagelake.operators import store as ST
 
     a = tables.attempts(spark, sf_dir)
-    latest = ST.latest_per_key(a, "url", [F.col("ts").desc(), F.col("attempt_id").desc()])
+    latest = ST.latest_per_key_agg(a.select("url", "ts", "attempt_id", "status_code", "response_time"), "url", "ts", "attempt_id")
     sc, rt = F.col("status_code"), F.col("response_time")
     return latest.select(
         "url",
@@ -252,7 +252,7 @@ def a13_health(spark, sf_dir):
     from pagelake.operators import store as ST
 
     a = tables.attempts(spark, sf_dir)
-    latest = ST.latest_per_key(a, "url", [F.col("ts").desc(), F.col("attempt_id").desc()])
+    latest = ST.latest_per_key_agg(a.select("url", "ts", "attempt_id", "status_code", "response_time"), "url", "ts", "attempt_id")
     s = RP.health_summary(latest)
     return s.select(
         "total_sites",

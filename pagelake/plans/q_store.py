@@ -230,7 +230,7 @@ QUALIFY row_number() OVER (PARTITION BY url ORDER BY timestamp DESC, id DESC) =
 def w6_latest(spark, sf_dir):
     """Latest stored row per URL."""
     r = _results(spark, sf_dir).select("url", "id", "timestamp", "status")
-    return ST.latest_per_key(r, "url", ST.newest_first())
+    return ST.latest_per_key_agg(r, "url", "timestamp", "id")
 
 
 @query(

@@ -7,7 +7,6 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagelake import schemas
@@ -255,8 +254,3 @@ def dead_letter(results: DataFrame, path: str) -> None:
 def write_jdbc(df: DataFrame, url: str, table: str, properties: dict | None = None) -> None:
     """Insert into a relational store (needs the JDBC driver on the classpath)."""
     df.write.mode("append").jdbc(url, table, properties=properties or {})
-
-
-def numbered_rank(df: DataFrame, order: list[Column]) -> DataFrame:
-    """Small helper for reports over a bounded frame."""
-    return df.withColumn("rank", F.row_number().over(W.orderBy(*order)))

@@ -131,3 +131,28 @@ def test_moving_average_matches_window(spark):
     for idx, (aid, _) in enumerate(vals):
         window = [v for _, v in vals[max(0, idx - 99) : idx + 1]]
         assert abs(got[aid] - sum(window) / len(window)) < 1e-9
+
+
+def test_changes_across_segments_equal_single_window(spark):
+    from pagelake.operators import changes as C
+
+    rnd = random.Random(5)
+    rows, t = [], T0
+    for i in range(1500):
+        t += dt.timedelta(seconds=rnd.choice([5, 60, 900, 4000]))
+        rows.append(("hot" if rnd.random() < 0.5 else f"k{rnd.randrange(5)}", t, i, rnd.choice(["a", "b"]), float(rnd.randrange(3))))
+    df = spark.createDataFrame(rows, "key string, ts timestamp_ntz, event_id long, kind string, value double")
+    got = {r.event_id: dict(r.changes) for r in C.changes(df, "key", ["ts", "event_id"], ["kind", "value"], width_s=600).collect()}
+    want, last = {}, {}
+    for k, ts, i, kind, v in rows:
+        if k in last:
+            pk, pv = last[k]
+            ch = {}
+            if pk != kind:
+                ch["kind"] = f"{pk} -> {kind}"
+            if pv != v:
+                ch["value"] = f"{pv} -> {v}"
+            if ch:
+                want[i] = ch
+        last[k] = (kind, v)
+    assert got == want
