@@ -74,6 +74,7 @@ MODULES = [
     "q_streams",
     "q_io",
     "q_sites",
+    "q_attempts",
 ]
 
 
