@@ -290,7 +290,8 @@ def health_walk(
     """
     import pandas as pd
 
-    b = _with_bucket(attempts.select(key, ts, tiebreak, ok_col), ts, width_s, key)
+    # The narrow segmented log is read by four passes: materialise it once.
+    b = _with_bucket(attempts.select(key, ts, tiebreak, ok_col), ts, width_s, key).checkpoint()
 
     def summarise(g):
         oks = g[ok_col].astype(bool)
@@ -420,7 +421,8 @@ def breaker_replay(
     import numpy as np
     import pandas as pd
 
-    b = _with_bucket(attempts.select(key, ts, tiebreak, ok_col), ts, width_s, key)
+    # Read by the summary and the final replay: materialise the narrow log once.
+    b = _with_bucket(attempts.select(key, ts, tiebreak, ok_col), ts, width_s, key).checkpoint()
     ts_type = dict(attempts.dtypes)[ts]
     key_type = dict(attempts.dtypes)[key]
 
