@@ -130,14 +130,18 @@ def servers_from(supplier: DataFrame, nation: DataFrame) -> DataFrame:
 def best_servers(servers: DataFrame, preferred: list[str] | None = None) -> DataFrame:
     """Rank servers per country by (load, latency, name), plus a global
     rank with the preferred-country order as first key."""
-    w = W.partitionBy("country").orderBy("load", "latency", "name")
-    ranked = servers.withColumn("country_rank", F.row_number().over(w))
+    from pagelake.operators import store as ST
+
+    # Both ranks use the distributed numbering (no single-task window), with
+    # the name as the final tiebreak so the order is total.
+    ranked = ST.numbered(servers, [F.col("load"), F.col("latency"), F.col("name")], group=["country"], name="country_rank")
     pref = F.array(*[F.lit(c) for c in (preferred or [])]) if preferred else F.array().cast("array<string>")
     pos = F.array_position(pref, F.col("country"))
     first_key = F.when(pos > 0, pos).otherwise(F.lit(1 << 30))
-    return ranked.withColumn("_k", first_key).withColumn(
-        "overall_rank", F.row_number().over(W.orderBy("_k", "load", "latency", "name"))
-    ).drop("_k").withColumn("server_health", S.server_health(F.col("load")))
+    overall = ST.numbered(
+        ranked.withColumn("_k", first_key), [F.col("_k"), F.col("load"), F.col("latency"), F.col("name")], name="overall_rank"
+    )
+    return overall.drop("_k").withColumn("server_health", S.server_health(F.col("load")))
 
 
 def next_server(servers: DataFrame, current: DataFrame) -> DataFrame:

@@ -19,6 +19,9 @@ MAX_PAGE = 1000
 # Relevance weights of a search hit: title, URL, stored data text.
 SEARCH_WEIGHTS = (10, 5, 1)
 
+# Most per-(partition, group) offset rows broadcast by ``numbered``.
+MAX_OFFSET_ROWS = 1_000_000
+
 
 def newest_first() -> list[Column]:
     """Total order of L1: newest first, id as tiebreak."""
@@ -149,25 +152,31 @@ def latest_per_key_agg(df: DataFrame, key: str, ts: str, tiebreak: str) -> DataF
     return df.groupBy(key).agg(F.max_by(packed, order_key).alias("_r")).select(key, "_r.*")
 
 
-def numbered(df: DataFrame, order: list[Column]) -> DataFrame:
-    """1-based number in a total order.
-
-    A global ``row_number`` needs one ordered pass; this form computes it from
-    per-partition counts after a range-partitioned sort, so no single task
-    holds all rows.
+def numbered(df: DataFrame, order: list[Column], group: list[str] | None = None, name: str = "number") -> DataFrame:
+    """1-based number in a total order, optionally restarting per group.
+
+    A ``row_number`` window would put a whole group (or, without a group,
+    the whole table) in one task.  Here the rows are range-partitioned and
+    sorted by ``(group, order)``; ``monotonically_increasing_id`` then gives
+    each row its position inside its partition (ids increase in row order
+    within a task), and a small table of per-(partition, group) counts gives
+    each partition's offset within its group.  Range partitioning keeps a
+    group contiguous, so that table has at most partitions + groups rows:
+    without a group it is bounded by the partition count and broadcast; with
+    a group it is broadcast when the group count is under
+    ``MAX_OFFSET_ROWS`` (checked), else joined normally.  No extra shuffle
+    of the rows beyond the sort.
     """
-    sorted_df = df.orderBy(*order)
-    with_pid = sorted_df.withColumn("_pid", F.spark_partition_id()).withColumn(
-        "_local", F.row_number().over(W.partitionBy("_pid").orderBy(*order))
-    )
-    counts = with_pid.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.withColumn(
-        "_off", F.coalesce(F.sum("_n").over(W.orderBy("_pid").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ).select("_pid", "_off")
-    return (
-        with_pid.join(F.broadcast(offsets), "_pid")
-        .withColumn("number", F.col("_off") + F.col("_local"))
-        .drop("_pid", "_local", "_off")
+    g = list(group or [])
+    sorted_df = df.orderBy(*([F.col(c) for c in g] + list(order)))
+    pos = sorted_df.withColumn("_pid", F.spark_partition_id()).withColumn("_pos", F.monotonically_increasing_id())
+    counts = pos.groupBy("_pid", *g).agg(F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_first"))
+    before = (W.partitionBy(*g) if g else W).orderBy("_pid").rowsBetween(W.unboundedPreceding, -1)
+    offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).select("_pid", *g, "_off", "_first")
+    small = not g or df.select(*g).distinct().limit(MAX_OFFSET_ROWS + 1).count() <= MAX_OFFSET_ROWS
+    joined = pos.join(F.broadcast(offsets) if small else offsets, ["_pid", *g])
+    return joined.withColumn(name, F.col("_off") + (F.col("_pos") - F.col("_first")) + 1).drop(
+        "_pid", "_pos", "_off", "_first"
     )
 
 
