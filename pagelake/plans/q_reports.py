@@ -209,16 +209,23 @@ def w16_rate(spark, sf_dir):
 )
 def p5_listings(spark, sf_dir):
     """P5: zip parallel lists (parts, quantities of non-returned lines) per order,
-    driven by the parts list, NULL-padded where the other list is shorter."""
+    driven by the parts list, NULL-padded where the other list is shorter.
+
+    Without collecting an order's lines: each list is a per-order numbering
+    (distributed, no single-task window) and the zip is a left join on
+    (order, position)."""
+    from pagelake.operators import store as ST
+
     li = tables.read(spark, sf_dir, "lineitem")
-    lists = li.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct(*LINE_ORDER))), lambda s: s["l_partkey"]).alias("parts"),
-        F.transform(
-            F.array_sort(F.collect_list(F.when(F.col("l_returnflag") != "R", F.struct(*LINE_ORDER, "l_quantity")))),
-            lambda s: s["l_quantity"],
-        ).alias("qtys"),
+    order = [F.col(c) for c in LINE_ORDER]
+    parts = ST.numbered(li.select("l_orderkey", *LINE_ORDER), order, group=["l_orderkey"], name="_n").select(
+        F.col("l_orderkey").alias("o_orderkey"), (F.col("_n") - 1).alias("pos"), F.col("l_partkey").alias("part")
+    )
+    kept = li.where(F.col("l_returnflag") != "R").select("l_orderkey", *LINE_ORDER, "l_quantity")
+    qtys = ST.numbered(kept, order, group=["l_orderkey"], name="_n").select(
+        F.col("l_orderkey").alias("o_orderkey"), (F.col("_n") - 1).alias("pos"), F.col("l_quantity").alias("qty")
     )
-    return RP.listings(lists, "o_orderkey", {"part": "parts", "qty": "qtys"}, "parts")
+    return parts.join(qtys, ["o_orderkey", "pos"], "left")
 
 
 @query(

@@ -50,3 +50,19 @@ def test_product_record_flattened(spark):
     assert r.basic_info_name == "Widget" and r.pricing_current_price == 1234.5
     assert abs(r.pricing_discount - 38.275) < 1e-9 and r.pricing_currency == "USD"
     assert r.availability_in_stock and r.media_main_image == "/a.jpg" and r.media_gallery == "/b.jpg, /c.jpg"
+
+
+def test_numbered_within_groups_matches_sort(spark):
+    from pagelake.operators import store as ST
+
+    rnd = random.Random(3)
+    rows = [(i, "hot" if i % 3 == 0 else f"g{rnd.randrange(7)}", rnd.randrange(50)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, grp string, v long").repartition(5)
+    got = {r.id: r.n for r in ST.numbered(df, [F.col("v").desc(), F.col("id")], group=["grp"], name="n").collect()}
+    want = {}
+    for g in {r[1] for r in rows}:
+        members = sorted((r for r in rows if r[1] == g), key=lambda r: (-r[2], r[0]))
+        want.update({r[0]: k + 1 for k, r in enumerate(members)})
+    assert got == want
+    glob = {r.id: r.number for r in ST.numbered(df, [F.col("id").desc()]).collect()}
+    assert glob == {i: 3000 - i for i in range(3000)}
