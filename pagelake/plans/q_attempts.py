@@ -1,5 +1,5 @@
 """Registered page-size, attempt-log and request queries (H15, H21, H22, X12,
-X23, X38, A31, A32, J13)."""
+X20, X23, X38, A31, A32, J10, J13)."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ from pagelake.operators import reliability as R
 from pagelake.operators import stats as A
 from pagelake.plans import sqlfrag as Q
 from pagelake.plans.registry import QUERIES, query
+from pagelake.sinks import writers as K
 from pagelake.sources import tables
 
 # Methods taken as available in the A32 batch (fixed value of the query).
@@ -145,3 +146,39 @@ def x12_price(spark, sf_dir):
     li = tables.read(spark, sf_dir, "lineitem")
     t = F.concat(F.lit("$"), F.round(F.col("l_extendedprice") / F.col("l_quantity")).cast("long").cast("string"))
     return li.select("l_orderkey", "l_linenumber", T.simple_price(t).alias("price"))
+
+
+@query(
+    "j10_cached_requests",
+    Q.with_results(
+        f""", cache AS (
+  SELECT url, timestamp + INTERVAL {K.CACHE_TTL_S} SECOND AS expires_at FROM (
+    SELECT url, timestamp, row_number() OVER (PARTITION BY url ORDER BY timestamp DESC, id DESC) AS rn
+    FROM scrape_results WHERE status = 'success') WHERE rn = 1)
+SELECT attempt_id, url FROM attempts WHERE url IN (SELECT url FROM cache WHERE expires_at > {Q.AS_OF_SQL})"""
+    ),
+)
+def j10_cached(spark, sf_dir):
+    """Requests whose URL has a cache entry still valid at as-of (left semi join on the K13 entries)."""
+    entries = K.cache_entries(tables.scrape_results(spark, sf_dir))
+    return K.unexpired(_attempts(spark, sf_dir).select("attempt_id", "url"), entries, tables.as_of())
+
+
+@query(
+    "x20_extraction_quality",
+    f"""SELECT page_id, q AS quality, q > 0.5 AS passed FROM (
+  SELECT page_id,
+         CASE WHEN coalesce(length(t), 0) > 0 THEN 0.4::DOUBLE ELSE 0.0::DOUBLE END
+         + CASE WHEN np > 0 THEN 0.3::DOUBLE ELSE 0.0::DOUBLE END
+         + CASE WHEN nl > 0 THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END + 0.1::DOUBLE AS q
+  FROM (SELECT page_id, {Q.title('html')} AS t,
+               len(list_filter(list_transform(regexp_extract_all(html, {Q.lit(H.PARAGRAPH_RE)}, 1), lambda p: {Q.strip('p')}),
+                   lambda p: p <> '')) AS np,
+               len({Q.links('html', 'url')}) AS nl FROM pages))""",
+)
+def x20_quality(spark, sf_dir):
+    """Extraction quality per page (title .4 + paragraphs .3 + links .2 + .1) and pass when over 0.5."""
+    p = tables.pages(spark, sf_dir)
+    html = F.col("html")
+    q = S.extraction_quality(H.title(html), F.size(H.paragraphs("html")), F.size(H.links(html, F.col("url"))))
+    return p.select("page_id", q.alias("quality"), (q > 0.5).alias("passed"))

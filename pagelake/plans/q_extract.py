@@ -169,7 +169,7 @@ def h8_forms(spark, sf_dir):
 FROM (SELECT page_id, {Q.links('html', 'url')} AS l, {Q.images('html', 'url')} AS i FROM pages)""",
 )
 def h11_links(spark, sf_dir):
-    """H11 + H11b: resolved, deduplicated links and images per page."""
+    """H11 + H11b + X4: links and images resolved with urljoin (X4), deduplicated, per page."""
     p = _pages(spark, sf_dir)
     l, i = H.links("html", "url"), H.images("html", "url")
     return p.select(

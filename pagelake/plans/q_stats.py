@@ -94,7 +94,7 @@ FROM attempts"""
     ),
 )
 def a6_metrics(spark, sf_dir):
-    """Request metrics over the attempt log (uptime = span of timestamps)."""
+    """A6 + S11: request metrics over the attempt log (uptime = span of timestamps)."""
     m = A.request_metrics(_attempts(spark, sf_dir))
     return m.select(
         "total_requests",
