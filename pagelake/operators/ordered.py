@@ -69,14 +69,18 @@ def key_widths(df: DataFrame, key: str, ts: str, target_rows: int | None = None)
     """
     target = target_rows or TARGET_SEGMENT_ROWS
     t_us = F.unix_micros(F.col(ts).cast("timestamp"))
-    stats = df.groupBy(key).agg(
-        F.count(F.lit(1)).alias("_n"), F.min(t_us).alias("_lo"), F.max(t_us).alias("_hi")
-    )
-    if stats.limit(MAX_BROADCAST_KEYS + 1).count() > MAX_BROADCAST_KEYS:
-        return None
     span = F.col("_hi") - F.col("_lo") + 1
     width = F.greatest(F.lit(MIN_WIDTH_US), F.ceil(span * F.lit(target) / F.col("_n"))).cast("long")
-    return stats.select(key, width.alias("_width_us")).checkpoint()
+    # One pass over the data: the per-key table is materialised, then counted.
+    widths = (
+        df.groupBy(key)
+        .agg(F.count(F.lit(1)).alias("_n"), F.min(t_us).alias("_lo"), F.max(t_us).alias("_hi"))
+        .select(key, width.alias("_width_us"))
+        .checkpoint()
+    )
+    if widths.limit(MAX_BROADCAST_KEYS + 1).count() > MAX_BROADCAST_KEYS:
+        return None
+    return widths
 
 
 def prefix_sums(

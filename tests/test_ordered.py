@@ -156,3 +156,19 @@ def test_changes_across_segments_equal_single_window(spark):
                 want[i] = ch
         last[k] = (kind, v)
     assert got == want
+
+
+def test_adaptive_segments_per_key(spark, monkeypatch):
+    """Per-key widths sized for ~40 rows: the hot key is cut into many
+    segments, the sparse keys into few; results equal the sequential fold."""
+    monkeypatch.setattr(O, "TARGET_SEGMENT_ROWS", 40)
+    rows = _random_log(n=1200, seed=13)
+    df = _attempts(spark, rows)
+    widths = {r.key: r._width_us for r in O.key_widths(df, "key", "ts").collect()}
+    assert widths["k0"] < min(w for k, w in widths.items() if k != "k0")
+    segs = O._with_bucket(df, "ts", None, "key").where(F.col("key") == "k0").select("_bucket").distinct().count()
+    assert segs >= 10
+    got = {r.attempt_id: (r.health_score, r.success_rate) for r in O.health_walk(df, key="key").collect()}
+    assert got == py_health(rows)
+    br = {r.attempt_id: (r.allowed, r.state) for r in O.breaker_replay(df, key="key").collect()}
+    assert br == {k: v[:2] for k, v in py_breaker(rows).items()}
