@@ -130,6 +130,22 @@ def scrape_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scrape_results_from(attempts_from(events(spark, sf_dir), p), p)
 
 
+def stored_results(spark: SparkSession, path: str, since=None, until=None) -> DataFrame:
+    """S1 on a written store: the day-partitioned table K1 appends to.
+
+    ``since`` / ``until`` (dates or date strings) become filters on the
+    ``date`` partition column, so only those day folders are listed and read
+    (``PartitionFilters`` in the scan); the timestamp filter stays exact.
+    """
+    configure(spark)
+    df = spark.read.parquet(path)
+    if since is not None:
+        df = df.where((F.col("date") >= F.to_date(F.lit(str(since)))) & (F.col("timestamp") >= F.lit(str(since)).cast("timestamp_ntz")))
+    if until is not None:
+        df = df.where((F.col("date") <= F.to_date(F.lit(str(until)))) & (F.col("timestamp") < F.lit(str(until)).cast("timestamp_ntz")))
+    return df
+
+
 def as_of() -> F.Column:
     return F.lit(AS_OF).cast("timestamp_ntz")
 
@@ -144,5 +160,6 @@ __all__ = [
     "extracted_basic",
     "scrape_results",
     "scrape_results_from",
+    "stored_results",
     "as_of",
 ]

@@ -103,3 +103,15 @@ def test_glob_invalidation():
 
     rx = re.compile(K.glob_to_regex("user:*:session?[ab]"))
     assert rx.match("user:42:session1a") and not rx.match("user:42:session1c")
+
+
+def test_stored_results_prune_by_day(spark, tmp_path):
+    r = _results(spark)
+    path = str(tmp_path / "store")
+    K.append_results(r, path)
+    since, until = "2024-01-10", "2024-01-12"
+    got = tables.stored_results(spark, path, since, until)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(date" in plan
+    want = r.where((F.col("timestamp") >= F.lit(since).cast("timestamp_ntz")) & (F.col("timestamp") < F.lit(until).cast("timestamp_ntz")))
+    assert got.count() == want.count() > 0
