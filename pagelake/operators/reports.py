@@ -62,13 +62,13 @@ def research_breakdown(points: DataFrame, value: str = "value") -> DataFrame:
 def trending_topics(posts: DataFrame, text_col: str, id_col: str, words: list[str] | None = None) -> DataFrame:
     """A12 + J6: posts mentioning each word (once per post), trend = 10 × mentions.
 
-    The word list is a fixed handful of rows, broadcast to a nested-loop join
-    with a ``contains`` condition; counting is a distinct count per word.
+    No join: the fixed word list is a literal array, filtered per post by
+    ``contains`` and exploded, so each post yields only the words it holds;
+    counting is a distinct count per word (partial aggregation).
     """
-    spark = posts.sparkSession
-    wl = spark.createDataFrame([(w,) for w in (words or TOPIC_WORDS)], "topic string")
+    wl = F.array(*[F.lit(w) for w in (words or TOPIC_WORDS)])
     low = posts.select(F.col(id_col).alias("_id"), F.lower(F.col(text_col)).alias("_t"))
-    hits = low.join(F.broadcast(wl), F.col("_t").contains(F.lower(F.col("topic"))))
+    hits = low.select("_id", F.explode(F.filter(wl, lambda w: F.col("_t").contains(F.lower(w)))).alias("topic"))
     return (
         hits.groupBy("topic")
         .agg(F.count_distinct("_id").alias("mentions"))
@@ -79,7 +79,9 @@ def trending_topics(posts: DataFrame, text_col: str, id_col: str, words: list[st
 
 def metric_alerts(metrics: DataFrame, thresholds: DataFrame) -> DataFrame:
     """F11 + J9: metrics above their threshold (default 100)."""
-    j = metrics.join(F.broadcast(thresholds), "metric", "left")
+    # Thresholds are a user table: Spark broadcasts it only when its measured
+    # size is under the broadcast threshold.
+    j = metrics.join(thresholds, "metric", "left")
     return j.withColumn("threshold", F.coalesce(F.col("threshold"), F.lit(DEFAULT_THRESHOLD))).where(
         F.col("value") > F.col("threshold")
     )
