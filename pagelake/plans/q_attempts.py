@@ -182,3 +182,30 @@ def x20_quality(spark, sf_dir):
     html = F.col("html")
     q = S.extraction_quality(H.title(html), F.size(H.paragraphs("html")), F.size(H.links(html, F.col("url"))))
     return p.select("page_id", q.alias("quality"), (q > 0.5).alias("passed"))
+
+
+@query(
+    "j2_proxy_stats",
+    Q.with_attempts(
+        """SELECT p.proxy_key, coalesce(s.requests, 0) AS requests, coalesce(s.failures, 0) AS failures
+FROM (SELECT 'proxy' || CAST(c_custkey AS VARCHAR) || '.example.net:8080:http' AS proxy_key FROM customer) p
+LEFT JOIN (SELECT proxy_id || '.example.net:8080:http' AS proxy_key, count(*) AS requests,
+                  count(*) FILTER (WHERE status <> 'success') AS failures
+           FROM attempts GROUP BY proxy_id) s ON s.proxy_key = p.proxy_key"""
+    ),
+)
+def j2_stats(spark, sf_dir):
+    """J2 + X29: every proxy of the pool (stand-in: one per customer) joined to
+    its attempt stats by the ``host:port:type`` id; a proxy without stats gets 0."""
+    cust = tables.read(spark, sf_dir, "customer")
+    proxies = cust.select(
+        S.proxy_id(
+            F.concat(F.lit("proxy"), F.col("c_custkey").cast("string"), F.lit(".example.net")), F.lit(8080), F.lit("http")
+        ).alias("proxy_key")
+    )
+    a = _attempts(spark, sf_dir)
+    stats = a.groupBy(
+        S.proxy_id(F.concat(F.col("proxy_id"), F.lit(".example.net")), F.lit(8080), F.lit("http")).alias("proxy_key")
+    ).agg(F.count(F.lit(1)).alias("requests"), F.count_if(F.col("status") != "success").alias("failures"))
+    j = proxies.join(stats, "proxy_key", "left")
+    return j.select("proxy_key", F.coalesce("requests", F.lit(0)).alias("requests"), F.coalesce("failures", F.lit(0)).alias("failures"))
