@@ -188,10 +188,14 @@ def moving_average_last_n(
     (key, rn) — unique per key, so no join key is hot.
     """
     src = df.where(F.col(value).isNotNull() & (F.col(value) != 0))
-    p = prefix_sums(src, key, ts, tiebreak, {"rn": F.lit(1).cast("long"), "psum": F.col(value).cast("double")})
+    # Prefix sums in exact decimals: a difference of two long double prefix
+    # sums would lose the low digits (cancellation); decimal differences are
+    # exact, and the window sum is turned into a double once.
+    dec = "decimal(38,12)"
+    p = prefix_sums(src, key, ts, tiebreak, {"rn": F.lit(1).cast("long"), "psum": F.col(value).cast(dec)})
     prev = p.select(F.col(key).alias("_k"), (F.col("rn") + n).alias("_rn"), F.col("psum").alias("_prev"))
     j = p.join(prev, (p[key] == prev["_k"]) & (p["rn"] == prev["_rn"]), "left")
-    window_sum = F.col("psum") - F.coalesce(F.col("_prev"), F.lit(0.0))
+    window_sum = (F.col("psum") - F.coalesce(F.col("_prev"), F.lit(0).cast(dec))).cast("double")
     return j.withColumn(name, window_sum / F.least(F.col("rn"), F.lit(n))).drop("_k", "_rn", "_prev", "psum")
 
 

@@ -146,14 +146,18 @@ def w5_streaks(spark, sf_dir):
     "w1_moving_avg_100",
     Q.with_attempts(
         """SELECT proxy_id, attempt_id, round(avg(response_time) OVER (PARTITION BY proxy_id ORDER BY ts, attempt_id
-       ROWS BETWEEN 99 PRECEDING AND CURRENT ROW), 9) AS avg_last_100
+       ROWS BETWEEN 99 PRECEDING AND CURRENT ROW), 10) AS avg_last_100
 FROM attempts WHERE response_time IS NOT NULL AND response_time <> 0"""
     ),
 )
 def w1_moving(spark, sf_dir):
     """Moving average of the last 100 non-zero response times per proxy."""
     m = O.moving_average_last_n(_attempts(spark, sf_dir), "proxy_id", "ts", "attempt_id", "response_time", 100, "avg_last_100")
-    return m.select("proxy_id", "attempt_id", F.round("avg_last_100", 9).alias("avg_last_100"))
+    # Response times carry at most 4 decimals, so a mean of at most 100 ends
+    # within 10 decimals: rounding there never meets a half-way tie, and both
+    # engines land on the same double (at 9 dp, means over 64 rows tie and the
+    # engines round the tie differently).
+    return m.select("proxy_id", "attempt_id", F.round("avg_last_100", 10).alias("avg_last_100"))
 
 
 @query(
