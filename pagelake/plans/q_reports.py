@@ -89,7 +89,7 @@ def a14_services(spark, sf_dir):
   UNION ALL SELECT 'max_response_time_ms', max(response_time) * 1000 FROM attempts
   UNION ALL SELECT 'error_rate_pct', count(*) FILTER (WHERE status <> 'success') / count(*) * 100 FROM attempts
   UNION ALL SELECT 'requests', count(*) FROM attempts)
-SELECT m.metric, round(m.value, 6) AS value, coalesce(t.threshold, 100.0) AS threshold
+SELECT m.metric, round(m.value, 6) AS value, CAST(coalesce(t.threshold, 100.0) AS DOUBLE) AS threshold
 FROM m LEFT JOIN (VALUES ('error_rate_pct', 5.0), ('max_response_time_ms', 5000.0)) t(metric, threshold) USING (metric)
 WHERE m.value > coalesce(t.threshold, 100.0)"""
     ),
