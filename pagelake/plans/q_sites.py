@@ -195,21 +195,32 @@ def a25_countries(spark, sf_dir):
 # --------------------------------------------------------------------------
 
 
-def cache_hits(results, ttl_s: int = K.CACHE_TTL_S):
+def cache_hits(results, ttl_s: int = K.CACHE_TTL_S, width_s: int | None = None):
     """Per request: ``hit`` when the latest earlier success of the same URL is
-    less than ``ttl_s`` old.  Segments are (url, ttl-wide bucket): the latest
-    earlier success lies in the request's own bucket (a window inside the
-    segment) or is the last success of the previous bucket (a per-segment
-    aggregate joined one bucket forward), so no URL lives in one task."""
+    less than ``ttl_s`` old.
+
+    Segments ``(url, bucket)`` are sized per URL from its rate (as for the
+    other ordered operators), so a hot URL is cut into many small segments.
+    The latest earlier success is either earlier in the row's own segment (a
+    window inside the segment) or the latest success of all the URL's
+    earlier segments (a running max over the small per-segment table).
+    """
+    from pagelake.operators import ordered as O
+
     us = ttl_s * 1_000_000
     r = results.select("id", "url", "timestamp", "status").withColumn(
         "_t", F.unix_micros(F.col("timestamp").cast("timestamp"))
-    ).withColumn("_b", F.floor(F.col("_t") / us).cast("long"))
+    )
+    r = O._with_bucket(r, "timestamp", width_s, "url")
     s_t = F.when(F.col("status") == "success", F.col("_t"))
-    seg = W.partitionBy("url", "_b").orderBy("timestamp", "id").rowsBetween(W.unboundedPreceding, -1)
+    seg = W.partitionBy("url", "_bucket").orderBy("timestamp", "id").rowsBetween(W.unboundedPreceding, -1)
     r = r.withColumn("_in", F.max(s_t).over(seg))
-    prev = r.groupBy("url", "_b").agg(F.max(s_t).alias("_prev")).withColumn("_b", F.col("_b") + 1)
-    j = r.join(prev, ["url", "_b"], "left")
+    per_seg = r.groupBy("url", "_bucket").agg(F.max(s_t).alias("_m"))
+    carry = per_seg.select(
+        "url", "_bucket",
+        F.max("_m").over(W.partitionBy("url").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)).alias("_prev"),
+    )
+    j = r.join(carry, ["url", "_bucket"])
     last = F.greatest(F.col("_in"), F.col("_prev"))
     return j.select("id", "url", (last.isNotNull() & (F.col("_t") - last < us)).alias("hit"))
 
