@@ -142,3 +142,19 @@ def t10_daily(spark, sf_dir):
 
 
 __all__ = ["q_io", "q_reports"]
+
+
+@query(
+    "t6_cache_ttl",
+    Q.with_attempts(
+        """SELECT attempt_id, url, coalesce(age < 3600000000, false) AS hit FROM (
+  SELECT attempt_id, url, epoch_us(ts) - max(CASE WHEN status = 'success' THEN epoch_us(ts) END)
+         OVER (PARTITION BY url ORDER BY ts, attempt_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS age
+  FROM attempts)"""
+    ),
+)
+def t6_cache(spark, sf_dir):
+    """TTL cache (3600 s) as keyed stream state with event-time eviction; per request hit or miss (A29's replay)."""
+    d = ST.scratch(spark, "t6")
+    ST.to_files(ST.cache_ttl(ST.attempt_stream(spark, sf_dir)), f"{d}/out", f"{d}/ckpt")
+    return _read(spark, f"{d}/out")

@@ -340,3 +340,43 @@ def messages_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     extracted = tables.extracted_basic(pages).checkpoint()
     attempts = tables.attempts_from(table_stream(spark, sf_dir, "events"), pages)
     return K.messages(tables.scrape_results_from(attempts, pages, extracted))
+
+
+def cache_ttl(attempts: DataFrame, ttl_s: int = K.CACHE_TTL_S) -> DataFrame:
+    """TTL cache as keyed state.  Per URL the state holds the time of the
+    last success; a request is a hit when that success is less than
+    ``ttl_s`` old.  An event-time timeout evicts the entry once the watermark
+    passes its expiry, so state holds only live entries."""
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    import pandas as pd
+
+    ttl_us = ttl_s * 1_000_000
+
+    def fold(k, pdfs, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        g = _sorted_group(pdfs, ["ts", "attempt_id"])
+        if g is None:
+            return
+        last = state.get[0] if state.exists else None
+        times = g["ts"].to_numpy().astype("datetime64[us]").astype("int64").tolist()
+        hits = []
+        for t, st in zip(times, g["status"].tolist()):
+            hits.append(last is not None and t - last < ttl_us)
+            if st == "success":
+                last = t
+        if last is None:
+            state.remove()
+        else:
+            state.update((last,))
+            expiry_ms = (last + ttl_us) // 1000
+            state.setTimeoutTimestamp(max(expiry_ms, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"attempt_id": g["attempt_id"], "url": g["url"], "hit": hits})
+
+    ev = event_time(attempts.select("url", "ts", "attempt_id", "status")).withWatermark("event_time", WATERMARK)
+    return ev.groupBy("url").applyInPandasWithState(
+        fold, "attempt_id long, url string, hit boolean", "last_success_us long", "append",
+        GroupStateTimeout.EventTimeTimeout,
+    )

@@ -74,3 +74,17 @@ def test_windowed_counts_over_batches(spark, chunked):
     got = {r.date: r["count"] for r in ST.read_upsert_log(spark, f"{d}/out", ["date"]).collect()}
     want = {r.d: r.n for r in tables.events(spark, chunked).groupBy(F.to_date("ts").alias("d")).agg(F.count("*").alias("n")).collect()}
     assert got == want
+
+
+def test_cache_ttl_stream_equals_batch(spark, chunked):
+    from pagelake.plans import q_sites as QS
+
+    d = ST.scratch(spark, "t6-test")
+    # A one-day TTL: the sample has both hits and entries evicted by the timer.
+    ST.to_files(ST.cache_ttl(ST.attempt_stream(spark, chunked), ttl_s=86400), f"{d}/out", f"{d}/ckpt")
+    got = {r.attempt_id: r.hit for r in spark.read.parquet(f"{d}/out").collect()}
+    res = tables.attempts(spark, chunked).select(
+        F.col("attempt_id").alias("id"), "url", F.col("ts").alias("timestamp"), "status"
+    )
+    want = {r.id: r.hit for r in QS.cache_hits(res, 86400).collect()}
+    assert got == want and any(want.values()) and not all(want.values())
