@@ -59,8 +59,14 @@ def normalise(url) -> Column:
 
 
 def url_decode(url) -> Column:
-    """Percent-decoding (NULL on a malformed escape)."""
-    return F.try_url_decode(_col(url))
+    """``urllib.parse.unquote``: valid ``%XX`` escapes decoded as UTF-8
+    (invalid bytes become U+FFFD), ``+`` kept, a malformed ``%`` left as is.
+
+    Spark's decoder turns ``+`` into a space and fails on a bare ``%``, so
+    both are escaped first (``%2B``, ``%25``)."""
+    u = F.replace(_col(url), F.lit("+"), F.lit("%2B"))
+    u = F.regexp_replace(u, r"%(?![0-9A-Fa-f]{2})", "%25")
+    return F.try_url_decode(u)
 
 
 def drop_fragment(url) -> Column:

@@ -209,3 +209,24 @@ def j2_stats(spark, sf_dir):
     ).agg(F.count(F.lit(1)).alias("requests"), F.count_if(F.col("status") != "success").alias("failures"))
     j = proxies.join(stats, "proxy_key", "left")
     return j.select("proxy_key", F.coalesce("requests", F.lit(0)).alias("requests"), F.coalesce("failures", F.lit(0)).alias("failures"))
+
+
+@query(
+    "x7_decoded_links",
+    f"""SELECT page_id, count(*) AS links, count(*) FILTER (WHERE url_decode(link) <> link) AS changed,
+       sum(length(url_decode(link))) AS decoded_chars
+FROM (SELECT page_id, unnest({Q.links('html', 'url')}) AS link FROM pages) GROUP BY page_id""",
+)
+def x7_links(spark, sf_dir):
+    """Every resolved link decoded as ``unquote`` does; per page the link count,
+    how many change, and the decoded length."""
+    from pagelake.functions import urls as U
+
+    p = tables.pages(spark, sf_dir)
+    e = p.select("page_id", F.explode(H.links(F.col("html"), F.col("url"))).alias("link"))
+    d = U.url_decode(F.col("link"))
+    return e.groupBy("page_id").agg(
+        F.count(F.lit(1)).alias("links"),
+        F.count_if(d != F.col("link")).alias("changed"),
+        F.sum(F.length(d)).alias("decoded_chars"),
+    )

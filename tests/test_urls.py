@@ -54,3 +54,17 @@ def test_netloc_and_validity(spark):
     assert [x.n for x in r] == ["u:p@h.com:81", "", "h.com"]
     assert [x.v for x in r] == [True, False, False]
     assert r[1].w == "https://no-scheme.com/x"
+
+
+PIECES = st.sampled_from(["a", "+", "%", "%2", "%20", "%zz", "%C3%A9", "%E9", "%2B", "%25", "é", "/", "?x=1&y=2", " "])
+
+
+@given(st.lists(st.lists(PIECES, min_size=0, max_size=8), min_size=20, max_size=40))
+@settings(max_examples=5, deadline=None)
+def test_url_decode_matches_unquote(spark, batch):
+    from urllib.parse import unquote
+
+    values = ["".join(p) for p in batch]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i long, v string")
+    got = {r.i: r.d for r in df.select("i", U.url_decode("v").alias("d")).collect()}
+    assert got == {i: unquote(v) for i, v in enumerate(values)}
