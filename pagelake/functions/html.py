@@ -4,10 +4,13 @@ Every function takes the ``html`` column (and the page URL where links are
 resolved) and returns a Column, so a whole extraction record is one
 projection over the page scan: no shuffle, no Python, whole-stage codegen.
 
-Regex semantics are the ASCII ones shared by Java and RE2: ``\\s`` is
-``[ \\t\\n\\x0B\\f\\r]`` and ``(?i)`` folds ASCII letters.  A pattern written
-without DOTALL uses ``[^\\n]`` instead of ``.`` so that, as in Python, only a
-line feed stops it.
+Inside tag syntax the patterns use ``\\s`` (HTML whitespace is ASCII) and
+``(?i)`` folds ASCII letters, semantics shared by Java and RE2.  Text
+whitespace (collapsing, stripping, splitting into words) is Python's: the
+``PY_WHITESPACE`` class below is exactly the set ``str.isspace`` and ``re``'s
+``\\s`` accept, written with ``\\x{..}`` escapes that Java and RE2 both read.
+A pattern written without DOTALL uses ``[^\\n]`` instead of ``.`` so that, as
+in Python, only a line feed stops it.
 """
 
 from __future__ import annotations
@@ -39,8 +42,14 @@ NAV_RE = r"(?is)<nav[^>]*>(.*?)</nav>"
 NAV_LINK_RE = r"""(?i)<a[^>]*href=["']([^"']+)["'][^>]*>([^<]+)</a>"""
 EMAIL_RE = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
 PHONE_RE = r"[\+]?[(]?[0-9]{1,3}[)]?[-\s\.]?[(]?[0-9]{1,4}[)]?[-\s\.]?[0-9]{1,4}[-\s\.]?[0-9]{1,9}"
-WS_RE = r"\s+"
-EDGE_WS_RE = r"^\s+|\s+$"
+# Python's whitespace (fixed values: the code points for which str.isspace()
+# is true), as a character class body.
+PY_WHITESPACE = (
+    r"\t\n\x{0B}\x{0C}\r\x{1C}-\x{1F} \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
+    r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+)
+WS_RE = f"[{PY_WHITESPACE}]+"
+EDGE_WS_RE = f"^[{PY_WHITESPACE}]+|[{PY_WHITESPACE}]+$"
 
 FRAMEWORK_INDICATORS = [
     ("react", ["react", "data-react", "reactdom"]),

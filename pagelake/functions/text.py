@@ -7,10 +7,10 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pagelake.functions.html import WS_RE, strip, word_count  # noqa: F401  (re-exported)
+from pagelake.functions.html import PY_WHITESPACE, WS_RE, strip, word_count  # noqa: F401  (re-exported)
 
 # Fixed patterns.
-NOT_WORD_PUNCT_RE = r"[^\p{L}\p{N}_\s.,!?\-]"
+NOT_WORD_PUNCT_RE = r"[^\p{L}\p{N}_" + PY_WHITESPACE + r".,!?\-]"
 PRICE_KEEP_RE = r"[^\d.,]"
 NUMBER_RE = r"\d+(?:\.\d+)?"
 REPEATED_PUNCT = ["!", ".", ",", "?"]
