@@ -146,3 +146,11 @@ def test_sizes(spark, pages_fixture):
     assert r[4].is_json and r[4].json_fields == 3 and r[4].body_preview is None
     assert r[1].download_size == len(TEST_PAGE.encode())
     assert F is not None
+
+
+def test_image_rows_one_per_image(spark, pages_fixture):
+    """One row per image, in page order, for every hand-made page."""
+    ex = X.extract_record(pages_fixture, level="basic")
+    rows = X.image_rows(ex).collect()
+    want = {(r.page_id, i, img) for r in ex.collect() for i, img in enumerate(r.images or [])}
+    assert {(r.page_id, r.ord, r.image) for r in rows} == want and len(want) > 0
