@@ -50,6 +50,12 @@ PY_WHITESPACE = (
 )
 WS_RE = f"[{PY_WHITESPACE}]+"
 EDGE_WS_RE = f"^[{PY_WHITESPACE}]+|[{PY_WHITESPACE}]+$"
+# The same set minus RE2's ASCII \s ([\t\n\f\r ]): mapped to spaces with a
+# character table, so whole texts are collapsed by the fast ASCII \s+.
+EXTRA_WHITESPACE = (
+    "\x0b\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000"
+)
+ASCII_WS_RE = r"\s+"
 
 FRAMEWORK_INDICATORS = [
     ("react", ["react", "data-react", "reactdom"]),
@@ -69,10 +75,17 @@ def _col(c) -> Column:
 
 
 def strip(c) -> Column:
-    """Python ``str.strip()`` on ASCII whitespace."""
+    """Python ``str.strip()`` (for short strings: titles, paragraphs, labels)."""
     return F.regexp_replace(_col(c), EDGE_WS_RE, "")
 
 
+def collapse_ws(c) -> Column:
+    """Every run of Python whitespace → one space (edges not trimmed): a
+    character-table pass for the non-ASCII spaces, then ASCII ``\\s+``."""
+    t = F.translate(_col(c), EXTRA_WHITESPACE, " " * len(EXTRA_WHITESPACE))
+    return F.regexp_replace(t, ASCII_WS_RE, " ")
+
+
 def first_match(html, pattern: str) -> Column:
     """Group 1 of the first match, NULL when nothing matches.
 
@@ -235,13 +248,13 @@ def visible_text(html) -> Column:
     t = F.regexp_replace(_col(html), SCRIPT_BLOCK_RE, "")
     t = F.regexp_replace(t, STYLE_BLOCK_RE, "")
     t = F.regexp_replace(t, TAG_RE, " ")
-    return strip(F.regexp_replace(t, WS_RE, " "))
+    return F.trim(collapse_ws(t))
 
 
 def word_count(text) -> Column:
     """``len(text.split())``; 0 for empty or blank text."""
-    t = strip(F.coalesce(_col(text), F.lit("")))
-    return F.when(t == "", F.lit(0)).otherwise(F.size(F.split(t, WS_RE)))
+    t = F.trim(collapse_ws(F.coalesce(_col(text), F.lit(""))))
+    return F.when(t == "", F.lit(0)).otherwise(F.size(F.split(t, " ")))
 
 
 def preview(text, n: int = PREVIEW_CHARS, suffix: str = "...") -> Column:

@@ -7,10 +7,11 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pagelake.functions.html import PY_WHITESPACE, WS_RE, strip, word_count  # noqa: F401  (re-exported)
+from pagelake.functions.html import PY_WHITESPACE, WS_RE, collapse_ws, strip, word_count  # noqa: F401  (re-exported)
 
 # Fixed patterns.
-NOT_WORD_PUNCT_RE = r"[^\p{L}\p{N}_" + PY_WHITESPACE + r".,!?\-]"
+# Applied after whitespace is collapsed, when a space is the only whitespace left.
+NOT_WORD_PUNCT_RE = r"[^\p{L}\p{N}_ .,!?\-]"
 PRICE_KEEP_RE = r"[^\d.,]"
 NUMBER_RE = r"\d+(?:\.\d+)?"
 REPEATED_PUNCT = ["!", ".", ",", "?"]
@@ -28,13 +29,13 @@ def clean_text(text) -> Column:
     ``([.,!?])\\1+`` is written as one pass per mark, which is the same function.
     """
     t = _col(text)
-    t = strip(F.regexp_replace(t, WS_RE, " "))
+    t = F.trim(collapse_ws(t))
     t = F.regexp_replace(t, NOT_WORD_PUNCT_RE, "")
     # One pass with a back-reference (Java regex), the same function as one
     # pass per mark (the form the DuckDB oracle uses, as RE2 has no \1).
     marks = "".join(REPEATED_PUNCT)
     t = F.regexp_replace(t, "([" + re.escape(marks) + "])\\1+", "$1")
-    return F.coalesce(strip(t), F.lit(""))
+    return F.coalesce(F.trim(t), F.lit(""))
 
 
 def clean_price(price) -> Column:

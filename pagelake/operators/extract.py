@@ -68,7 +68,9 @@ def page_text(pages: DataFrame, preview_chars: int = H.PREVIEW_CHARS) -> DataFra
         "url",
         text.alias("text"),
         H.preview(text, preview_chars).alias("text_preview"),
-        H.word_count(text).alias("word_count"),
+        # The visible text is already collapsed and trimmed: its words are
+        # the pieces between single spaces (Python's len(text.split())).
+        F.when(text == "", F.lit(0)).otherwise(F.size(F.split(text, " "))).alias("word_count"),
         H.paragraph_text(F.col("html")).alias("content"),
     )
 

@@ -17,15 +17,14 @@ def _doc(spark, sf_dir):
     return tables.read(spark, sf_dir, "documents")
 
 
-CLEAN_SQL = "regexp_replace(regexp_replace({t}, {ws}, ' ', 'g'), {edge}, '', 'g')"
 
 
 def _clean_text_sql(t: str) -> str:
-    x = CLEAN_SQL.format(t=t, ws=Q.lit(H.WS_RE), edge=Q.lit(H.EDGE_WS_RE))
+    x = f"trim({Q.collapse_ws(t)})"
     x = f"regexp_replace({x}, {Q.lit(T.NOT_WORD_PUNCT_RE)}, '', 'g')"
     for mark in T.REPEATED_PUNCT:
         x = f"regexp_replace({x}, {Q.lit(chr(92) + mark + '{2,}')}, {Q.lit(mark)}, 'g')"
-    return f"coalesce({Q.strip(x)}, '')"
+    return f"coalesce(trim({x}), '')"
 
 
 @query(

@@ -21,6 +21,15 @@ def strip(x: str) -> str:
     return f"regexp_replace({x}, {lit(H.EDGE_WS_RE)}, '', 'g')"
 
 
+EXTRA_WS_SQL = "(" + " || ".join(f"chr({ord(c)})" for c in H.EXTRA_WHITESPACE) + ")"
+
+
+def collapse_ws(x: str) -> str:
+    """Python whitespace runs → one space (see ``html.collapse_ws``)."""
+    t = f"translate({x}, {EXTRA_WS_SQL}, repeat(' ', {len(H.EXTRA_WHITESPACE)}))"
+    return f"regexp_replace({t}, {lit(H.ASCII_WS_RE)}, ' ', 'g')"
+
+
 def first_group(x: str, pattern: str) -> str:
     return f"CASE WHEN regexp_matches({x}, {lit(pattern)}) THEN regexp_extract({x}, {lit(pattern)}, 1) END"
 
@@ -78,12 +87,12 @@ def visible_text(html: str) -> str:
     t = f"regexp_replace({html}, {lit(H.SCRIPT_BLOCK_RE)}, '', 'g')"
     t = f"regexp_replace({t}, {lit(H.STYLE_BLOCK_RE)}, '', 'g')"
     t = f"regexp_replace({t}, {lit(H.TAG_RE)}, ' ', 'g')"
-    return strip(f"regexp_replace({t}, {lit(H.WS_RE)}, ' ', 'g')")
+    return f"trim({collapse_ws(t)})"
 
 
 def word_count(text: str) -> str:
-    t = strip(f"coalesce({text}, '')")
-    return f"CASE WHEN {t} = '' THEN 0 ELSE len(regexp_split_to_array({t}, {lit(H.WS_RE)})) END"
+    t = f"trim({collapse_ws(f'coalesce({text}, {chr(39)}{chr(39)})')})"
+    return f"CASE WHEN {t} = '' THEN 0 ELSE len(string_split({t}, ' ')) END"
 
 
 def contains_any(low: str, words: list[str]) -> str:
