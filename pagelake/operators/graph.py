@@ -55,22 +55,27 @@ def crawl_frontier(edges: DataFrame, seeds: DataFrame, max_depth: int) -> DataFr
     (``left_anti`` against everything seen).  The loop stops at ``max_depth``
     or when a level is empty; the emptiness test is a one-row action.
     """
+    from functools import reduce
+
     edges = materialise_edges(edges)
-    seen = seeds.select("url").distinct().withColumn("depth", F.lit(0)).checkpoint()
-    frontier = seen.select("url")
+    frontier = seeds.select("url").distinct().checkpoint()
+    # Every level is checkpointed once; "seen" is the union of the levels, a
+    # plan that grows by one scan per level (bounded by max_depth).
+    levels = [frontier.withColumn("depth", F.lit(0))]
     for depth in range(1, max_depth + 1):
+        seen = reduce(lambda a, b: a.unionByName(b), [lv.select("url") for lv in levels])
         nxt = (
             frontier.join(edges, frontier["url"] == edges["src"])
             .select(F.col("dst").alias("url"))
             .distinct()
-            .join(seen.select("url"), "url", "left_anti")
+            .join(seen, "url", "left_anti")
             .checkpoint()
         )
         if nxt.isEmpty():
             break
-        seen = seen.unionByName(nxt.withColumn("depth", F.lit(depth))).checkpoint()
+        levels.append(nxt.withColumn("depth", F.lit(depth)))
         frontier = nxt
-    return seen
+    return reduce(lambda a, b: a.unionByName(b), levels)
 
 
 def pagerank(edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
