@@ -115,3 +115,13 @@ def test_stored_results_prune_by_day(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(date" in plan
     want = r.where((F.col("timestamp") >= F.lit(since).cast("timestamp_ntz")) & (F.col("timestamp") < F.lit(until).cast("timestamp_ntz")))
     assert got.count() == want.count() > 0
+
+
+def test_seed_requests_and_paged_urls(spark):
+    pages = spark.createDataFrame([(1, "https://a.example/x"), (2, "https://b.example/y?q=1")], "page_id long, url string")
+    seeds = spark.createDataFrame([("https://a.example/x",), ("https://c.example/z",)], "url string")
+    got = {r.url: (r.page_id, r.state) for r in S.seed_requests(seeds, pages).collect()}
+    assert got == {"https://a.example/x": (1, "fetched"), "https://c.example/z": (None, "pending")}
+    paged = S.paged_urls(pages, 3).collect()
+    assert len(paged) == 6
+    assert {r.paged_url for r in paged if r.page_id == 2} == {f"https://b.example/y?q=1?page={n}" for n in (1, 2, 3)}
