@@ -166,8 +166,10 @@ def frameworks(html) -> Column:
         for ind in indicators:
             c = low.contains(ind)
             hit = c if hit is None else (hit | c)
-        flags.append(F.when(hit, F.lit(name)))
-    return F.filter(F.array(*flags), lambda x: x.isNotNull())
+        flags.append(F.when(hit, F.array(F.lit(name))).otherwise(F.array().cast("array<string>")))
+    # Concatenated one-element arrays, not filter(array(..)): a higher-order
+    # function would leave codegen and re-run lower(html) for every indicator.
+    return F.concat(*flags)
 
 
 def forms_count(html) -> Column:
