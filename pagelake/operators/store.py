@@ -13,15 +13,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagelake.functions import text as T
+from pagelake.operators import numbering
 
 SUMMARY_COLUMNS = ["id", "url", "domain", "method_used", "status", "timestamp", "title"]
 MAX_PAGE = 1000
 # Relevance weights of a search hit: title, URL, stored data text.
 SEARCH_WEIGHTS = (10, 5, 1)
 
-# Most per-(partition, group) offset rows broadcast by ``numbered``.
-MAX_OFFSET_ROWS = 1_000_000
-
 
 def newest_first() -> list[Column]:
     """Total order of L1: newest first, id as tiebreak."""
@@ -157,27 +155,26 @@ def numbered(df: DataFrame, order: list[Column], group: list[str] | None = None,
 
     A ``row_number`` window would put a whole group (or, without a group,
     the whole table) in one task.  Here the rows are range-partitioned and
-    sorted by ``(group, order)``; ``monotonically_increasing_id`` then gives
-    each row its position inside its partition (ids increase in row order
-    within a task), and a small table of per-(partition, group) counts gives
-    each partition's offset within its group.  Range partitioning keeps a
-    group contiguous, so that table has at most partitions + groups rows:
-    without a group it is bounded by the partition count and broadcast; with
-    a group it is broadcast when the group count is under
-    ``MAX_OFFSET_ROWS`` (checked), else joined normally.  No extra shuffle
-    of the rows beyond the sort.
+    sorted by ``(group, order)`` once and saved with their partition number
+    and position (``numbering.positioned``).  Both the counts and the numbers
+    derive from that one saved sort, so they cannot disagree.  A group is
+    contiguous in the sort, so the per-(partition, group) count table has at
+    most partitions + groups rows; without a group it is bounded by the
+    partition count and broadcast, with one it is joined as Spark sizes it.
     """
     g = list(group or [])
-    sorted_df = df.orderBy(*([F.col(c) for c in g] + list(order)))
-    pos = sorted_df.withColumn("_pid", F.spark_partition_id()).withColumn("_pos", F.monotonically_increasing_id())
+    pos = numbering.positioned(df, [F.col(c).asc_nulls_first() for c in g] + list(order))
     counts = pos.groupBy("_pid", *g).agg(F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_first"))
     before = (W.partitionBy(*g) if g else W).orderBy("_pid").rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).select("_pid", *g, "_off", "_first")
-    small = not g or df.select(*g).distinct().limit(MAX_OFFSET_ROWS + 1).count() <= MAX_OFFSET_ROWS
-    joined = pos.join(F.broadcast(offsets) if small else offsets, ["_pid", *g])
-    return joined.withColumn(name, F.col("_off") + (F.col("_pos") - F.col("_first")) + 1).drop(
-        "_pid", "_pos", "_off", "_first"
+    offsets = counts.select(
+        F.col("_pid").alias("_opid"), *[F.col(c).alias(f"_o_{c}") for c in g],
+        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"), "_first",
     )
+    same = F.col("_pid") == F.col("_opid")
+    for c in g:
+        same = same & F.col(c).eqNullSafe(F.col(f"_o_{c}"))
+    joined = pos.join(offsets if g else F.broadcast(offsets), same)
+    return joined.withColumn(name, F.col("_off") + (F.col("_pos") - F.col("_first")) + 1).select(*df.columns, name)
 
 
 def to_record(results: DataFrame) -> DataFrame:

@@ -211,19 +211,17 @@ def p5_listings(spark, sf_dir):
     """P5: zip parallel lists (parts, quantities of non-returned lines) per order,
     driven by the parts list, NULL-padded where the other list is shorter.
 
-    Without collecting an order's lines: each list is a per-order numbering
-    (distributed, no single-task window) and the zip is a left join on
-    (order, position)."""
-    from pagelake.operators import store as ST
-
+    An order holds a handful of lines, so each list is a plain ``row_number``
+    per order (one shuffle on the order key, shared by both windows and the
+    join) and the zip is a left join on (order, position)."""
     li = tables.read(spark, sf_dir, "lineitem")
-    order = [F.col(c) for c in LINE_ORDER]
-    parts = ST.numbered(li.select("l_orderkey", *LINE_ORDER), order, group=["l_orderkey"], name="_n").select(
-        F.col("l_orderkey").alias("o_orderkey"), (F.col("_n") - 1).alias("pos"), F.col("l_partkey").alias("part")
+    per_order = W.partitionBy("l_orderkey").orderBy(*LINE_ORDER)
+    parts = li.select(
+        F.col("l_orderkey").alias("o_orderkey"), (F.row_number().over(per_order) - 1).alias("pos"), F.col("l_partkey").alias("part")
     )
-    kept = li.where(F.col("l_returnflag") != "R").select("l_orderkey", *LINE_ORDER, "l_quantity")
-    qtys = ST.numbered(kept, order, group=["l_orderkey"], name="_n").select(
-        F.col("l_orderkey").alias("o_orderkey"), (F.col("_n") - 1).alias("pos"), F.col("l_quantity").alias("qty")
+    kept = li.where(F.col("l_returnflag") != "R")
+    qtys = kept.select(
+        F.col("l_orderkey").alias("o_orderkey"), (F.row_number().over(per_order) - 1).alias("pos"), F.col("l_quantity").alias("qty")
     )
     return parts.join(qtys, ["o_orderkey", "pos"], "left")
 

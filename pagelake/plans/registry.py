@@ -68,7 +68,6 @@ MODULES = [
     "q_quality",
     "q_reliability",
     "q_reports",
-    "q_changes",
     "q_selectors",
     "q_graph",
     "q_streams",
@@ -81,10 +80,7 @@ MODULES = [
 def load_all() -> dict[str, Query]:
     """Import every query module so that all registrations run."""
     import importlib
-    import importlib.util
 
     for m in MODULES:
-        full = f"pagelake.plans.{m}"
-        if importlib.util.find_spec(full) is not None:
-            importlib.import_module(full)
+        importlib.import_module(f"pagelake.plans.{m}")
     return QUERIES

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -33,24 +34,50 @@ def configure(spark: SparkSession) -> SparkSession:
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
     checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, creating a local one if unset."""
+    """The shared checkpoint folder that the session names.
+
+    Only a ``local[...]`` session, where driver and executors are one process,
+    gets a scratch folder of its own when ``spark.checkpoint.dir`` is unset.
+    """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
-        "spark.checkpoint.dir", None
-    )
+    configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="pagelake-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give the Python workers this package, wherever the caller started from.
+
+    ``addPyFile`` serves the zip from the driver to every executor, so no
+    shared folder or PYTHONPATH is needed.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_pagelake_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="pagelake-pkg-"), "pagelake_src.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(root):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.join("pagelake", os.path.relpath(full, root)))
+    sc.addPyFile(target)
+    sc._pagelake_shipped = True
+
+
 def build(app: str = "pagelake", cpus: int | None = None, shuffle_partitions: int | None = None) -> SparkSession:
     """Local session for tests and the bench; clusters pass their own session."""
     cpus = cpus or int(os.environ.get("BENCH_CPUS", "8"))
