@@ -21,8 +21,12 @@ class Query:
 QUERIES: dict[str, Query] = {}
 
 MODULES = [
+    "packing",
+    "bpe",
     "naming",
     "hilbert",
+    "htmltext",
+    "langid",
 ]
 
 
