@@ -113,7 +113,8 @@ def dedup(docs: DataFrame, block: int = BLOCK_BYTES, doc_id: str = "doc_id", tex
     ids = rows.select("rid", "doc_id")
     known = saved(ids.join(ident, "rid"), "identities")
     best = F.max(F.struct(F.col("doc_id").isNotNull().alias("real"), F.col("doc_id"), (-F.col("rid")).alias("first"))).alias("best")
-    groups = known.groupBy("identity").agg(best, F.count(F.lit(1)).alias("group_size"))
+    # Written first, so that Spark may split a hot group in the join below.
+    groups = saved(known.groupBy("identity").agg(best, F.count(F.lit(1)).alias("group_size")), "identity-groups")
     found = known.join(groups, "identity").select(
         "rid",
         F.col("best.doc_id").alias("keep_id"),
