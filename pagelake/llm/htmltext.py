@@ -249,14 +249,18 @@ def grow(rows: np.ndarray, labels: np.ndarray, depth: int = 16) -> tuple:
 
 
 def trained_tree(labelled=LABELLED) -> tuple:
-    """Grow the tree on the labelled blocks and, for each, a twin in a menu, advert
-    or the like, which is never main text.  A block and its twin differ in the
-    zone alone, so every path to main text tests the zone."""
+    """Grow the tree on the labelled blocks and their twins in other zones.
+
+    Each block has a twin in a menu, advert or the like, which is never main
+    text, and one that is mostly not links has a twin inside an article, which
+    always is.  A block and its twin differ in the zone alone, so the paths
+    of both kinds test the zone."""
     data = np.array(labelled, float)
-    twins = data.copy()
-    twins[:, FEATURES.index("zone")] = BOILER
-    twins[:, -1] = 0
-    data = np.vstack([data, twins])
+    zone, links = FEATURES.index("zone"), FEATURES.index("links")
+    menu, article = data.copy(), data[data[:, links] < 0.5]
+    menu[:, zone], menu[:, -1] = BOILER, 0
+    article[:, zone], article[:, -1] = ARTICLE, 1
+    data = np.vstack([data, menu, article])
     return grow(data[:, :-1], data[:, -1])
 
 

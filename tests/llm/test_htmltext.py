@@ -54,3 +54,15 @@ def test_rows(spark):
     want = [(1, "u", TEXT, len(TEXT))] * 2 + [(None, None, "", 0), (2, "v", "", 0), (3, "w", long, len(long))]
     assert out == sorted(want, key=str)
     assert h.extract(df.limit(0)).count() == 0
+
+
+def test_given_pages_hold_whole_articles(spark):
+    """Every given page: the article element, its blocks in order, nothing else."""
+    import html
+    import re
+
+    pages = {r.page_id: r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()}
+    for page_id, page in pages.items():
+        body = re.sub(r"<[^>]*\Z", "", re.search(r"<article>(.*?)(?:</article>|\Z)", page, re.S)[1])
+        parts = (" ".join(html.unescape(re.sub(r"<[^>]+>", " ", b)).split()) for b in re.split(r"</?(?:p|h1)>", body))
+        assert h.main_text(page, TREE) == "\n".join(p for p in parts if p), page_id
