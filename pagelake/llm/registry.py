@@ -23,6 +23,7 @@ QUERIES: dict[str, Query] = {}
 MODULES = [
     "packing",
     "bpe",
+    "substrings",
     "naming",
     "hilbert",
     "htmltext",
