@@ -26,6 +26,7 @@ MODULES = [
     "substrings",
     "naming",
     "hilbert",
+    "merkle",
     "htmltext",
     "langid",
 ]
