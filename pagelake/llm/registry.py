@@ -27,6 +27,7 @@ MODULES = [
     "naming",
     "hilbert",
     "merkle",
+    "ordermin",
     "htmltext",
     "langid",
 ]
