@@ -24,6 +24,7 @@ MODULES = [
     "packing",
     "bpe",
     "substrings",
+    "maxent",
     "naming",
     "hilbert",
     "merkle",
