@@ -5,20 +5,20 @@ The remainders' length histogram (at most ``SEQUENCE`` numbers, whatever the
 input size) is a cutting-stock problem: a linear program over patterns, each
 pattern a multiset of length classes that fills one sequence.  New patterns are
 priced by a knapsack dynamic program over the dual values.  The program's
-solution is rounded down; the few remainders it leaves out (bounded by the
-number of classes, not by the input) are placed best-fit.  Patterns are then
-given to documents by rank: the n-th document of a length class has a known
-pattern, sequence and place, found by a search in a table of pattern runs.
+solution is rounded down and given to documents by rank: the n-th document of a
+length class has a known pattern, sequence and place, found by a search in a
+table of pattern runs.  What rounding leaves out, and lengths that no pattern
+fills well, are laid end to end and cut at full sequences.
 
 Scale: texts are read once and never shuffled; what is sorted and grouped are
-rows of six numbers.  The driver holds the histogram, the patterns and the
-left-over remainders only.
+rows of six numbers.  The driver holds the histogram and the patterns only:
+where a rank stands in the line follows from the histogram.
 """
 
 from __future__ import annotations
 
 import zlib
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -33,12 +33,13 @@ from pagelake.operators.numbering import global_rank, saved
 
 SEQUENCE = 4096
 GRID = 8  # tokens of a length class
-MAX_GAP = 64  # padding a left-over sequence may have before it is cut at powers of two
-MAX_ROUNDS = 4000  # pricing rounds; stopping early costs padding, never a document
-TOLERANCE = 0.002
+MAX_GAP = 48  # tokens a pattern may leave free in the mean
+MAX_ROUNDS = 1500  # pricing rounds; stopping early costs padding, never a document
+TOLERANCE = 0.005
 END_ID = 2
-TEXT_PIECE = 1 << 18  # characters tokenised at once
-_BATCH = 32
+CACHE = 300_000  # words of a generation of a worker's cache
+PART = 100_000  # words of a text looked up at once
+_END = np.array([END_ID], "<u4").tobytes()
 
 PIECES = "rid long, doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long"
 _tokenizers: dict = {}
@@ -57,37 +58,59 @@ def tokenizer(path: str):
     return _tokenizers[path]
 
 
-def _parts(text: str) -> list[str]:
-    """A text cut at white space into parts of about ``TEXT_PIECE`` characters.
+class Words(dict):
+    """Ids of words (runs between ASCII white space) as little-endian 32-bit bytes.
 
-    The vocabulary drops white space and never joins across it, so the parts'
-    ids in a row are the text's ids; memory is bounded for very long texts.
+    The vocabulary's pre-tokens never hold white space and its normalisation
+    never reaches across it, so a text's ids are its words' ids in a row.  A
+    worker tokenises each word once; of two generations of ``CACHE`` words the
+    older one goes, so memory is bounded.
     """
-    out, at = [], 0
-    while len(text) - at > TEXT_PIECE:
-        cut = at + TEXT_PIECE
-        while cut < len(text) and text[cut] not in " \n\t":
-            cut += 1
-        out.append(text[at:cut])
-        at = cut
-    out.append(text[at:])
+
+    def __init__(self, path: str):
+        super().__init__()
+        self.path = path
+        self.old: dict = {}
+
+    def meet(self, words: set[bytes]) -> None:
+        """Make sure that all ``words`` are here."""
+        new = words - self.keys()
+        if not new:
+            return
+        if len(self) + len(new) > CACHE:
+            self.old = dict(self)
+            self.clear()
+            new = words
+        self.update((w, self.old[w]) for w in new & self.old.keys())
+        todo = list(new - self.old.keys())
+        t = tokenizer(self.path)
+        for at in range(0, len(todo), 1024):
+            part = todo[at : at + 1024]
+            found = t.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
+            self.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, found))
+
+
+_words: dict = {}
+
+
+def token_bytes(texts: list[str | None], path: str) -> list[bytes]:
+    """Ids of each text, then ``END_ID``, as little-endian unsigned 32-bit numbers."""
+    if path not in _words:
+        _words[path] = Words(path)
+    known = _words[path]
+    out = []
+    for text in texts:
+        words, ids = (text or "").encode().split(), []
+        for at in range(0, len(words), PART):
+            part = words[at : at + PART]
+            known.meet(set(part))
+            ids.append(b"".join(map(known.__getitem__, part)))
+        out.append(b"".join([*ids, _END]))
     return out
 
 
 def token_ids(texts: list[str | None], path: str) -> list[np.ndarray]:
-    """Ids of each text, then ``END_ID``, as little-endian unsigned 32-bit arrays."""
-    parts = [_parts(t or "") for t in texts]
-    flat = [p for ps in parts for p in ps]
-    ids: list = []
-    t = tokenizer(path)
-    for at in range(0, len(flat), _BATCH):
-        ids += [e.ids for e in t.encode_batch_fast(flat[at : at + _BATCH], add_special_tokens=False)]
-    out, at = [], 0
-    for ps in parts:
-        own = [i for p in ids[at : at + len(ps)] for i in p] if len(ps) > 1 else ids[at]
-        at += len(ps)
-        out.append(np.array([*own, END_ID], "<u4"))
-    return out
+    return [np.frombuffer(b, "<u4") for b in token_bytes(texts, path)]
 
 
 def pieces(rows: DataFrame, path: str, sequence: int = SEQUENCE) -> DataFrame:
@@ -98,11 +121,11 @@ def pieces(rows: DataFrame, path: str, sequence: int = SEQUENCE) -> DataFrame:
         for batch in batches:
             rids, ids, texts = (batch.column(c).to_pylist() for c in ("rid", "doc_id", "text"))
             out = []
-            for at in range(0, len(rids), _BATCH):
-                for k, arr in enumerate(token_ids(texts[at : at + _BATCH], path), at):
-                    for start in range(0, len(arr), sequence):
-                        part = arr[start : start + sequence]
-                        out.append((rids[k], ids[k], start, len(part), zlib.crc32(part.tobytes()), len(arr)))
+            for rid, doc_id, ids_ in zip(rids, ids, token_bytes(texts, path)):
+                n = len(ids_) // 4
+                for start in range(0, n, sequence):
+                    part = ids_[4 * start : 4 * (start + sequence)]
+                    out.append((rid, doc_id, start, len(part) // 4, zlib.crc32(part), n))
             cols = list(zip(*out)) if out else [[]] * 6
             yield pa.RecordBatch.from_arrays(
                 [pa.array(cols[0], pa.int64()), pa.array(cols[1], batch.schema.field("doc_id").type)] + [pa.array(c, pa.int64()) for c in cols[2:]],
@@ -141,17 +164,19 @@ def solve(size: np.ndarray, demand: np.ndarray, room: int) -> list[tuple[np.ndar
     """Cutting-stock linear program by column generation: (pattern, times) pairs.
 
     Starts from one-class patterns and lets the best-priced pattern into the
-    basis until none is worth more than 1 + ``TOLERANCE`` (by the dual bound the
-    share of sequences lost at most) or ``MAX_ROUNDS`` is reached.
+    basis until the dual bound (objective over the best price met) says that
+    at most a share ``TOLERANCE`` of sequences could be saved.
     """
     m = len(size)
     basis = np.diag(room // size).astype(float)
     inverse = np.diag(1.0 / (room // size))
     times = demand / (room // size)
+    bound = 0.0
     for turn in range(MAX_ROUNDS):
         prices = inverse.sum(axis=0)
         value, pattern = knapsack(prices, size, room)
-        if value <= 1 + TOLERANCE:
+        bound = max(bound, times.sum() / value)
+        if times.sum() <= bound * (1 + TOLERANCE):
             break
         direction = inverse @ pattern
         up = direction > 1e-9
@@ -172,99 +197,123 @@ def solve(size: np.ndarray, demand: np.ndarray, room: int) -> list[tuple[np.ndar
     return [(basis[:, j].astype(int), float(times[j])) for j in range(m) if times[j] > 0]
 
 
-@dataclass
-class Plan:
-    """Runs of ranks with their places; ranks are over all pieces, longest first."""
-
-    first: list = field(default_factory=list)  # first rank of a run
-    per: list = field(default_factory=list)  # pieces of the run in each sequence
-    sequence: list = field(default_factory=list)  # sequence of the first rank
-    slot: list = field(default_factory=list)  # place of the first rank in its sequence
-    cuts: dict = field(default_factory=dict)  # rank -> [(start, length, sequence, slot), ...]
+def powers(total: int) -> list[int]:
+    """The powers of two that add up to ``total``, largest first."""
+    return [1 << b for b in range(total.bit_length() - 1, -1, -1) if total >> b & 1]
 
-    def run(self, first, per, sequence, slot):
-        self.first.append(first)
-        self.per.append(per)
-        self.sequence.append(sequence)
-        self.slot.append(slot)
 
-    def arrays(self):
-        order = np.argsort(self.first, kind="stable")
-        return [np.array(x, np.int64)[order] for x in (self.first, self.per, self.sequence, self.slot)]
+@dataclass
+class Plan:
+    """Places of all pieces by rank (longest piece first), as a few arrays.
 
+    A *run* is a range of ranks of one class that a pattern takes, ``per`` of
+    them in each sequence from ``slot`` on.  Ranks in no pattern (``per`` 0)
+    are laid end to end; ``stream`` is the token where the run starts in that
+    line, which is cut into sequences at ``edges``.
+    """
 
-def powers(total: int) -> list[int]:
-    """The powers of two that add up to ``total``, largest first."""
-    return [1 << b for b in range(total.bit_length() - 1, -1, -1) if total >> b & 1]
+    first: np.ndarray
+    per: np.ndarray
+    sequence: np.ndarray
+    slot: np.ndarray
+    stream: np.ndarray
+    length_first: np.ndarray  # first rank of each length, and that length
+    length: np.ndarray
+    tokens: np.ndarray  # tokens of all ranks before it
+    line_sequence: int  # first sequence of the line
+    line_total: int
+    line_tail: np.ndarray  # ends of the sequences after the last full one
+    size: int
+
+    def before(self, rank: np.ndarray) -> np.ndarray:
+        """Tokens of all pieces of lower rank."""
+        k = np.searchsorted(self.length_first, rank, side="right") - 1
+        return self.tokens[k] + (rank - self.length_first[k]) * self.length[k]
+
+    def place(self, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sequence and slot of each rank; sequence -1 for those in the line."""
+        run = np.searchsorted(self.first, rank, side="right") - 1
+        per = np.maximum(self.per[run], 1)
+        nth = rank - self.first[run]
+        return np.where(self.per[run] > 0, self.sequence[run] + nth // per, -1), self.slot[run] + nth % per
+
+    def parts(self, rank: np.ndarray, length: np.ndarray) -> list[list[tuple[int, int, int, int]]]:
+        """Parts (start, length, sequence, offset) of pieces in the line."""
+        run = np.searchsorted(self.first, rank, side="right") - 1
+        at = self.stream[run] + self.before(rank) - self.before(self.first[run])
+        full = self.line_total // self.size * self.size
+        out = []
+        for pos, n in zip(at.tolist(), length.tolist()):
+            own, stop = [], pos + n
+            start = pos
+            while start < stop:
+                if start < full:
+                    k = start // self.size
+                    lo, hi = k * self.size, (k + 1) * self.size
+                else:
+                    k = int(np.searchsorted(self.line_tail, start, side="right"))
+                    lo, hi = (full if k == 0 else int(self.line_tail[k - 1])), int(self.line_tail[k])
+                    k += full // self.size
+                end = min(stop, hi)
+                own.append((start - pos, end - start, self.line_sequence + k, start - lo))
+                start = end
+            out.append(own)
+        return out
 
 
 def plan(histogram: dict[int, int], sequence: int = SEQUENCE, grid: int = GRID, max_gap: int = MAX_GAP) -> Plan:
-    """Places for all pieces, from the count of pieces of each length."""
-    out = Plan()
+    """Places for all pieces, from the count of pieces of each length.
+
+    Patterns that leave more than ``max_gap`` tokens free in the mean are not
+    used.  What the
+    rounded patterns leave out is laid end to end and cut at full sequences;
+    the last one, not full, is cut at powers of two, which need no padding.
+    """
+    runs: list[tuple[int, int, int, int, int]] = []
     lengths = sorted(histogram, reverse=True)
     room = sequence // grid
-    full = [n for n in lengths if -(-n // grid) >= room]
     next_sequence = rank = 0
-    for n in full:  # a sequence of their own
-        out.run(rank, 1, next_sequence, 0)
+    for n in (n for n in lengths if -(-n // grid) >= room):  # a sequence of their own
+        if n < sequence - max_gap:
+            break
+        runs.append((rank, 1, next_sequence, 0, 0))
         rank += histogram[n]
         next_sequence += histogram[n]
-    rest = [n for n in lengths if -(-n // grid) < room]
+    rest = [n for n in lengths if -(-n // grid) < room or n < sequence - max_gap]
     classes = sorted({-(-n // grid) for n in rest}, reverse=True)
     size = np.array(classes, int)
     demand = np.array([sum(histogram[n] for n in range(max(1, (c - 1) * grid + 1), c * grid + 1) if n in histogram) for c in classes], float)
+    held = [sum(n * histogram[n] for n in range(max(1, (c - 1) * grid + 1), c * grid + 1) if n in histogram) for c in classes]
+    mean = np.array(held, float) / np.maximum(demand, 1)
     at = rank + np.concatenate([[0], np.cumsum(demand)]).astype(int)  # next free rank of each class
     stop = at[1:].copy()
-    if classes:
-        for pattern, times in solve(size, demand, room):
-            whole = int(times + 1e-9)
-            whole = min([whole, *((stop[k] - at[k]) // pattern[k] for k in np.flatnonzero(pattern))])
-            if not whole:
-                continue
-            slot = 0
-            for k in np.flatnonzero(pattern):
-                out.run(int(at[k]), int(pattern[k]), next_sequence, slot)
-                at[k] += whole * pattern[k]
-                slot += int(pattern[k])
-            next_sequence += whole
-    # Left over: the shortest of each class.  Their lengths are known from the histogram.
-    edges = np.cumsum([0] + [histogram[n] for n in lengths])
-    left = [r for k in range(len(classes)) for r in range(int(at[k]), int(stop[k]))]
-    sizes = [lengths[int(np.searchsorted(edges, r, side="right")) - 1] for r in left]
-    free = np.empty(len(left), int)  # of each open sequence
-    held: list[list[tuple[int, int]]] = []
-    for r, n in sorted(zip(left, sizes), key=lambda x: (-x[1], x[0])):
-        opened = free[: len(held)]
-        fits = np.flatnonzero(opened >= n)
-        if len(fits):
-            b = int(fits[opened[fits].argmin()])
-        else:
-            b = len(held)
-            held.append([])
-            free[b] = sequence
-        held[b].append((r, n))
-        free[b] -= n
-    for b, items in enumerate(held):
-        if free[b] <= max_gap:
-            for slot, (r, _) in enumerate(items):
-                out.run(r, 1, next_sequence, slot)
-            next_sequence += 1
+    for pattern, times in solve(size, demand, room) if classes else ():
+        whole = min([int(times + 1e-9), *((stop[k] - at[k]) // pattern[k] for k in np.flatnonzero(pattern))])
+        if not whole or sequence - pattern @ mean > max_gap:
             continue
-        # Too much padding: sequences of powers of two, which need none.
-        todo = [(r, 0, n) for r, n in items]
-        for length in powers(sequence - int(free[b])):
-            slot = 0
-            while length:
-                r, start, n = todo.pop(0)
-                out.cuts.setdefault(r, []).append((start, min(n, length), next_sequence, slot))
-                if n > length:
-                    todo.insert(0, (r, start + length, n - length))
-                slot += 1
-                length -= min(n, length)
-            next_sequence += 1
-    for r in out.cuts:
-        out.run(r, 1, -1, 0)
-    return out
+        slot = 0
+        for k in np.flatnonzero(pattern):
+            runs.append((int(at[k]), int(pattern[k]), next_sequence, slot, 0))
+            at[k] += whole * pattern[k]
+            slot += int(pattern[k])
+        next_sequence += whole
+    length = np.array(lengths, np.int64)
+    count = np.array([histogram[n] for n in lengths], np.int64)
+    length_first = np.concatenate([[0], np.cumsum(count)[:-1]]).astype(np.int64)
+    tokens = np.concatenate([[0], np.cumsum(count * length)[:-1]]).astype(np.int64)
+    made = Plan(*[np.zeros(0, np.int64)] * 5, length_first, length, tokens, next_sequence, 0, np.zeros(0, np.int64), sequence)
+    total = int(count @ length) if len(lengths) else 0
+    for k in range(len(classes)):
+        lo, hi = int(at[k]), int(stop[k])
+        if lo < hi:
+            runs.append((lo, 0, -1, 0, made.line_total))
+            end = total if hi >= count.sum() else int(made.before(np.array([hi]))[0])
+            made.line_total += end - int(made.before(np.array([lo]))[0])
+    runs.sort()
+    made.first, made.per, made.sequence, made.slot, made.stream = (np.array(x, np.int64) for x in (zip(*runs) if runs else [[]] * 5))
+    full = made.line_total // sequence * sequence
+    made.line_tail = full + np.cumsum(powers(made.line_total - full)).astype(np.int64)
+    return made
 
 
 PLACED = ["rid", "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "slot"]
@@ -284,47 +333,48 @@ def pack(docs: DataFrame, path: str, sequence: int = SEQUENCE, grid: int = GRID,
     ranked = global_rank(cut, order, "rank")
     histogram = {r.length: r.n for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     made = plan(histogram, sequence, grid)
-    shared = docs.sparkSession.sparkContext.broadcast(made.arrays())
+    shared = docs.sparkSession.sparkContext.broadcast(made)
 
     @F.pandas_udf("sequence_id long, slot long")
     def place(rank: pd.Series) -> pd.DataFrame:
-        first, per, seq, slot = shared.value
-        g = rank.to_numpy()
-        run = np.searchsorted(first, g, side="right") - 1
-        nth = g - first[run]
-        return pd.DataFrame({"sequence_id": np.where(seq[run] < 0, -1, seq[run] + nth // per[run]), "slot": slot[run] + nth % per[run]})
+        seq, slot = shared.value.place(rank.to_numpy())
+        return pd.DataFrame({"sequence_id": seq, "slot": slot})
+
+    @F.pandas_udf("array<struct<part:long, length:long, sequence_id:long, slot:long>>")
+    def parts(rank: pd.Series, length: pd.Series) -> pd.Series:
+        names = ("part", "length", "sequence_id", "slot")
+        return pd.Series([[dict(zip(names, p)) for p in own] for own in shared.value.parts(rank.to_numpy(), length.to_numpy())])
 
     placed = ranked.withColumn("_at", place("rank")).select(*PLACED[:6], "_at.sequence_id", "_at.slot", "rank")
     whole = placed.where("sequence_id >= 0").select(*PLACED)
-    if made.cuts:
-        whole = whole.unionByName(_recut(rows, placed.where("sequence_id < 0"), made, path))
+    line = placed.where("sequence_id < 0").withColumn("p", F.explode(parts("rank", "length")))
+    line = line.select(
+        "rid", "doc_id", (F.col("start") + F.col("p.part")).alias("start"), "p.length", "ids_crc32", "doc_tokens", "p.sequence_id", "p.slot",
+        (F.col("p.length") < F.col("length")).alias("cut"),
+    )
+    line = saved(line, "line")
+    whole = whole.unionByName(line.where("NOT cut").select(*PLACED)).unionByName(_recut(rows, line.where("cut"), path))
     # A sequence holds at most ``sequence`` pieces.
     before = W.partitionBy("sequence_id").orderBy("slot").rowsBetween(W.unboundedPreceding, -1)
     return whole.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long")).drop("slot")
 
 
-def _recut(rows: DataFrame, cut: DataFrame, made: Plan, path: str) -> DataFrame:
-    """The pieces that a left-over sequence cuts again, with their own checksums.
+def _recut(rows: DataFrame, cut: DataFrame, path: str) -> DataFrame:
+    """Pieces that the line's edges cut again, with their own checksums.
 
-    Their number is bounded by the length classes; only their documents are
-    tokenised once more.
+    At most one a sequence of the line; their documents are tokenised once more.
     """
-    places = [(r, s, n, q, k) for r, parts in made.cuts.items() for s, n, q, k in parts]
-    spark = rows.sparkSession
-    parts = spark.createDataFrame(places, "rank long, part long, part_length long, sequence_id long, slot long")
-    todo = cut.drop("sequence_id", "slot").join(F.broadcast(parts), "rank")
-    todo = todo.select("rid", "doc_tokens", (F.col("start") + F.col("part")).alias("start"), F.col("part_length").alias("length"), "sequence_id", "slot")
 
     @F.pandas_udf("array<long>")
     def checksums(texts: pd.Series, starts: pd.Series, lengths: pd.Series) -> pd.Series:
         out = []
         for text, ss, ns in zip(texts, starts, lengths):
-            arr = token_ids([text], path)[0]
-            out.append([zlib.crc32(arr[s : s + n].tobytes()) for s, n in zip(ss, ns)])
+            ids = token_bytes([text], path)[0]
+            out.append([zlib.crc32(ids[4 * s : 4 * (s + n)]) for s, n in zip(ss, ns)])
         return pd.Series(out)
 
-    own = todo.groupBy("rid").agg(F.max("doc_tokens").alias("doc_tokens"), F.sort_array(F.collect_list(F.struct("start", "length", "sequence_id", "slot"))).alias("p"))
-    found = rows.join(F.broadcast(own), "rid").withColumn("crc", checksums("text", "p.start", "p.length"))
+    own = cut.groupBy("rid").agg(F.max("doc_tokens").alias("doc_tokens"), F.sort_array(F.collect_list(F.struct("start", "length", "sequence_id", "slot"))).alias("p"))
+    found = rows.join(own, "rid").withColumn("crc", checksums("text", "p.start", "p.length"))
     flat = found.select("rid", "doc_id", "doc_tokens", F.explode(F.arrays_zip("p", "crc")).alias("z"))
     return flat.select("rid", "doc_id", "z.p.start", "z.p.length", F.col("z.crc").alias("ids_crc32"), "doc_tokens", "z.p.sequence_id", "z.p.slot")
 
