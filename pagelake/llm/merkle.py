@@ -60,8 +60,8 @@ def fingerprint(prefix: str) -> Column:
 
 
 def leaf_set(prefix: str) -> Column:
-    """Distinct leaves of a tree, as kept in its fingerprint."""
-    return F.array_distinct(F.transform(F.flatten(F.col(f"{prefix}_leaves")), lambda h: F.substring(h, 1, SHORT)))
+    """Distinct leaves of a tree, as kept in its fingerprint (numbers travel smaller than digits)."""
+    return F.array_distinct(F.transform(F.flatten(F.col(f"{prefix}_leaves")), lambda h: F.hash(F.substring(h, 1, SHORT))))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -120,8 +120,12 @@ def edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     rows = keyed(docs, doc_id, text).withColumn("text", F.coalesce("text", F.lit("")))
     links = next_rows(rows)
     asked = links.select(F.col("next_rid").alias("rid"), F.col("rid").alias("to"), F.floor(F.col("n_chars") / 4).cast("int").alias("quarter"))
+    # Both joins read the same columns of ``rows``, so its shuffle is made once.
     given = with_tree(rows.join(asked, "rid"), "text", "next").select(
-        F.col("to").alias("rid"), F.expr("substring(text, 1, quarter)").alias("tail"), leaf_set("next").alias("next_set")
+        F.col("to").alias("rid"),
+        F.col("doc_id").alias("next_doc_id"),
+        F.expr("substring(text, 1, quarter)").alias("tail"),
+        leaf_set("next").alias("next_set"),
     )
     both = rows.join(given, "rid").withColumn("n_chars", F.length("text").cast("long"))
     head = F.expr("substring(text, 1, cast(n_chars - floor(n_chars / 4) AS int))")
@@ -137,11 +141,13 @@ def edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
         leaf_set("own").alias("own_set"),
         leaf_set("new").alias("new_set"),
         "next_set",
+        "next_doc_id",
     )
     return sets.select(
         *sets.columns[:6],
         likeness(F.col("own_set"), F.col("new_set")).alias("near_edited"),
         likeness(F.col("own_set"), F.col("next_set")).alias("near_next"),
+        "next_doc_id",
     )
 
 
