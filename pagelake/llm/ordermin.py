@@ -35,12 +35,12 @@ from pagelake.operators.numbering import saved
 
 SHINGLE = 5
 SIMILARITY = 0.8
-TABLES = 12
-SAMPLED = 2
-ROUNDS = 3
+TABLES = 16
+SAMPLED = 3
+ROUNDS = 5
 # A pair that no hub has linked is aligned if it agrees in so many sketches.
-# Similarity 0.8 agrees in each with a chance of 0.64, so in fewer of 12 with
-# one of 1 in 10,000.
+# Similarity 0.8 agrees in each with a chance of 0.51, so in fewer than two of
+# 16 with one of 2 in 10,000; one of 0.25 in two or more with 2 in 100.
 AGREE = 2
 CHUNK = 1 << 19
 
