@@ -39,8 +39,8 @@ from pagelake.operators.numbering import saved
 
 WINDOW = 20
 SEED = 8
-CHUNK = 1 << 19  # words whose hashes are held at once
-CODES = 500_000  # word hashes kept by a worker
+CHUNK = 1 << 17  # words whose hashes are held at once
+CODES = 200_000  # word hashes kept by a worker
 
 _BASE = 0x9E3779B97F4A7C15
 _U = np.uint64
