@@ -38,6 +38,7 @@ _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b > 127 or 97 <= b <= 122 else 3
 _LETTER = re.compile(r"[^\W\d_]")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _LOCAL_DOCS = 128
+_TASKS = 64  # scan tasks whose best rows are merged in a step
 
 
 def _count(raw: bytes, counts: np.ndarray) -> None:
@@ -173,8 +174,12 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     rows = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     # The ids alone are ranked; Spark keeps ``per_language`` rows a task before the shuffle.
     key = F.struct(F.xxhash64(F.col("doc_id")).alias("h"), F.col("doc_id"))
-    ranked = rows.select("doc_id", "lang", key.alias("k")).withColumn("_r", F.row_number().over(W.partitionBy("lang").orderBy("k")))
-    chosen = ranked.where(F.col("_r") <= per_language).select("doc_id", "lang")
+    # In two steps, so that no task gets the best rows of all tasks at once.
+    ids = rows.select("doc_id", "lang", key.alias("k"), F.floor(F.spark_partition_id() / _TASKS).alias("_part"))
+    for by in (["lang", "_part"], ["lang"]):
+        first = F.row_number().over(W.partitionBy(*by).orderBy("k"))
+        ids = ids.withColumn("_r", first).where(F.col("_r") <= per_language).drop("_r")
+    chosen = ids.select("doc_id", "lang")
 
     def run(batches):
         for batch in batches:
