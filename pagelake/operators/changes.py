@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pagelake.operators.ordered import _with_bucket
+from pagelake.operators.ordered import join_segments, segments
 
 
 def changes(obs: DataFrame, key: str, order: list[str], fields: list[str], width_s: int | None = None) -> DataFrame:
@@ -14,19 +14,19 @@ def changes(obs: DataFrame, key: str, order: list[str], fields: list[str], width
     of the fields that changed; rows with no change are dropped.
 
     Split like the other ordered operators: rows are cut into segments
-    ``(key, time bucket)`` sized per key, ``lag`` runs inside a segment, and
+    of a key (``ordered.segments``), ``lag`` runs inside a segment, and
     the first row of a segment takes its predecessor from the last row of the
     key's previous non-empty segment (a per-segment ``max_by`` chained with a
     window over the small per-segment table).  No key lives in one task.
     """
-    b = _with_bucket(obs, order[0], width_s, key)
+    b = segments(obs, key, order, width_s)
     seg = W.partitionBy(key, "_bucket").orderBy(*order)
     rec = F.struct(*[F.col(f).alias(f) for f in fields])
     last = b.groupBy(key, "_bucket").agg(F.max_by(rec, F.struct(*order)).alias("_last"))
     carry = last.select(
         key, "_bucket", F.lag("_last").over(W.partitionBy(key).orderBy("_bucket")).alias("_carry")
     )
-    j = b.withColumn("_rn", F.row_number().over(seg)).join(carry, [key, "_bucket"], "inner")
+    j = join_segments(b.withColumn("_rn", F.row_number().over(seg)), carry, key)
     first_in_seg = F.col("_rn") == 1
     cur = {f: F.col(f).cast("string") for f in fields}
     prev = {

@@ -2,20 +2,18 @@
 
 The reference folds attempts one by one per proxy / method.  A single key
 (one method of three, a hot proxy) can hold a third of all rows, so every
-fold here is cut into *segments* ``(key, time bucket)``:
-
-1. rows are shuffled by ``(key, bucket)`` and folded within a segment
-   (window functions, or ``applyInPandas`` on one bounded time slice);
-2. each segment is summarised in a few numbers;
-3. the summaries of one key — one row per bucket, so a small table — are
-   chained in bucket order to give each segment its carried-in state;
-4. the carry is joined back on ``(key, bucket)``, the same partitioning as
-   step 1, so the big side is not shuffled again.
-
-Bucket width is chosen per key from its row count and time span so that a
-segment holds about ``TARGET_SEGMENT_ROWS`` rows: a hot key is cut into many
-narrow buckets, a sparse key into a few wide ones (a fixed width is used when
-the caller gives one, or when there are too many keys to broadcast widths).
+fold here is cut into *segments* of a key:
+
+1. rows are range-partitioned by ``(key, time, tiebreak)``, sorted and saved
+   with their partition number, which is the segment: a hot key is split by
+   rank, however many of its rows share one second, and a NULL key is a key;
+2. rows are folded within a segment (window functions, or a sorted stream);
+3. each segment is summarised in a few numbers;
+4. the summaries of one key, one row per segment, are chained in segment order
+   to give each segment its carried-in state, which is joined back.
+
+A segment holds at most one partition of the range sort, so its size is set by
+``spark.sql.shuffle.partitions``, as for any sort.
 """
 
 from __future__ import annotations
@@ -24,12 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-DEFAULT_BUCKET_SECONDS = 3600
-# Adaptive segments: rows per segment aimed at, the narrowest bucket, and the
-# most keys whose widths are broadcast.
-TARGET_SEGMENT_ROWS = 100_000
-MIN_WIDTH_US = 1_000_000
-MAX_BROADCAST_KEYS = 1_000_000
+from pagelake.operators import numbering
 
 # Health walk (W2): start, step on success / failure, bounds — in hundredths.
 HEALTH_START, HEALTH_UP, HEALTH_DOWN, HEALTH_LO, HEALTH_HI = 100, 1, -5, 0, 100
@@ -37,50 +30,24 @@ HEALTH_START, HEALTH_UP, HEALTH_DOWN, HEALTH_LO, HEALTH_HI = 100, 1, -5, 0, 100
 BREAKER_THRESHOLD, BREAKER_RECOVERY_S = 5, 60.0
 
 
-def bucket(ts: Column, width_s: int = DEFAULT_BUCKET_SECONDS) -> Column:
-    return F.floor(F.unix_micros(ts.cast("timestamp")) / (width_s * 1_000_000)).cast("long")
+def segments(df: DataFrame, key: str, order: list[str], width_s: int | None = None) -> DataFrame:
+    """Add ``_bucket``: the segment of each row, increasing in ``order`` within a key.
 
-
-def _with_bucket(df: DataFrame, ts: str, width_s: int | None, key: str | None = None) -> DataFrame:
-    """Segment id per row: a fixed width when given, else a width per key
-    sized so that a segment holds about ``TARGET_SEGMENT_ROWS`` rows."""
-    if width_s is not None or key is None:
-        return df.withColumn("_bucket", bucket(F.col(ts), width_s or DEFAULT_BUCKET_SECONDS))
-    widths = key_widths(df, key, ts)
-    if widths is None:
-        return df.withColumn("_bucket", bucket(F.col(ts), DEFAULT_BUCKET_SECONDS))
-    t_us = F.unix_micros(F.col(ts).cast("timestamp"))
-    w = widths.withColumnRenamed(key, "_wkey")
-    return (
-        df.join(F.broadcast(w), df[key].eqNullSafe(w["_wkey"]))
-        .withColumn("_bucket", F.floor(t_us / F.col("_width_us")).cast("long"))
-        .drop("_width_us", "_wkey")
-    )
+    By default the partition of one saved range sort by (key, order); a caller
+    that knows its rate can give a fixed width in seconds instead.
+    """
+    if width_s is not None:
+        t_us = F.unix_micros(F.col(order[0]).cast("timestamp"))
+        return df.withColumn("_bucket", F.floor(t_us / (width_s * 1_000_000)).cast("long"))
+    laid = numbering.positioned(df, [F.col(key).asc_nulls_first(), *[F.col(c).asc() for c in order]], "segments")
+    return laid.withColumnRenamed("_pid", "_bucket").drop("_pos")
 
 
-def key_widths(df: DataFrame, key: str, ts: str, target_rows: int | None = None) -> DataFrame | None:
-    """Per key, the bucket width (µs) that gives segments of about
-    ``target_rows`` rows at the key's average rate: a hot key gets narrow
-    buckets, a sparse key a few wide ones.
-
-    One partial aggregate per key; the result is broadcast only when the key
-    count is under ``MAX_BROADCAST_KEYS`` (checked), else ``None`` and the
-    caller falls back to the fixed width.
-    """
-    target = target_rows or TARGET_SEGMENT_ROWS
-    t_us = F.unix_micros(F.col(ts).cast("timestamp"))
-    span = F.col("_hi") - F.col("_lo") + 1
-    width = F.greatest(F.lit(MIN_WIDTH_US), F.ceil(span * F.lit(target) / F.col("_n"))).cast("long")
-    # One pass over the data: the per-key table is materialised, then counted.
-    widths = (
-        df.groupBy(key)
-        .agg(F.count(F.lit(1)).alias("_n"), F.min(t_us).alias("_lo"), F.max(t_us).alias("_hi"))
-        .select(key, width.alias("_width_us"))
-        .checkpoint()
-    )
-    if widths.limit(MAX_BROADCAST_KEYS + 1).count() > MAX_BROADCAST_KEYS:
-        return None
-    return widths
+def join_segments(rows: DataFrame, carry: DataFrame, key: str) -> DataFrame:
+    """``rows`` with the per-segment columns of ``carry``; a NULL key matches itself."""
+    c = carry.withColumnRenamed(key, "_skey").withColumnRenamed("_bucket", "_sbucket")
+    same = rows[key].eqNullSafe(c["_skey"]) & (rows["_bucket"] == c["_sbucket"])
+    return rows.join(c, same).drop("_skey", "_sbucket")
 
 
 def prefix_sums(
@@ -92,7 +59,7 @@ def prefix_sums(
     For names in ``with_min`` the running minimum of that running sum is
     added as ``<name>_min`` (needed by the zero-floored counter).
     """
-    b = _with_bucket(df, ts, width_s, key)
+    b = segments(df, key, [ts, tiebreak], width_s)
     for name, expr in values.items():
         b = b.withColumn(f"_v_{name}", expr)
     seg = W.partitionBy(key, "_bucket").orderBy(F.col(ts), F.col(tiebreak)).rowsBetween(W.unboundedPreceding, 0)
@@ -109,7 +76,7 @@ def prefix_sums(
     for n in with_min:
         tot = tot.withColumn(f"_cm_{n}", F.min(F.col(f"_c_{n}") + F.col(f"_bm_{n}")).over(chain))
     keep = [key, "_bucket"] + [f"_c_{n}" for n in values] + [f"_cm_{n}" for n in with_min]
-    j = b.join(tot.select(*keep), [key, "_bucket"], "inner")
+    j = join_segments(b, tot.select(*keep), key)
     for n in values:
         j = j.withColumn(n, F.col(f"_c_{n}") + F.col(f"_l_{n}"))
         if n in with_min:
@@ -194,7 +161,7 @@ def moving_average_last_n(
     dec = "decimal(38,12)"
     p = prefix_sums(src, key, ts, tiebreak, {"rn": F.lit(1).cast("long"), "psum": F.col(value).cast(dec)})
     prev = p.select(F.col(key).alias("_k"), (F.col("rn") + n).alias("_rn"), F.col("psum").alias("_prev"))
-    j = p.join(prev, (p[key] == prev["_k"]) & (p["rn"] == prev["_rn"]), "left")
+    j = p.join(prev, p[key].eqNullSafe(prev["_k"]) & (p["rn"] == prev["_rn"]), "left")
     window_sum = (F.col("psum") - F.coalesce(F.col("_prev"), F.lit(0).cast(dec))).cast("double")
     return j.withColumn(name, window_sum / F.least(F.col("rn"), F.lit(n))).drop("_k", "_rn", "_prev", "psum")
 
@@ -299,7 +266,7 @@ def health_walk(
     import pandas as pd
 
     # The narrow segmented log is read by four passes: materialise it once.
-    b = _with_bucket(attempts.select(key, ts, tiebreak, ok_col), ts, width_s, key).checkpoint()
+    b = numbering.saved(segments(attempts.select(key, ts, tiebreak, ok_col), key, [ts, tiebreak], width_s), "attempt-log")
 
     def summarise(g):
         oks = g[ok_col].astype(bool)
@@ -327,7 +294,7 @@ def health_walk(
         return {key: g[key], "_bucket": g["_bucket"], "start": starts, "n0": ns, "f0": fs}
 
     carry = _map_groups(summ, [key], ["_bucket"], chain, f"{key} {key_type}, _bucket long, start long, n0 long, f0 long")
-    joined = b.join(carry, [key, "_bucket"], "inner")
+    joined = join_segments(b, carry, key)
 
     # Exact doubles: given the exact integer start of a bucket, the double
     # walk is start-independent from the first strict clamp on (the value is
@@ -370,7 +337,7 @@ def health_walk(
         return {key: g[key], "_bucket": g["_bucket"], "x0": starts}
 
     dcarry = _map_groups(tail, [key], ["_bucket"], chain_double, f"{key} {key_type}, _bucket long, x0 double")
-    joined = joined.join(dcarry, [key, "_bucket"], "inner")
+    joined = join_segments(joined, dcarry, key)
 
     def walk(g):
         x = float(g["x0"][0])
@@ -422,15 +389,15 @@ def breaker_replay(
     through (half-open): a success closes it, a failure re-opens it (the
     count is still >= 5).  A refused attempt changes nothing (Q22–Q23).
 
-    Segments (key, bucket) are replayed independently from every possible
-    start state; the per-key chain over buckets picks the real start state;
+    Each segment is summarised in one backward pass for every possible start
+    state; the per-key chain over buckets picks the real start state;
     the final replay runs each segment once from it.
     """
     import numpy as np
     import pandas as pd
 
     # Read by the summary and the final replay: materialise the narrow log once.
-    b = _with_bucket(attempts.select(key, ts, tiebreak, ok_col), ts, width_s, key).checkpoint()
+    b = numbering.saved(segments(attempts.select(key, ts, tiebreak, ok_col), key, [ts, tiebreak], width_s), "attempt-log")
     ts_type = dict(attempts.dtypes)[ts]
     key_type = dict(attempts.dtypes)[key]
 
@@ -439,41 +406,39 @@ def breaker_replay(
 
     step = breaker_step
 
-    def run(state, oks, times):
-        for ok, t in zip(oks, times):
-            state, _ = step(state, ok, t)
-        return state
-
     def summarise(g):
+        """End state of the segment from each closed start and each first probe.
+
+        One pass from the last row back: ``ends[k]`` is the end state when the
+        rows so far are entered closed with k failures, ``probe[j]`` when row j
+        is the probe of an open breaker.
+        """
         oks, times = g[ok_col].astype(bool).tolist(), secs(g[ts])
-        rows = []
-        for k in range(BREAKER_THRESHOLD):
-            e = run(("c", k), oks, times)
-            rows.append(("c", float(k), -1.0, e[0], float(e[1])))
-        # Open start: only events within the first recovery window can be
-        # refused; the probe is the first event past t0 + 60 s.  Emit the end
-        # state for each possible probe position in that window.
-        t_first = times[0]
-        cutoff = t_first + BREAKER_RECOVERY_S
-        j = 0
-        while True:
-            if j < len(times):
-                e = run(("o", times[j] - BREAKER_RECOVERY_S - 1e-9), oks[j:], times[j:])
-                rows.append(("o", float(j), times[j], e[0], float(e[1])))
-            if j >= len(times) or times[j] > cutoff:
-                break
-            j += 1
-        m = len(rows)
-        return {
-            key: [g[key][0]] * m,
-            "_bucket": [int(g["_bucket"][0])] * m,
-            "start_kind": [r[0] for r in rows],
-            "start_arg": [r[1] for r in rows],
-            "probe_ts": [r[2] for r in rows],
-            "end_kind": [r[3] for r in rows],
-            "end_arg": [r[4] for r in rows],
-            "first_ts": [t_first] * m,
-        }
+        m = len(oks)
+        ends = [("c", float(k)) for k in range(BREAKER_THRESHOLD)]
+        probe: list = [None] * m
+        after = m  # first row more than the recovery time after row j
+        for j in range(m - 1, -1, -1):
+            while after - 1 > j and times[after - 1] - times[j] > BREAKER_RECOVERY_S:
+                after -= 1
+            if oks[j]:
+                probe[j] = ends[0]
+                ends = [ends[0]] * BREAKER_THRESHOLD
+            else:
+                probe[j] = probe[after] if after < m else ("o", times[j])
+                ends = [*ends[1:], probe[j]]
+        rows = [("c", float(k), -1.0, *ends[k]) for k in range(BREAKER_THRESHOLD)]
+        # Probes lie in the first recovery window or are the first row past it;
+        # of neighbours with one end state the last stands for all.
+        cutoff = times[0] + BREAKER_RECOVERY_S
+        last = next((j for j in range(m) if times[j] > cutoff), m - 1)
+        for j in range(last + 1):
+            if j == last or probe[j] != probe[j + 1]:
+                rows.append(("o", float(j), times[j], *probe[j]))
+        n = len(rows)
+        names = ("start_kind", "start_arg", "probe_ts", "end_kind", "end_arg")
+        out = {name: [r[i] for r in rows] for i, name in enumerate(names)}
+        return {key: [g[key][0]] * n, "_bucket": [int(g["_bucket"][0])] * n, **out, "first_ts": [times[0]] * n}
 
     summ_schema = (
         f"{key} {key_type}, _bucket long, start_kind string, start_arg double, probe_ts double, "
@@ -500,7 +465,7 @@ def breaker_replay(
                 "s_arg": [o[3] for o in out]}
 
     carry = _map_groups(summ, [key], ["_bucket"], chain, f"{key} {key_type}, _bucket long, s_kind string, s_arg double")
-    joined = b.join(carry, [key, "_bucket"], "inner")
+    joined = join_segments(b, carry, key)
 
     def replay(g):
         kind, arg = g["s_kind"][0], g["s_arg"][0]

@@ -157,25 +157,48 @@ def capability_table(spark) -> DataFrame:
     )
 
 
-def suggest_method(requests: DataFrame, strategy: str = "speed") -> DataFrame:
+STRATEGIES = ("speed", "quality", "cost", "reliability")
+
+
+def suggest_method(requests: DataFrame, strategy: str = "speed", best: DataFrame | None = None) -> DataFrame:
     """Method by strategy from the request's needs.
 
-    Needs JavaScript when a wait condition is networkidle/load/domcontentloaded
-    or there are more than two conditions; form auth needs a browser.
-    speed: scrapy unless JS is needed (then playwright); quality: playwright
-    for JS or forms, else pydoll; cost: scrapy unless JS is needed.
+    A request needs JavaScript if a wait condition contains "networkidle" or
+    "javascript", a login if its auth type is not "none"; it is complex with
+    more than two conditions.
+
+    * speed: playwright for JavaScript, login or a complex request; else pydoll
+      for high and urgent priority, scrapy for the rest;
+    * quality: playwright for JavaScript or login; else pydoll if it has
+      selectors, scrapy if not;
+    * cost: scrapy without JavaScript and login; else pydoll unless complex,
+      then playwright;
+    * reliability: the best method of ``best`` (one row at most, column
+      ``best_method``, as A9 gives), else playwright.
+
+    Columns a request table lacks count as null, which means none.
     """
-    wc = F.coalesce(F.col("wait_conditions"), F.array().cast("array<string>"))
-    needs_js = F.exists(wc, lambda c: c.isin("networkidle", "load", "domcontentloaded")) | (F.size(wc) > 2)
-    forms = F.col("auth_type") == "form"
+    if strategy not in STRATEGIES:
+        raise ValueError(f"strategy must be one of {', '.join(STRATEGIES)}")
+    if strategy == "reliability":
+        if best is None:
+            return requests.withColumn("suggested_method", F.lit("playwright"))
+        one = best.agg(F.coalesce(F.max("best_method"), F.lit("playwright")).alias("suggested_method"))
+        return requests.crossJoin(F.broadcast(one))  # one row
+    have = set(requests.columns)
+    col = lambda name, none: F.coalesce(F.col(name), none) if name in have else none
+    conditions = col("wait_conditions", F.array().cast("array<string>"))
+    js = F.exists(conditions, lambda c: F.coalesce(c.contains("networkidle") | c.contains("javascript"), F.lit(False)))
+    login = col("auth_type", F.lit("none")) != "none"
+    complex_ = F.size(conditions) > 2
+    urgent = col("priority", F.lit("normal")).isin("high", "urgent")
+    selectors = F.size(col("selectors", F.create_map().cast("map<string,string>"))) > 0
     if strategy == "speed":
-        m = F.when(needs_js, "playwright").otherwise("scrapy")
+        m = F.when(js | login | complex_, "playwright").when(urgent, "pydoll").otherwise("scrapy")
     elif strategy == "quality":
-        m = F.when(needs_js | forms, "playwright").otherwise("pydoll")
-    elif strategy == "cost":
-        m = F.when(needs_js, "playwright").otherwise("scrapy")
+        m = F.when(js | login, "playwright").when(selectors, "pydoll").otherwise("scrapy")
     else:
-        raise ValueError("strategy must be speed, quality or cost; reliability uses best_method")
+        m = F.when(~js & ~login, "scrapy").when(~complex_, "pydoll").otherwise("playwright")
     return requests.withColumn("suggested_method", m)
 
 

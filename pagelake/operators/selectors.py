@@ -138,6 +138,29 @@ class Node:
         self.end = None
 
 
+# Implied end tags: a start tag closes the open elements on its right, looked
+# for up to the nearest boundary element.
+_BLOCK_TAGS = frozenset(
+    "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
+    "header hgroup hr main menu nav ol p pre search section summary table ul li dt dd".split()
+)
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_SCOPE = frozenset("#root html body table td th caption button template object applet marquee".split())
+_CLOSES = {
+    "li": (frozenset(["li"]), _SCOPE | {"ul", "ol", "menu"}),
+    "dt": (frozenset(["dt", "dd"]), _SCOPE | {"dl"}),
+    "dd": (frozenset(["dt", "dd"]), _SCOPE | {"dl"}),
+    "option": (frozenset(["option"]), frozenset(["#root", "select", "datalist", "optgroup"])),
+    "optgroup": (frozenset(["option", "optgroup"]), frozenset(["#root", "select"])),
+    "td": (frozenset(["td", "th"]), frozenset(["#root", "table", "tr"])),
+    "th": (frozenset(["td", "th"]), frozenset(["#root", "table", "tr"])),
+    "tr": (frozenset(["tr"]), frozenset(["#root", "table", "thead", "tbody", "tfoot"])),
+    "thead": (frozenset(["thead", "tbody", "tfoot", "caption", "colgroup"]), frozenset(["#root", "table"])),
+    "tbody": (frozenset(["thead", "tbody", "tfoot", "caption", "colgroup"]), frozenset(["#root", "table"])),
+    "tfoot": (frozenset(["thead", "tbody", "tfoot", "caption", "colgroup"]), frozenset(["#root", "table"])),
+}
+
+
 class _TreeBuilder(HTMLParser):
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
@@ -153,8 +176,31 @@ class _TreeBuilder(HTMLParser):
         line, col = self.getpos()
         return self.line_starts[line - 1] + col
 
+    def _close_open(self, tags, boundary, end: int) -> None:
+        """Close the outermost open element of ``tags`` inside ``boundary``, with all in it."""
+        found = None
+        for i in range(len(self.stack) - 1, 0, -1):
+            if self.stack[i].tag in tags:
+                found = i
+            elif self.stack[i].tag in boundary:
+                break
+        if found is not None:
+            for n in self.stack[found:]:
+                if n.end is None:
+                    n.end = end
+            del self.stack[found:]
+
+    def _imply_ends(self, tag: str, start: int) -> None:
+        if tag in _CLOSES:
+            self._close_open(*_CLOSES[tag], start)
+        if tag in _BLOCK_TAGS:
+            self._close_open(frozenset(["p"]), _SCOPE, start)
+        if tag in _HEADINGS and self.stack[-1].tag in _HEADINGS:
+            self.stack.pop().end = start
+
     def handle_starttag(self, tag, attrs):
         start = self._offset()
+        self._imply_ends(tag, start)
         node = Node(tag, {k.lower(): (v if v is not None else "") for k, v in attrs}, self.stack[-1], start)
         self.stack[-1].children.append(node)
         self.order.append(node)
@@ -165,10 +211,8 @@ class _TreeBuilder(HTMLParser):
             self.stack.append(node)
 
     def handle_startendtag(self, tag, attrs):
+        # The slash means nothing in HTML: <div/> opens a div.
         self.handle_starttag(tag, attrs)
-        if tag not in VOID_TAGS and self.stack[-1].tag == tag:
-            node = self.stack.pop()
-            node.end = self._offset() + len(self.get_starttag_text() or "")
 
     def handle_endtag(self, tag):
         for i in range(len(self.stack) - 1, 0, -1):

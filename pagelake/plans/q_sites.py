@@ -199,8 +199,8 @@ def cache_hits(results, ttl_s: int = K.CACHE_TTL_S, width_s: int | None = None):
     """Per request: ``hit`` when the latest earlier success of the same URL is
     less than ``ttl_s`` old.
 
-    Segments ``(url, bucket)`` are sized per URL from its rate (as for the
-    other ordered operators), so a hot URL is cut into many small segments.
+    Rows are cut into segments of a URL by rank (``ordered.segments``), so a
+    hot URL is cut into many.
     The latest earlier success is either earlier in the row's own segment (a
     window inside the segment) or the latest success of all the URL's
     earlier segments (a running max over the small per-segment table).
@@ -211,7 +211,7 @@ def cache_hits(results, ttl_s: int = K.CACHE_TTL_S, width_s: int | None = None):
     r = results.select("id", "url", "timestamp", "status").withColumn(
         "_t", F.unix_micros(F.col("timestamp").cast("timestamp"))
     )
-    r = O._with_bucket(r, "timestamp", width_s, "url")
+    r = O.segments(r, "url", ["timestamp", "id"], width_s)
     s_t = F.when(F.col("status") == "success", F.col("_t"))
     seg = W.partitionBy("url", "_bucket").orderBy("timestamp", "id").rowsBetween(W.unboundedPreceding, -1)
     r = r.withColumn("_in", F.max(s_t).over(seg))
@@ -220,7 +220,7 @@ def cache_hits(results, ttl_s: int = K.CACHE_TTL_S, width_s: int | None = None):
         "url", "_bucket",
         F.max("_m").over(W.partitionBy("url").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)).alias("_prev"),
     )
-    j = r.join(carry, ["url", "_bucket"])
+    j = O.join_segments(r, carry, "url")
     last = F.greatest(F.col("_in"), F.col("_prev"))
     return j.select("id", "url", (last.isNotNull() & (F.col("_t") - last < us)).alias("hit"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from pagelake.operators import store as ST
@@ -220,6 +222,21 @@ def k3_cleanup(spark, sf_dir):
     )
 
 
+@query(
+    "k3_expired_store",
+    Q.with_results(f"""SELECT id, CAST(timestamp AS DATE) AS date FROM scrape_results WHERE timestamp >= {Q.AS_OF_SQL} - INTERVAL 7 DAY"""),
+)
+def k3_expired_store(spark, sf_dir):
+    """K1 + K3: append all results to a day-partitioned store, expire it, and read back what is left."""
+    from pagelake.session import checkpoint_dir
+    from pagelake.sinks import writers as K
+
+    path = f"{checkpoint_dir(spark)}/store-{uuid.uuid4().hex}"
+    K.append_results(_results(spark, sf_dir), path)
+    K.expire(spark, path, tables.as_of(), 7)
+    return tables.stored_results(spark, path).select("id", "date")
+
+
 @query(
     "w6_latest_per_url",
     Q.with_results(

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from pagelake import schemas
 from pagelake.functions import urls as U
+from pagelake.operators.numbering import saved
 
 # Export limits and names (fixed values).
 MAX_EXPORT_KEYS = 500
@@ -57,24 +58,26 @@ def append_results(results: DataFrame, path: str) -> DataFrame:
 def expire(spark: SparkSession, path: str, as_of: Column, days: int = 30) -> int:
     """K3: delete rows older than ``as_of - days``; returns the deleted count.
 
-    Only the boundary day is rewritten (dynamic partition overwrite); whole
-    older days are removed by overwriting them with nothing via the same
-    dynamic overwrite of the kept rows — no full-table rewrite.
+    Folders of whole older days are deleted.  Of the boundary day the rows to
+    keep are rewritten, or its folder is deleted if there are none.  Newer days
+    are not read or written, and no session setting changes.
     """
     cutoff = as_of - F.make_dt_interval(days=F.lit(days))
     stored = spark.read.parquet(path)
-    n_deleted = stored.where(F.col("timestamp") < cutoff).count()
-    boundary = stored.where(F.col("date") == F.to_date(cutoff))
-    kept = boundary.where(F.col("timestamp") >= cutoff)
-    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        # Cut lineage before overwriting what we read.
-        kept = kept.checkpoint()
-        kept.write.mode("overwrite").partitionBy("date").parquet(path)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
-    return n_deleted
+    old = stored.where(F.col("date") <= F.to_date(cutoff))
+    day = spark.range(1).select(F.to_date(cutoff).alias("d")).first().d
+    counts = old.groupBy("date").agg(F.count_if(F.col("timestamp") < cutoff).alias("gone"), F.count(F.lit(1)).alias("n")).collect()
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for r in counts:  # one row a stored day
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root, f"date={r.date}")
+        if r.gone == r.n:
+            fs.delete(folder, True)
+        elif r.gone and r.date == day:
+            kept = saved(old.where((F.col("date") == F.lit(day)) & (F.col("timestamp") >= cutoff)).drop("date"), "boundary-day")
+            kept.write.mode("overwrite").parquet(folder.toString())
+    spark.catalog.refreshByPath(path)
+    return sum(r.gone for r in counts)
 
 
 def flatten_json_columns(results: DataFrame, json_cols: list[str], max_keys: int = MAX_EXPORT_KEYS) -> DataFrame:
@@ -112,7 +115,7 @@ def export_csv(df: DataFrame, path: str) -> None:
 
 def export_json(results: DataFrame, path: str) -> None:
     """K6: JSON lines with the parsed data in place of its text."""
-    results.withColumn("data", F.parse_json(F.col("data_json"))).drop("data_json").write.mode("overwrite").json(path)
+    results.withColumn("data", F.try_parse_json(F.col("data_json"))).drop("data_json").write.mode("overwrite").json(path)
 
 
 def successes_csv_frame(results: DataFrame) -> DataFrame:

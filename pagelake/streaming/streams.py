@@ -53,7 +53,9 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str, max_files: int = 1
     configure(spark)
     path = tables.table_path(sf_dir, name)
     schema = spark.read.parquet(path).schema
-    if os.path.isdir(path):
+    location = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = location.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if store.getFileStatus(location).isDirectory():
         return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
     # A table stored as one file: stream its folder, filtered to that file name.
     return (

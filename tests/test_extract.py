@@ -154,3 +154,22 @@ def test_image_rows_one_per_image(spark, pages_fixture):
     rows = X.image_rows(ex).collect()
     want = {(r.page_id, i, img) for r in ex.collect() for i, img in enumerate(r.images or [])}
     assert {(r.page_id, r.ord, r.image) for r in rows} == want and len(want) > 0
+
+
+def test_implied_end_tags():
+    """Open paragraphs, items, cells and options end where HTML says they do."""
+    from pagelake.operators import selectors as SEL
+
+    def texts(html, selector):
+        tree = SEL.parse(html)
+        chains = SEL.compile_selector(selector)
+        return [SEL.node_text(n) for n in tree.order if any(SEL._chain_match(n, c.steps, len(c.steps) - 1) for c in chains)]
+
+    page = "<article><p>one<p>two<p>three</article><ul><li>a<li>b<ul><li>b1<li>b2</ul><li>c</ul>"
+    assert texts(page, "article p") == ["one", "two", "three"]
+    assert texts(page, "ul > li") == ["a", "bb1b2", "b1", "b2", "c"]
+    table = "<table><tr><td>1<td>2<tr><td>3<td><p>4<table><tr><td>x</table>5</table>"
+    assert texts(table, "tr > td") == ["1", "2", "3", "4x5", "x"]
+    assert texts("<dl><dt>a<dd>b<dt>c<dd>d</dl>", "dl > dd") == ["b", "d"]
+    assert texts("<select><option>a<option>b</select>", "select > option") == ["a", "b"]
+    assert texts("<div/>in<p>x<div>y</div>z", "div") == ["inxyz", "y"]

@@ -28,13 +28,25 @@ def test_append_partitioned_and_expire(spark, tmp_path):
     cutoff = T0 - dt.timedelta(days=10)
     expect_deleted = r.where(F.col("timestamp") < F.lit(cutoff)).count()
     expect_kept = r.count() - expect_deleted
-    # Keep whole days older than the boundary out of the store first, as the
-    # expiry's partition drop would.
     deleted = K.expire(spark, path, as_of, days=10)
-    assert deleted == expect_deleted
-    after = spark.read.parquet(path).where(F.col("date") >= F.lit(cutoff.date()))
+    assert deleted == expect_deleted > 0
+    # The whole store: nothing old is left and nothing else is lost.
+    after = spark.read.parquet(path)
     assert after.count() == expect_kept
     assert after.where(F.col("timestamp") < F.lit(cutoff)).count() == 0
+    assert K.expire(spark, path, as_of, days=10) == 0
+
+
+def test_expire_whole_days_and_boundary(spark, tmp_path):
+    ts = [dt.datetime(2024, 1, d, h) for d in range(1, 11) for h in (0, 6, 12, 18)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(ts)], "id long, timestamp timestamp_ntz")
+    for hour, label in ((0, "at midnight"), (12, "inside a day"), (23, "after its last row")):
+        path = str(tmp_path / label.replace(" ", "-"))
+        K.with_day(df).write.partitionBy("date").parquet(path)
+        cutoff = dt.datetime(2024, 1, 6, hour)
+        as_of = F.lit(str(cutoff + dt.timedelta(days=30))).cast("timestamp_ntz")
+        assert K.expire(spark, path, as_of, days=30) == sum(t < cutoff for t in ts)
+        assert sorted(r.id for r in spark.read.parquet(path).collect()) == [i for i, t in enumerate(ts) if t >= cutoff]
 
 
 def test_required_columns_quarantine(spark):

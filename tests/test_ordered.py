@@ -158,17 +158,42 @@ def test_changes_across_segments_equal_single_window(spark):
     assert got == want
 
 
-def test_adaptive_segments_per_key(spark, monkeypatch):
-    """Per-key widths sized for ~40 rows: the hot key is cut into many
-    segments, the sparse keys into few; results equal the sequential fold."""
-    monkeypatch.setattr(O, "TARGET_SEGMENT_ROWS", 40)
-    rows = _random_log(n=1200, seed=13)
+def _folds_match(spark, rows):
     df = _attempts(spark, rows)
-    widths = {r.key: r._width_us for r in O.key_widths(df, "key", "ts").collect()}
-    assert widths["k0"] < min(w for k, w in widths.items() if k != "k0")
-    segs = O._with_bucket(df, "ts", None, "key").where(F.col("key") == "k0").select("_bucket").distinct().count()
-    assert segs >= 10
     got = {r.attempt_id: (r.health_score, r.success_rate) for r in O.health_walk(df, key="key").collect()}
     assert got == py_health(rows)
     br = {r.attempt_id: (r.allowed, r.state) for r in O.breaker_replay(df, key="key").collect()}
     assert br == {k: v[:2] for k, v in py_breaker(rows).items()}
+
+
+def test_segments_split_a_hot_key_by_rank(spark):
+    rows = _random_log(n=1200, seed=13)
+    segs = O.segments(_attempts(spark, rows), "key", ["ts", "attempt_id"])
+    assert segs.where(F.col("key") == "k0").select("_bucket").distinct().count() > 1
+    _folds_match(spark, rows)
+
+
+def test_burst_of_one_second(spark):
+    """All rows of a key at one time: only the tiebreak orders and splits them."""
+    oks = [(i * 7919) % 11 > 4 for i in range(2000)]
+    rows = [("k0", T0, i, ok, "success" if ok else "failed") for i, ok in enumerate(oks)]
+    _folds_match(spark, rows)
+
+
+def test_null_key_is_a_key(spark):
+    df = spark.createDataFrame([(1, None, 1, 200), (2, "m", 2, 500), (3, None, 3, 404)], "attempt_id long, method string, ts long, status_code int")
+    df = df.withColumn("ts", F.timestamp_seconds("ts"))
+    got = {r.attempt_id: (r.requests_so_far, r.ok_so_far, r.failed_so_far) for r in O.running_totals(df).collect()}
+    assert got == {1: (1, 1, 0), 2: (1, 0, 1), 3: (2, 1, 1)}
+
+
+def test_breaker_dense_segment_is_linear(spark):
+    """100,000 attempts within 20 s of event time."""
+    base = spark.range(100_000).select(
+        F.col("id").alias("attempt_id"), F.lit("k").alias("key"),
+        F.timestamp_micros(F.lit(1_700_000_000_000_000) + F.col("id") * 200).cast("timestamp_ntz").alias("ts"),
+        (F.pmod(F.xxhash64("id"), F.lit(3)) > 0).alias("ok"),
+    )
+    out = O.breaker_replay(base, key="key")
+    assert out.count() == 100_000
+    assert out.where("NOT allowed").count() > 90_000
