@@ -37,7 +37,8 @@ MAX_GAP = 48  # tokens a pattern may leave free in the mean
 MAX_ROUNDS = 1500  # pricing rounds; stopping early costs padding, never a document
 TOLERANCE = 0.005
 END_ID = 2
-CACHE = 300_000  # words of a generation of a worker's cache
+CACHE = 300_000  # entries of a generation of a worker's caches
+MARKS = b".,;:!?\"()[]{}*#$%&|"
 PART = 100_000  # words of a text looked up at once
 _END = np.array([END_ID], "<u4").tobytes()
 
@@ -58,36 +59,71 @@ def tokenizer(path: str):
     return _tokenizers[path]
 
 
-class Words(dict):
+class Words:
     """Ids of words (runs between ASCII white space) as little-endian 32-bit bytes.
 
     The vocabulary's pre-tokens never hold white space and its normalisation
-    never reaches across it, so a text's ids are its words' ids in a row.  A
-    worker tokenises each word once; of two generations of ``CACHE`` words the
-    older one goes, so memory is bounded.
+    never reaches across it, so a text's ids are its words' ids in a row.
+    Letters and marks are different pre-tokens too, so a word of letters with
+    ASCII marks behind has the ids of both parts, and ASCII letters those of
+    their lower case.  A worker tokenises each part once; of two generations of
+    ``CACHE`` entries the older one goes, so memory is bounded.
     """
 
     def __init__(self, path: str):
-        super().__init__()
         self.path = path
-        self.old: dict = {}
-
-    def meet(self, words: set[bytes]) -> None:
-        """Make sure that all ``words`` are here."""
-        new = words - self.keys()
-        if not new:
-            return
-        if len(self) + len(new) > CACHE:
-            self.old = dict(self)
-            self.clear()
-            new = words
-        self.update((w, self.old[w]) for w in new & self.old.keys())
-        todo = list(new - self.old.keys())
+        self.words: dict[bytes, bytes] = {}
+        self.old_words: dict[bytes, bytes] = {}
+        self.parts: dict[bytes, bytes] = {}
+        self.old_parts: dict[bytes, bytes] = {}
+
+    def _tokenised(self, parts: list[bytes]) -> None:
+        """Have the ids of all ``parts`` in ``self.parts``."""
+        old, held, todo = self.old_parts, self.parts, []
+        for p in parts:
+            ids = old.get(p)
+            if ids is None:
+                todo.append(p)
+            else:
+                held[p] = ids
         t = tokenizer(self.path)
         for at in range(0, len(todo), 1024):
-            part = todo[at : at + 1024]
-            found = t.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            self.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, found))
+            some = todo[at : at + 1024]
+            found = t.encode_batch_fast([p.decode() for p in some], add_special_tokens=False)
+            for p, e in zip(some, found):
+                held[p] = np.array(e.ids, "<u4").tobytes()
+
+    def meet(self, words: list[bytes]) -> None:
+        """Have the ids of all ``words`` in ``self.words``."""
+        if len(self.words) + len(words) > CACHE:
+            self.old_words, self.words = self.words, {}
+        if len(self.parts) + 2 * len(words) > CACHE:
+            self.old_parts, self.parts = self.parts, {}
+        held, old = self.words, self.old_words
+        new = []
+        for w in set(words):
+            if w not in held:
+                ids = old.get(w)
+                if ids is None:
+                    new.append(w)
+                else:
+                    held[w] = ids
+        if not new:
+            return
+        cut = []
+        for w in new:
+            core = w.rstrip(MARKS)
+            if not core.isalpha():
+                if core.isascii() or not core.decode().isalpha():
+                    cut.append((w, w, b""))
+                    continue
+                cut.append((w, core, w[len(core) :]))
+            else:
+                cut.append((w, core.lower(), w[len(core) :]))
+        parts = self.parts
+        self._tokenised(list({p for _, *pair in cut for p in pair if p and p not in parts}))
+        for w, core, marks in cut:
+            held[w] = parts[core] + parts[marks] if marks else parts[core]
 
 
 _words: dict = {}
@@ -103,8 +139,8 @@ def token_bytes(texts: list[str | None], path: str) -> list[bytes]:
         words, ids = (text or "").encode().split(), []
         for at in range(0, len(words), PART):
             part = words[at : at + PART]
-            known.meet(set(part))
-            ids.append(b"".join(map(known.__getitem__, part)))
+            known.meet(part)
+            ids.append(b"".join(map(known.words.__getitem__, part)))
         out.append(b"".join([*ids, _END]))
     return out
 

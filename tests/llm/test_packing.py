@@ -63,12 +63,13 @@ def test_words_give_the_ids_of_whole_texts(spark, monkeypatch):
     t = Tokenizer.from_file(PATH)
     t.encode_special_tokens = True
     texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
-    texts += ["Ünï wörds, don't stop! \n\t " * 3000, "a\u00a0b\u2003c\u0301 d\u0301", "ΟΔΟΣ ΟΔΟΣ, 日本語 <|endoftext|> x\x1cy\x0bz", "İi e\u0301\n\u0301x 12ab3's"]
+    texts += ["Ünï wörds, don't stop! \n\t " * 3000, "a\u00a0b\u2003c\u0301 d\u0301", "ΟΔΟΣ ΟΔΟΣ, 日本語 <|endoftext|> x\x1cy\x0bz", "İi e\u0301\n\u0301x 12ab3's", "AbC.,, ÀÉÎ!!\u0338 don't. 's's 'S x1** ***$ Straße) it's."]
     monkeypatch.setattr(packing, "CACHE", 300)
     monkeypatch.setattr(packing, "PART", 70)
     for text, ids in zip(texts, packing.token_ids(texts, PATH)):
         assert ids.tolist() == [*t.encode(text, add_special_tokens=False).ids, 2], text[:50]
-    assert len(packing._words[PATH]) <= 600
+    known = packing._words[PATH]
+    assert all(len(x) <= 600 for x in (known.words, known.old_words, known.parts, known.old_parts))
 
 
 def test_plan_covers_every_piece_with_little_padding():
