@@ -74,6 +74,7 @@ MODULES = [
     "q_io",
     "q_sites",
     "q_attempts",
+    "q_requests",
 ]
 
 
