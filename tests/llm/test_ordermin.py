@@ -1,5 +1,5 @@
-import difflib
 import random
+from collections import Counter
 
 import numpy as np
 
@@ -13,20 +13,27 @@ def codes(words):
 
 
 def lcs(a, b):
-    row = [0] * (len(b) + 1)
+    """Length of the longest common subsequence, a whole row at a time."""
+    ids = {x: i for i, x in enumerate(dict.fromkeys([*a, *b]))}
+    a, b = np.array([ids[x] for x in a]), np.array([ids[x] for x in b])
+    row = np.zeros(len(b) + 1, int)
     for x in a:
-        last = 0
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
-    return row[-1]
+        row[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + (b == x)))
+    return int(row[-1])
 
 
-def exact(a, b, k=5):
-    """Share of k-mers in common order by full dynamic programming."""
-    km = lambda w: [tuple(w[i : i + min(k, len(w))]) for i in range(len(w) - min(k, len(w)) + 1)] if w else []
-    ka, kb = km(a), km(b)
+def grams(w, k=5):
+    return [tuple(w[i : i + min(k, len(w))]) for i in range(len(w) - min(k, len(w)) + 1)] if w else []
+
+
+def exact(a, b):
+    """Share of k-mers in common order by full dynamic programming (0 if even any order gives too few)."""
+    ka, kb = grams(a), grams(b)
     if not ka or not kb:
         return 0.0
+    most = sum((Counter(ka) & Counter(kb)).values())
+    if most / (len(ka) + len(kb) - most) < 0.8 - 1e-12:
+        return 0.0
     c = lcs(ka, kb)
     return c / (len(ka) + len(kb) - c)
 
@@ -81,7 +88,7 @@ def brute(rows):
         for j in range(i):
             if not words[i] or not words[j] or find(i) == find(j):
                 continue
-            if words[i] == words[j] or (min(len(words[i]), len(words[j])) > 4 and difflib.SequenceMatcher(None, words[i], words[j], autojunk=False).quick_ratio() > 0.5 and exact(words[i], words[j]) >= 0.8 - 1e-12):
+            if words[i] == words[j] or exact(words[i], words[j]) >= 0.8 - 1e-12:
                 parent[find(i)] = find(j)
     groups = {}
     for i, r in enumerate(rows):
