@@ -11,13 +11,15 @@ table of pattern runs.  What rounding leaves out, and lengths that no pattern
 fills well, are laid end to end and cut at full sequences.
 
 Scale: texts are read once and never shuffled; what is sorted and grouped are
-rows of six numbers.  The driver holds the histogram and the patterns only:
+rows of numbers (a piece's running checksums among them, so that it can be cut
+again without its text).  The driver holds the histogram and the patterns only:
 where a rank stands in the line follows from the histogram.
 """
 
 from __future__ import annotations
 
 import zlib
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,14 +37,15 @@ SEQUENCE = 4096
 GRID = 8  # tokens of a length class
 MAX_GAP = 48  # tokens a pattern may leave free in the mean
 MAX_ROUNDS = 1500  # pricing rounds; stopping early costs padding, never a document
+MARK = 16  # ids between the places where a piece may be cut again
 TOLERANCE = 0.005
 END_ID = 2
-CACHE = 300_000  # entries of a generation of a worker's caches
+CACHE = 200_000  # words of a generation of a worker's cache; twice as many parts
 MARKS = b".,;:!?\"()[]{}*#$%&|"
-PART = 100_000  # words of a text looked up at once
+PART = 100_000  # words looked up at once
 _END = np.array([END_ID], "<u4").tobytes()
 
-PIECES = "rid long, doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long"
+PIECES = "rid long, doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, marks array<long>"
 _tokenizers: dict = {}
 
 
@@ -79,7 +82,8 @@ class Words:
 
     def _tokenised(self, parts: list[bytes]) -> None:
         """Have the ids of all ``parts`` in ``self.parts``."""
-        old, held, todo = self.old_parts, self.parts, []
+        old, held = self.old_parts, self.parts
+        todo = []
         for p in parts:
             ids = old.get(p)
             if ids is None:
@@ -87,41 +91,40 @@ class Words:
             else:
                 held[p] = ids
         t = tokenizer(self.path)
-        for at in range(0, len(todo), 1024):
-            some = todo[at : at + 1024]
+        for at in range(0, len(todo), 4096):
+            some = todo[at : at + 4096]
             found = t.encode_batch_fast([p.decode() for p in some], add_special_tokens=False)
             for p, e in zip(some, found):
-                held[p] = np.array(e.ids, "<u4").tobytes()
+                held[p] = array("I", e.ids).tobytes()
 
-    def meet(self, words: list[bytes]) -> None:
+    def meet(self, words: set[bytes]) -> None:
         """Have the ids of all ``words`` in ``self.words``."""
         if len(self.words) + len(words) > CACHE:
             self.old_words, self.words = self.words, {}
-        if len(self.parts) + 2 * len(words) > CACHE:
+        if len(self.parts) + 2 * len(words) > 2 * CACHE:
             self.old_parts, self.parts = self.parts, {}
-        held, old = self.words, self.old_words
-        new = []
-        for w in set(words):
-            if w not in held:
-                ids = old.get(w)
-                if ids is None:
-                    new.append(w)
-                else:
-                    held[w] = ids
-        if not new:
-            return
-        cut = []
-        for w in new:
+        held, old, parts = self.words, self.old_words, self.parts
+        cut, new = [], set()
+        for w in words:
+            if w in held:
+                continue
+            ids = old.get(w)
+            if ids is not None:
+                held[w] = ids
+                continue
             core = w.rstrip(MARKS)
-            if not core.isalpha():
-                if core.isascii() or not core.decode().isalpha():
-                    cut.append((w, w, b""))
-                    continue
-                cut.append((w, core, w[len(core) :]))
-            else:
-                cut.append((w, core.lower(), w[len(core) :]))
-        parts = self.parts
-        self._tokenised(list({p for _, *pair in cut for p in pair if p and p not in parts}))
+            size = len(core)
+            if core.isalpha():
+                core = core.lower()
+            elif core.isascii() or not core.decode().isalpha():
+                core, size = w, len(w)
+            marks = w[size:]
+            cut.append((w, core, marks))
+            if core not in parts:
+                new.add(core)
+            if marks and marks not in parts:
+                new.add(marks)
+        self._tokenised(list(new))
         for w, core, marks in cut:
             held[w] = parts[core] + parts[marks] if marks else parts[core]
 
@@ -134,14 +137,33 @@ def token_bytes(texts: list[str | None], path: str) -> list[bytes]:
     if path not in _words:
         _words[path] = Words(path)
     known = _words[path]
-    out = []
+    out: list[bytes] = []
+    held: list[list[bytes]] = []  # words of texts that are looked up together
+    size = 0
+
+    def flush():
+        nonlocal held, size
+        known.meet(set().union(*held))
+        look = known.words.__getitem__
+        out.extend(b"".join(map(look, words)) + _END for words in held)
+        held, size = [], 0
+
     for text in texts:
-        words, ids = (text or "").encode().split(), []
-        for at in range(0, len(words), PART):
-            part = words[at : at + PART]
-            known.meet(part)
-            ids.append(b"".join(map(known.words.__getitem__, part)))
-        out.append(b"".join([*ids, _END]))
+        words = (text or "").encode().split()
+        if len(words) > PART:  # a very long text, a part at a time
+            flush()
+            ids = []
+            for at in range(0, len(words), PART):
+                part = words[at : at + PART]
+                known.meet(set(part))
+                ids.append(b"".join(map(known.words.__getitem__, part)))
+            out.append(b"".join([*ids, _END]))
+            continue
+        held.append(words)
+        size += len(words)
+        if size > PART:
+            flush()
+    flush()
     return out
 
 
@@ -149,8 +171,54 @@ def token_ids(texts: list[str | None], path: str) -> list[np.ndarray]:
     return [np.frombuffer(b, "<u4") for b in token_bytes(texts, path)]
 
 
+def running_checksums(ids: bytes, every: int = MARK) -> list[int]:
+    """crc32 of the first ``every`` ids, the first two times as many, and so on, short of all."""
+    out, crc, step = [], 0, 4 * every
+    for at in range(0, len(ids) - step, step):
+        crc = zlib.crc32(ids[at : at + step], crc)
+        out.append(crc)
+    return out
+
+
+def _zero_operators() -> list[list[int]]:
+    """For each power of two of zero bytes, what they make of each bit of a crc32."""
+    polynomial = 0xEDB88320  # fixed value: crc32, bits reversed
+    times = lambda m, v: _xor(m[i] for i in range(32) if v >> i & 1)
+    one = [polynomial] + [1 << i for i in range(31)]  # a zero bit
+    for _ in range(3):
+        one = [times(one, c) for c in one]
+    out = [one]
+    for _ in range(30):
+        out.append([times(out[-1], c) for c in out[-1]])
+    return out
+
+
+def _xor(values) -> int:
+    total = 0
+    for v in values:
+        total ^= v
+    return total
+
+
+_ZEROS: list = []
+
+
+def checksum_between(first: int, both: int, size: int) -> int:
+    """crc32 of the last ``size`` bytes of a text, from that of what is before and of all."""
+    if not _ZEROS:
+        _ZEROS.extend(_zero_operators())
+    k = 0
+    while size:
+        if size & 1:
+            m = _ZEROS[k]
+            first = _xor(m[i] for i in range(32) if first >> i & 1)
+        size >>= 1
+        k += 1
+    return first ^ both
+
+
 def pieces(rows: DataFrame, path: str, sequence: int = SEQUENCE) -> DataFrame:
-    """Full pieces and the remainder of each row of ``keyed``."""
+    """Full pieces and the remainder of each row of ``keyed``, with running checksums."""
     kind = dict(rows.dtypes)["doc_id"]
 
     def run(batches):
@@ -161,12 +229,12 @@ def pieces(rows: DataFrame, path: str, sequence: int = SEQUENCE) -> DataFrame:
                 n = len(ids_) // 4
                 for start in range(0, n, sequence):
                     part = ids_[4 * start : 4 * (start + sequence)]
-                    out.append((rid, doc_id, start, len(part) // 4, zlib.crc32(part), n))
-            cols = list(zip(*out)) if out else [[]] * 6
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], pa.int64()), pa.array(cols[1], batch.schema.field("doc_id").type)] + [pa.array(c, pa.int64()) for c in cols[2:]],
-                names=["rid", "doc_id", "start", "length", "ids_crc32", "doc_tokens"],
-            )
+                    size = len(part) // 4
+                    out.append((rid, doc_id, start, size, zlib.crc32(part), n, running_checksums(part) if size < sequence else []))
+            cols = list(zip(*out)) if out else [[]] * 7
+            kinds = [pa.int64(), batch.schema.field("doc_id").type, *[pa.int64()] * 4, pa.list_(pa.int64())]
+            names = ["rid", "doc_id", "start", "length", "ids_crc32", "doc_tokens", "marks"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
 
     return rows.mapInArrow(run, PIECES.format(kind=kind))
 
@@ -244,8 +312,9 @@ class Plan:
 
     A *run* is a range of ranks of one class that a pattern takes, ``per`` of
     them in each sequence from ``slot`` on.  Ranks in no pattern (``per`` 0)
-    are laid end to end; ``stream`` is the token where the run starts in that
-    line, which is cut into sequences at ``edges``.
+    are laid end to end, each rounded up to ``MARK`` ids, and that line is cut
+    every ``size`` ids: cuts fall on marks, where checksums are known.
+    ``stream`` is where the run starts in the line.
     """
 
     first: np.ndarray
@@ -253,16 +322,15 @@ class Plan:
     sequence: np.ndarray
     slot: np.ndarray
     stream: np.ndarray
-    length_first: np.ndarray  # first rank of each length, and that length
+    length_first: np.ndarray  # first rank of each length, that length, rounded up
     length: np.ndarray
-    tokens: np.ndarray  # tokens of all ranks before it
+    tokens: np.ndarray  # rounded ids of all ranks before it
     line_sequence: int  # first sequence of the line
     line_total: int
-    line_tail: np.ndarray  # ends of the sequences after the last full one
     size: int
 
     def before(self, rank: np.ndarray) -> np.ndarray:
-        """Tokens of all pieces of lower rank."""
+        """Rounded ids of all pieces of lower rank."""
         k = np.searchsorted(self.length_first, rank, side="right") - 1
         return self.tokens[k] + (rank - self.length_first[k]) * self.length[k]
 
@@ -274,36 +342,31 @@ class Plan:
         return np.where(self.per[run] > 0, self.sequence[run] + nth // per, -1), self.slot[run] + nth % per
 
     def parts(self, rank: np.ndarray, length: np.ndarray) -> list[list[tuple[int, int, int, int]]]:
-        """Parts (start, length, sequence, offset) of pieces in the line."""
+        """Parts (start, length, sequence, slot) of pieces in the line."""
         run = np.searchsorted(self.first, rank, side="right") - 1
         at = self.stream[run] + self.before(rank) - self.before(self.first[run])
-        full = self.line_total // self.size * self.size
         out = []
         for pos, n in zip(at.tolist(), length.tolist()):
-            own, stop = [], pos + n
-            start = pos
-            while start < stop:
-                if start < full:
-                    k = start // self.size
-                    lo, hi = k * self.size, (k + 1) * self.size
-                else:
-                    k = int(np.searchsorted(self.line_tail, start, side="right"))
-                    lo, hi = (full if k == 0 else int(self.line_tail[k - 1])), int(self.line_tail[k])
-                    k += full // self.size
-                end = min(stop, hi)
-                own.append((start - pos, end - start, self.line_sequence + k, start - lo))
+            own, start = [], 0
+            while start < n:
+                k, offset = divmod(pos + start, self.size)
+                end = min(n, start + self.size - offset)
+                own.append((start, end - start, self.line_sequence + k, offset))
                 start = end
             out.append(own)
         return out
 
+    @property
+    def last(self) -> int:
+        """The line's last sequence, which may hold little."""
+        return self.line_sequence + max(0, self.line_total - 1) // self.size
+
 
 def plan(histogram: dict[int, int], sequence: int = SEQUENCE, grid: int = GRID, max_gap: int = MAX_GAP) -> Plan:
     """Places for all pieces, from the count of pieces of each length.
 
     Patterns that leave more than ``max_gap`` tokens free in the mean are not
-    used.  What the
-    rounded patterns leave out is laid end to end and cut at full sequences;
-    the last one, not full, is cut at powers of two, which need no padding.
+    used; what they and rounding leave out is laid end to end.
     """
     runs: list[tuple[int, int, int, int, int]] = []
     lengths = sorted(histogram, reverse=True)
@@ -333,11 +396,11 @@ def plan(histogram: dict[int, int], sequence: int = SEQUENCE, grid: int = GRID,
             at[k] += whole * pattern[k]
             slot += int(pattern[k])
         next_sequence += whole
-    length = np.array(lengths, np.int64)
+    length = -(-np.array(lengths, np.int64) // MARK) * MARK
     count = np.array([histogram[n] for n in lengths], np.int64)
     length_first = np.concatenate([[0], np.cumsum(count)[:-1]]).astype(np.int64)
     tokens = np.concatenate([[0], np.cumsum(count * length)[:-1]]).astype(np.int64)
-    made = Plan(*[np.zeros(0, np.int64)] * 5, length_first, length, tokens, next_sequence, 0, np.zeros(0, np.int64), sequence)
+    made = Plan(*[np.zeros(0, np.int64)] * 5, length_first, length, tokens, next_sequence, 0, sequence)
     total = int(count @ length) if len(lengths) else 0
     for k in range(len(classes)):
         lo, hi = int(at[k]), int(stop[k])
@@ -347,8 +410,6 @@ def plan(histogram: dict[int, int], sequence: int = SEQUENCE, grid: int = GRID,
             made.line_total += end - int(made.before(np.array([lo]))[0])
     runs.sort()
     made.first, made.per, made.sequence, made.slot, made.stream = (np.array(x, np.int64) for x in (zip(*runs) if runs else [[]] * 5))
-    full = made.line_total // sequence * sequence
-    made.line_tail = full + np.cumsum(powers(made.line_total - full)).astype(np.int64)
     return made
 
 
@@ -376,43 +437,69 @@ def pack(docs: DataFrame, path: str, sequence: int = SEQUENCE, grid: int = GRID,
         seq, slot = shared.value.place(rank.to_numpy())
         return pd.DataFrame({"sequence_id": seq, "slot": slot})
 
-    @F.pandas_udf("array<struct<part:long, length:long, sequence_id:long, slot:long>>")
-    def parts(rank: pd.Series, length: pd.Series) -> pd.Series:
-        names = ("part", "length", "sequence_id", "slot")
-        return pd.Series([[dict(zip(names, p)) for p in own] for own in shared.value.parts(rank.to_numpy(), length.to_numpy())])
+    @F.pandas_udf("array<struct<part:long, length:long, sequence_id:long, slot:long, crc:long>>")
+    def parts(rank: pd.Series, length: pd.Series, crc: pd.Series, marks: pd.Series) -> pd.Series:
+        out = []
+        for own, n, whole, known in zip(shared.value.parts(rank.to_numpy(), length.to_numpy()), length, crc, marks):
+            found = []
+            for a, size, q, k in own:
+                before = int(known[a // MARK - 1]) if a else 0
+                through = int(whole) if a + size == n else int(known[(a + size) // MARK - 1])
+                found.append({"part": a, "length": size, "sequence_id": q, "slot": k, "crc": checksum_between(before, through, 4 * size)})
+            out.append(found)
+        return pd.Series(out)
 
-    placed = ranked.withColumn("_at", place("rank")).select(*PLACED[:6], "_at.sequence_id", "_at.slot", "rank")
+    placed = ranked.withColumn("_at", place("rank")).select(*PLACED[:6], "_at.sequence_id", "_at.slot", "rank", "marks")
     whole = placed.where("sequence_id >= 0").select(*PLACED)
-    line = placed.where("sequence_id < 0").withColumn("p", F.explode(parts("rank", "length")))
+    line = placed.where("sequence_id < 0").withColumn("p", F.explode(parts("rank", "length", "ids_crc32", "marks")))
     line = line.select(
-        "rid", "doc_id", (F.col("start") + F.col("p.part")).alias("start"), "p.length", "ids_crc32", "doc_tokens", "p.sequence_id", "p.slot",
-        (F.col("p.length") < F.col("length")).alias("cut"),
+        "rid", "doc_id", (F.col("start") + F.col("p.part")).alias("start"), "p.length", F.col("p.crc").alias("ids_crc32"), "doc_tokens", "p.sequence_id", "p.slot"
     )
     line = saved(line, "line")
-    whole = whole.unionByName(line.where("NOT cut").select(*PLACED)).unionByName(_recut(rows, line.where("cut"), path))
+    end = line.where(F.col("sequence_id") == made.last)
+    tail = end.orderBy("slot").collect()  # one sequence at most
+    total = sum(r.length for r in tail)
+    if tail and total < sequence - MAX_GAP:
+        line = line.where(F.col("sequence_id") != made.last).unionByName(_powers_of_two(rows, tail, total, made.last, path))
     # A sequence holds at most ``sequence`` pieces.
     before = W.partitionBy("sequence_id").orderBy("slot").rowsBetween(W.unboundedPreceding, -1)
-    return whole.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long")).drop("slot")
+    out = whole.unionByName(line)
+    return out.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long")).drop("slot")
 
 
-def _recut(rows: DataFrame, cut: DataFrame, path: str) -> DataFrame:
-    """Pieces that the line's edges cut again, with their own checksums.
+def _powers_of_two(rows: DataFrame, tail: list, total: int, sequence: int, path: str) -> DataFrame:
+    """The pieces of the line's last sequence, cut into sequences of powers of two.
 
-    At most one a sequence of the line; their documents are tokenised once more.
+    These need no padding.  Only the documents of this one sequence are
+    tokenised once more, for the checksums.
     """
+    todo = [(r.rid, r.start, r.length) for r in tail]
+    places = []
+    for length in powers(total):
+        slot = 0
+        while length:
+            rid, start, n = todo.pop(0)
+            use = min(n, length)
+            places.append((rid, start, use, sequence, slot))
+            if n > use:
+                todo.insert(0, (rid, start + use, n - use))
+            length -= use
+            slot += 1
+        sequence += 1
 
     @F.pandas_udf("array<long>")
     def checksums(texts: pd.Series, starts: pd.Series, lengths: pd.Series) -> pd.Series:
         out = []
-        for text, ss, ns in zip(texts, starts, lengths):
-            ids = token_bytes([text], path)[0]
-            out.append([zlib.crc32(ids[4 * s : 4 * (s + n)]) for s, n in zip(ss, ns)])
+        for ids, ss, ns in zip(token_bytes(list(texts), path), starts, lengths):
+            out.append([zlib.crc32(ids[4 * s : 4 * (s + n)]) for s, n in zip(ss, ns)] + [len(ids) // 4])
         return pd.Series(out)
 
-    own = cut.groupBy("rid").agg(F.max("doc_tokens").alias("doc_tokens"), F.sort_array(F.collect_list(F.struct("start", "length", "sequence_id", "slot"))).alias("p"))
-    found = rows.join(own, "rid").withColumn("crc", checksums("text", "p.start", "p.length"))
-    flat = found.select("rid", "doc_id", "doc_tokens", F.explode(F.arrays_zip("p", "crc")).alias("z"))
-    return flat.select("rid", "doc_id", "z.p.start", "z.p.length", F.col("z.crc").alias("ids_crc32"), "doc_tokens", "z.p.sequence_id", "z.p.slot")
+    spark = rows.sparkSession
+    parts = spark.createDataFrame(places, "rid long, start long, length long, sequence_id long, slot long")
+    own = parts.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("start", "length", "sequence_id", "slot"))).alias("p"))
+    found = rows.join(F.broadcast(own), "rid").withColumn("crc", checksums("text", "p.start", "p.length"))
+    flat = found.select("rid", "doc_id", F.element_at("crc", -1).alias("doc_tokens"), F.posexplode("p").alias("_i", "z"), "crc")
+    return flat.select("rid", "doc_id", "z.start", "z.length", F.element_at("crc", F.col("_i") + 1).alias("ids_crc32"), "doc_tokens", "z.sequence_id", "z.slot")
 
 
 @query("op1_cutting_stock_packing")
