@@ -14,10 +14,12 @@ their share among all k-mers of both must be ``SIMILARITY`` or more.
 
 Scale: texts of equal words are one node.  In a bucket each node is paired with
 one hub, not with all others; linked groups then count as one component, and
-further rounds pair only nodes of different components, with other hubs.  What
-no hub has linked is compared across components in the end, so no link between
-different components is left untested.  Components are labels moved by joins; no
-links reach the driver.
+the next round pairs only nodes of different components, with other hubs.  What
+no hub has linked is compared in blocks: two blocks of a bucket are one row, a
+matrix product gives the k-mers that their documents share in any order, and
+only pairs of different components that share enough leave the block, to be
+aligned.  So no link between components is left out, and no list of all pairs
+is made.  Components are labels moved by joins; no links reach the driver.
 """
 
 from __future__ import annotations
@@ -37,11 +39,9 @@ SHINGLE = 5
 SIMILARITY = 0.8
 TABLES = 16
 SAMPLED = 3
-ROUNDS = 5
-# A pair that no hub has linked is aligned if it agrees in so many sketches.
-# Similarity 0.8 agrees in each with a chance of 0.51, so in fewer than two of
-# 16 with one of 2 in 10,000; one of 0.25 in two or more with 2 in 100.
-AGREE = 2
+ROUNDS = 2
+BLOCK_KMERS = 100_000  # k-mers of a block of documents that are compared at once
+COLUMNS = 4096  # distinct k-mers of two blocks that are compared at once
 CHUNK = 1 << 19
 
 _U = np.uint64
@@ -290,6 +290,90 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) ->
     return saved(scored.where(F.col("similarity") >= least), "links")
 
 
+def _signatures(shingle: int):
+    """Labelled k-mers of packed texts, halved to 32 bits: an upper bound of what texts share."""
+
+    def run(batches):
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            out = []
+            for packed in batch.column("packed"):
+                own = kmers(hashes(unpack(packed.as_py()).split()), shingle)
+                out.append((labelled(own, np.zeros(len(own), np.int64)) >> _U(32)).astype("<u4").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.array(out, pa.binary())], names=["node", "kmers"])
+
+    return run
+
+
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Number of common elements of each left and right set, by matrix products."""
+    both = [np.concatenate(x) if x else np.zeros(0, "<u4") for x in (left, right)]
+    common = np.intersect1d(*both)
+    total = np.zeros((len(left), len(right)), np.float32)
+    sides = []
+    for sets, flat in zip((left, right), both):
+        row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        at = np.searchsorted(common, flat)
+        keep = at < len(common)
+        keep[keep] = common[at[keep]] == flat[keep]
+        order = np.argsort(at[keep], kind="stable")
+        sides.append((at[keep][order], row[keep][order]))
+    for lo in range(0, len(common), COLUMNS):
+        parts = []
+        for sets, (col, row) in zip((left, right), sides):
+            i, j = np.searchsorted(col, [lo, lo + COLUMNS])
+            m = np.zeros((len(sets), min(COLUMNS, len(common) - lo)), np.float32)
+            m[row[i:j], col[i:j] - lo] = 1
+            parts.append(m)
+        total += parts[0] @ parts[1].T
+    return total
+
+
+def _block_pairs(least: float):
+    """Pairs of different components in two blocks whose texts share enough k-mers in any order."""
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                sides = [batch.column(c)[i].as_py() for c in ("left", "right")]
+                sets = [[np.frombuffer(m["kmers"], "<u4") for m in side] for side in sides]
+                node, label, n = ([np.array([m[c] for m in side]) for side in sides] for c in ("node", "label", "n"))
+                common = shared_counts(*sets)
+                total = n[0][:, None] + n[1][None, :]
+                # Halved hashes may coincide in a set; that only raises the count.
+                enough = common >= least / (1 + least) * total - 1
+                x, y = np.nonzero(enough & (label[0][:, None] != label[1][None, :]))
+                a, b = node[0][x], node[1][y]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    return run
+
+
+def across_components(inside: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
+    """Candidate pairs (a, b) between components that share a bucket.
+
+    ``inside`` has (t, key, node, n, label).  Buckets of one component are left
+    out.  A bucket is dealt by hash into blocks of about ``BLOCK_KMERS``
+    k-mers, and each two of its blocks are one row.
+    """
+    spread = inside.groupBy("t", "key").agg(
+        F.min("label").alias("_lo"), F.max("label").alias("_hi"), F.ceil(F.sum("n") / BLOCK_KMERS).alias("_blocks")
+    )
+    spread = saved(spread.where("_lo <> _hi").select("t", "key", "_blocks"), "open-buckets")
+    members = inside.join(spread, ["t", "key"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("_blocks")))
+    open_nodes = members.select(F.col("node").alias("rid")).distinct()
+    signatures = texts.join(open_nodes, "rid", "left_semi").mapInArrow(_signatures(shingle), "node long, kmers binary")
+    signatures = saved(signatures, "signatures")
+    blocks = members.join(signatures, "node").groupBy("t", "key", "block").agg(F.collect_list(F.struct("node", "n", "label", "kmers")).alias("docs"))
+    blocks = saved(blocks, "blocks")
+    left = blocks.select("t", "key", F.col("block").alias("x"), F.col("docs").alias("left"))
+    right = blocks.select("t", "key", F.col("block").alias("y"), F.col("docs").alias("right"))
+    pairs = left.join(right, ["t", "key"]).where("x <= y").repartition("t", "key", "x", "y").select("left", "right")
+    return pairs.mapInArrow(_block_pairs(least), "a long, b long").distinct()
+
+
 def _pack(batches):
     import zstandard
 
@@ -372,13 +456,7 @@ def near_duplicates(
         if not test(pairs):
             break
     if labels is not None:
-        inside = labelled_members()
-        spread = inside.groupBy("t", "key").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).where("_lo <> _hi").select("t", "key")
-        open_members = saved(inside.join(spread, ["t", "key"]), "open-members")
-        left = open_members.select("t", "key", F.col("node").alias("a"), F.col("n").alias("an"), F.col("label").alias("la"))
-        right = open_members.select("t", "key", F.col("node").alias("b"), F.col("n").alias("bn"), F.col("label").alias("lb"))
-        across = sized(left.join(right, ["t", "key"]).where("la <> lb AND a < b"))
-        test(across.groupBy("a", "b").agg(F.count(F.lit(1)).alias("_agree")).where(F.col("_agree") >= AGREE).select("a", "b"))
+        test(across_components(labelled_members(), texts, shingle, least))
 
     known = sketch.select("rid", "doc_id", "words", "n")
     named = known.where("n > 0").join(nodes.select("words", "node"), "words").select("rid", "doc_id", "node")

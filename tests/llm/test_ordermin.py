@@ -125,7 +125,16 @@ def test_empty_table(spark):
     assert classes.count() == 0 and links.count() == 0 and om.survivors(empty(spark)).count() == 0
 
 
-def test_groups_of_near_copies_and_a_shared_passage(spark):
+def test_shared_counts(monkeypatch):
+    monkeypatch.setattr(om, "COLUMNS", 7)
+    rng = np.random.default_rng(3)
+    sets = [[np.unique(rng.integers(0, 60, rng.integers(0, 40))).astype("<u4") for _ in range(k)] for k in (9, 5)]
+    want = [[len(np.intersect1d(a, b)) for b in sets[1]] for a in sets[0]]
+    assert om.shared_counts(*sets).tolist() == want
+
+
+def test_groups_of_near_copies_and_a_shared_passage(spark, monkeypatch):
+    monkeypatch.setattr(om, "BLOCK_KMERS", 600)  # many blocks a bucket
     rng = random.Random(9)
     word = lambda: f"w{rng.randint(0, 3000)}"
     passage = [word() for _ in range(60)]
