@@ -1,6 +1,9 @@
 import os
 import sys
 
+# One thread a process for numpy: Spark's tasks use the cores already.
+os.environ.setdefault("OMP_NUM_THREADS", "1")
+
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
