@@ -50,6 +50,7 @@ UPDATES = 12
 RATE, DECAY = 0.35, 2.0
 END = b""  # no word is empty
 SMOOTH = 0.5
+STEPS = 32  # steps of a doubling of the count
 FLUSH = 300_000  # distinct words a task counts before it passes them on
 
 _UPPER = bytes(range(65, 91))
@@ -119,10 +120,19 @@ class Vocabulary:
 
 
 def vocabulary(counts: DataFrame, frequent: int = FREQUENT, known: int = KNOWN) -> Vocabulary:
-    """The ``known`` most frequent words and the totals of a ``(word, c)`` table."""
+    """At most ``known`` most frequent words and the totals of a ``(word, c)`` table."""
     total = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    order = [F.col("c").desc(), F.col("word").asc()]
-    top = counts.where(F.length("word") > 0).orderBy(*order).limit(known - 1).collect()
+    # Whole steps of the count from the top, as many as fit: what reaches the
+    # driver is bounded by the steps and by ``known``, not by tasks times ``known``.
+    step = F.floor(F.log2("c") * STEPS)
+    words = counts.where(F.length("word") > 0)
+    room, least = known - 1, None
+    for r in sorted(words.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: -r.step):
+        if r.n > room:
+            break
+        room, least = room - r.n, r.step
+    top = [] if least is None else words.where(step >= least).collect()
+    top.sort(key=lambda r: (-r.c, bytes(r.word)))
     end = counts.where(F.length("word") == 0).collect()
     words = [END] + [bytes(r.word) for r in top]
     listed = np.array([end[0].c if end else 0] + [r.c for r in top], np.int64)
