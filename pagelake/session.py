@@ -18,9 +18,9 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Arrow batches for the few Python stages: up to 10,000 narrow rows, but
-    # never more than 16 MB, so batches of wide page rows stay small.
+    # never more than 4 MB, so batches of wide page and text rows stay small.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
-    "spark.sql.execution.arrow.maxBytesPerBatch": str(16 * 1024 * 1024),
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(4 * 1024 * 1024),
 }
 
 
