@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelake.llm.common import ascii_lower, keyed, table
+from pagelake.llm.common import ascii_lower, keyed, table, tidy
 from pagelake.llm.registry import query
 from pagelake.operators.numbering import saved
 
@@ -53,7 +53,7 @@ def _cut(block: int):
                     seen.setdefault(raw[pos * block : (pos + 1) * block], []).append({"rid": rid, "pos": pos, "n": n})
             yield pa.RecordBatch.from_pydict({"content": list(seen), "members": list(seen.values())}, schema=_LOCAL_ARROW)
 
-    return run
+    return tidy(run)
 
 
 def _name(rows: DataFrame, keys: list[str], label: str) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelake.llm.common import keyed, table
+from pagelake.llm.common import keyed, table, tidy
 from pagelake.llm.registry import query
 from pagelake.llm.substrings import Sums, hashes, mix
 from pagelake.operators.numbering import saved
@@ -145,7 +145,7 @@ def _sketch(shingle: int, tables: int, sampled: int):
                 names=["rid", "doc_id", "words", "n", "keys"],
             )
 
-    return run
+    return tidy(run)
 
 
 def common_in_order(a: list, b: list, limit: int) -> list[tuple[int, int, int]] | None:
@@ -304,7 +304,7 @@ def _signatures(shingle: int):
                 out.append((labelled(own, np.zeros(len(own), np.int64)) >> _U(32)).astype("<u4").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.array(out, pa.binary())], names=["node", "kmers"])
 
-    return run
+    return tidy(run)
 
 
 def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -348,7 +348,7 @@ def _block_pairs(least: float):
                 a, b = node[0][x], node[1][y]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
-    return run
+    return tidy(run)
 
 
 def across_components(inside: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
@@ -374,6 +374,7 @@ def across_components(inside: DataFrame, texts: DataFrame, shingle: int, least:
     return pairs.mapInArrow(_block_pairs(least), "a long, b long").distinct()
 
 
+@tidy
 def _pack(batches):
     import zstandard
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pagelake.llm.common import keyed, table
+from pagelake.llm.common import keyed, table, tidy
 from pagelake.llm.registry import query
 from pagelake.operators.numbering import global_rank, saved
 
@@ -40,9 +40,9 @@ MAX_ROUNDS = 1500  # pricing rounds; stopping early costs padding, never a docum
 MARK = 16  # ids between the places where a piece may be cut again
 TOLERANCE = 0.005
 END_ID = 2
-CACHE = 200_000  # words of a generation of a worker's cache; twice as many parts
+CACHE = 60_000  # words of a generation of a worker's cache; twice as many parts
 MARKS = b".,;:!?\"()[]{}*#$%&|"
-PART = 100_000  # words looked up at once
+PART = 20_000  # words looked up at once
 _END = np.array([END_ID], "<u4").tobytes()
 
 PIECES = "rid long, doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, marks array<long>"
@@ -236,7 +236,7 @@ def pieces(rows: DataFrame, path: str, sequence: int = SEQUENCE) -> DataFrame:
             names = ["rid", "doc_id", "start", "length", "ids_crc32", "doc_tokens", "marks"]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
 
-    return rows.mapInArrow(run, PIECES.format(kind=kind))
+    return rows.mapInArrow(tidy(run), PIECES.format(kind=kind))
 
 
 def knapsack(value: np.ndarray, size: np.ndarray, room: int) -> tuple[float, np.ndarray]:

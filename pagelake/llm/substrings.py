@@ -33,14 +33,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pagelake.llm.common import keyed, table
+from pagelake.llm.common import keyed, table, tidy
 from pagelake.llm.registry import query
 from pagelake.operators.numbering import saved
 
 WINDOW = 20
 SEED = 8
 CHUNK = 1 << 17  # words whose hashes are held at once
-CODES = 200_000  # word hashes kept by a worker
+CODES = 50_000  # word hashes kept by a worker
 
 _BASE = 0x9E3779B97F4A7C15
 _U = np.uint64
@@ -202,9 +202,10 @@ def _paths(window: int, seed: int):
                 names=["repeat", "anchor", "content", "doc_id", "rid", "lo", "n", "src_rid", "src_lo"],
             )
 
-    return run
+    return tidy(run)
 
 
+@tidy
 def _pack(batches):
     import zstandard
 
@@ -265,7 +266,7 @@ def _answers(window: int):
                     names=["edge", "h1", "h2", "doc_id", "rid", "lo", "n", "digest"],
                 )
 
-    return run
+    return tidy(run)
 
 
 RESULT = "rid long, doc_id {kind}, n_words long, n_removed long, kept binary, kept_sha256 string, spans array<struct<start:long, stop:long>>"
@@ -297,7 +298,7 @@ def _remove(window: int, with_text: bool):
                 names=["rid", "doc_id", *out],
             )
 
-    return run
+    return tidy(run)
 
 
 def repeats(rows: DataFrame, window: int = WINDOW, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
