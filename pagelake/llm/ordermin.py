@@ -40,7 +40,7 @@ SIMILARITY = 0.8
 TABLES = 16
 SAMPLED = 3
 ROUNDS = 2
-BLOCK_KMERS = 100_000  # k-mers of a block of documents that are compared at once
+BLOCK_KMERS = 25_000  # k-mers of a block of documents that are compared at once
 COLUMNS = 4096  # distinct k-mers of two blocks that are compared at once
 CHUNK = 1 << 19
 
@@ -370,7 +370,8 @@ def across_components(inside: DataFrame, texts: DataFrame, shingle: int, least:
     blocks = saved(blocks, "blocks")
     left = blocks.select("t", "key", F.col("block").alias("x"), F.col("docs").alias("left"))
     right = blocks.select("t", "key", F.col("block").alias("y"), F.col("docs").alias("right"))
-    pairs = left.join(right, ["t", "key"]).where("x <= y").repartition("t", "key", "x", "y").select("left", "right")
+    # Both sides come straight from a written table, so Spark may split a hot bucket.
+    pairs = left.join(right, ["t", "key"]).where("x <= y").select("left", "right")
     return pairs.mapInArrow(_block_pairs(least), "a long, b long").distinct()
 
 
