@@ -17,7 +17,7 @@ from pagelake.llm.common import table
 from pagelake.operators.numbering import saved
 from pagelake.session import configure
 
-#: A document goes if no language is found in it or all are about as unlikely.
+#: A document goes if no language is found in it or it fits none that was learned.
 MIN_LANGUAGE_SCORE = 0.2
 
 

@@ -10,6 +10,11 @@ of each language, those with the smallest hash of the id, so the sample is the
 same at every layout.  The sample's feature vectors are computed in Spark and
 are all that reaches the driver.  Prediction reads every whole text in a
 partition-local pass, without a shuffle.
+
+The SVMs only tell the learned languages apart.  Whether a text is in any of
+them is a second question: how much likelier its n-grams are under the best
+language's mean profile than by chance, against what that language's own rows
+reach, and how much of the text is letters at all (``Model.belongs``).
 """
 
 from __future__ import annotations
@@ -32,9 +37,14 @@ ORDERS = (2, 3, 4)  # bytes of an n-gram
 PER_LANGUAGE = 400
 PIECE_BYTES = 1 << 21  # bytes of text whose n-grams are held at once
 UNKNOWN = "und"
+OTHER_SHARE = 0.02  # of a language's n-grams, those its sample does not show
+OTHER_LEVEL, OTHER_SLOPE = 0.25, 20.0  # share of a language's usual evidence that a text needs, and how sharply
+LEAST_EVIDENCE = 0.3  # a profile that its own rows fit by less (too few of them) rejects nothing given its language
 
 # A-Z to lower case; other ASCII that is no letter to a space.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b > 127 or 97 <= b <= 122 else 32 for b in range(256))
+_SPACES = bytes(range(9, 14)) + bytes(range(28, 33))
+_NO_LETTERS = bytes(b for b in range(128) if not chr(b).isalpha())
 _LETTER = re.compile(r"[^\W\d_]")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _LOCAL_DOCS = 128
@@ -72,6 +82,28 @@ def features(texts: list[str]) -> np.ndarray:
     return out
 
 
+def amounts(texts: list[str]) -> np.ndarray:
+    """Number of n-grams and share of letters in the visible bytes, a row for each text."""
+    out = np.zeros((len(texts), 2))
+    for row, text in zip(out, texts):
+        raw = text.encode()
+        size = 2 + sum(map(len, words := raw.translate(_FOLD).split())) + max(0, len(words) - 1)
+        row[:] = sum(max(0, size - n + 1) for n in ORDERS), len(raw.translate(None, _NO_LETTERS)) / max(1, len(raw.translate(None, _SPACES)))
+    return out
+
+
+def profile(x: np.ndarray) -> np.ndarray:
+    """Log of how much likelier each hashed n-gram is in the rows than by chance."""
+    share = (x.astype(np.float64) ** 2).mean(axis=0)
+    return np.log((1 - OTHER_SHARE) * share * x.shape[1] / max(share.sum(), 1e-12) + OTHER_SHARE)
+
+
+def usual_evidence(x: np.ndarray) -> float:
+    """Median evidence of a language's rows, each under the profile of the other half."""
+    halves = (x[::2], x[1::2]) if len(x) > 1 else (x, x)
+    return float(np.median(np.concatenate([(a.astype(np.float64) ** 2) @ profile(b) for a, b in (halves, halves[::-1])])))
+
+
 def fit_svm(x: np.ndarray, positive: np.ndarray, strength: float = 1e-4, steps: int = 120) -> np.ndarray:
     """Weights and bias of a linear SVM (squared hinge loss, balanced classes).
 
@@ -97,9 +129,37 @@ class Model:
     families: list[list[str]]
     family_svms: np.ndarray  # one row a family (one family: none)
     pair_svms: dict[tuple[str, str], np.ndarray]
+    profiles: np.ndarray  # one row a language
+    usual: np.ndarray  # evidence that a language's own rows have
+
+    def belongs(self, x: np.ndarray, amount: np.ndarray, named: list[str]) -> np.ndarray:
+        """Chance in 0..1 that a text is in a learned language, however many there are.
+
+        A short text is given the slack of its few n-grams.
+        """
+        if not len(self.profiles):
+            return np.zeros(len(x))
+        langs = sorted(lang for family in self.families for lang in family)
+        sure = self.usual >= LEAST_EVIDENCE
+        own = np.array([[lang == name for lang in langs] for name in named])
+        ratio = np.where(sure, (x.astype(np.float64) ** 2) @ self.profiles.T / np.where(sure, self.usual, 1), own)
+        found = (ratio.max(axis=1) + 1 / np.sqrt(np.maximum(1, amount[:, 0]))) * amount[:, 1]
+        return 1 / (1 + np.exp(-np.clip(OTHER_SLOPE * (found - OTHER_LEVEL), -30, 30)))
+
+    def score(self, texts: list[str]) -> list[tuple[str, float]]:
+        """Language and score in 0..1 of each text.
+
+        Half of the score is the chance that the text is in a learned language,
+        the other half the same times the choice among them; so a text in none
+        is near 0, and one that fits several keeps half.
+        """
+        x = features(texts)
+        found = self.predict(x)
+        known = self.belongs(x, amounts(texts), [lang for lang, _ in found])
+        return [(lang, float(b * (1 + s) / 2)) for (lang, s), b in zip(found, known)]
 
     def predict(self, x: np.ndarray) -> list[tuple[str, float]]:
-        """Language and score in 0..1 (probability-like, product of both levels) of each row."""
+        """Language of each row and how clearly it wins, in 0..1 (product of both levels)."""
         if not self.families:
             return [(UNKNOWN, 0.0)] * len(x)
         x = np.hstack([x, np.ones((len(x), 1), np.float32)])
@@ -147,7 +207,7 @@ def families_of(langs: list[str], x: np.ndarray, labels: list[str]) -> list[list
 def fit(x: np.ndarray, labels: list[str]) -> Model:
     langs = sorted(set(labels))
     if not langs:
-        return Model([], np.zeros((0, DIMENSIONS + 1), np.float32), {})
+        return Model([], np.zeros((0, DIMENSIONS + 1), np.float32), {}, np.zeros((0, DIMENSIONS)), np.zeros(0))
     labels_ = np.array(labels)
     families = families_of(langs, x, labels)
     member = np.isin
@@ -158,7 +218,8 @@ def fit(x: np.ndarray, labels: list[str]) -> Model:
             for b in fam[i + 1 :]:
                 both = member(labels_, [a, b])
                 pairs[a, b] = fit_svm(x[both], labels_[both] == a)
-    return Model(families, svms, pairs)
+    own = [x[labels_ == lang] for lang in langs]
+    return Model(families, svms, pairs, np.array([profile(rows) for rows in own]), np.array([usual_evidence(rows) for rows in own]))
 
 
 def held_out(doc_id="doc_id"):
@@ -226,7 +287,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         use = [i for i, t in enumerate(texts) if t is not None and _LETTER.search(t)]
         for at in range(0, len(use), _LOCAL_DOCS):
             part = use[at : at + _LOCAL_DOCS]
-            for i, (name, s) in zip(part, shared.value.predict(features([texts.iloc[i] for i in part]))):
+            for i, (name, s) in zip(part, shared.value.score([texts.iloc[i] for i in part])):
                 lang[i], score[i] = name, s
         return pd.DataFrame({"lang_pred": lang, "score": score})
 
