@@ -2,7 +2,7 @@
 
 A page becomes a flat list of text blocks (no tree).  Each block has its word
 count, its link density, the same two of the blocks before and after it, and
-the zone its open containers put it in.  A decision tree, grown here from the
+the zone its containers put it in, which is settled when the whole page is read.  A decision tree, grown here from the
 small labelled table below, says which blocks are main text; those are joined
 in page order.  Pages are independent, so there is no shuffle; one page is held
 at a time.
@@ -106,7 +106,7 @@ LABELLED = [
 ]
 
 # Elements whose content is no text of the page.
-SILENT = "script|style|noscript|template|head|title|textarea|select|button|svg|math|iframe|object|canvas|audio|video"
+SILENT = "script|style|template|head|title|textarea|select|svg|iframe|object|canvas|audio|video"
 # Elements that end a block without being containers of blocks.
 LEAVES = frozenset("p li h1 h2 h3 h4 h5 h6 dt dd td th tr pre hr figcaption caption summary legend address option optgroup".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -124,6 +124,8 @@ BOILER_WORDS = frozenset(
     search pagination pager contentinfo complementary dialog skip hidden teaser teasers""".split()
 )
 ARTICLE_WORDS = frozenset("article post entry story content main".split())
+# A compound that begins or ends with one tells a state of the page.
+STATES = frozenset("has no not with without is show hide js can supports open closed enabled disabled active loaded ready on off free".split())
 
 _TAG = re.compile(
     rf"""<!--.*?(?:-->|\Z)
@@ -138,27 +140,84 @@ _WORD = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
-def _own_zone(name: str, attrs: str, within: int) -> int:
-    """Zone of a container given the zone around it."""
-    if within == BOILER or name in BOILER_TAGS:
-        return BOILER
-    words: set[str] = set()
+def _hit(token: str) -> int:
+    """2 if a class, id or role names boilerplate, 1 if other words stand beside such a word, else 0.
+
+    A state of the page (``has-sidebar``, ``comments-open``) names nothing.
+    """
+    words = _WORD.findall(_CAMEL.sub(" ", token).lower())
+    if not BOILER_WORDS.intersection(words) or words[0] in STATES or words[-1] in STATES:
+        return 0
+    return 2 if BOILER_WORDS.issuperset(words) else 1
+
+
+def _marks(attrs: str) -> tuple[bool, int, bool]:
+    """Whether an element is hidden, the strongest hit of its words, and whether one is of articles."""
+    hit, article = 0, False
     for key, value in _MARKS.findall(attrs):
         key, value = key.lower(), value.strip("\"'")
         if key == "hidden" or (key == "aria-hidden" and value.lower() == "true"):
-            return BOILER
+            return True, hit, article
         if key == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                return BOILER
+                return True, hit, article
+        elif key in ("class", "id", "role"):
+            for token in value.split():
+                hit = max(hit, _hit(token))
+                article = article or not ARTICLE_WORDS.isdisjoint(_WORD.findall(_CAMEL.sub(" ", token).lower()))
+    return False, hit, article
+
+
+def _zones(boxes: list[tuple[int, str, bool, int, bool]], words: list[int]) -> list[int]:
+    """Zone of each container (parent, name, hidden, hit, article word) from the whole page.
+
+    ``words`` are those directly in each.  A hit makes a container boilerplate
+    unless it is the layout around the page's text: if no article stands outside
+    all hits, those that hold one (or, without any, most of the words) give way,
+    from the outside in.
+    """
+    n = len(boxes)
+    fixed, hits, good = [False] * n, [0] * n, [False] * n
+    for i, (parent, name, hidden, hit, article) in enumerate(boxes):
+        if i:
+            fixed[i] = fixed[parent] or name in BOILER_TAGS or (hidden and name not in ("html", "body"))
+        good[i] = not fixed[i] and (name == "main" or (name == "article" and (hit < 2 or article)))
+        hits[i] = 0 if good[i] or name in ("html", "body") else hit
+    inside = [0 if f else w for f, w in zip(fixed, words)]
+    main = [g and box[1] == "main" for g, box in zip(good, boxes)]
+    holds = list(good)
+    for i in range(n - 1, 0, -1):
+        parent = boxes[i][0]
+        inside[parent] += inside[i]
+        holds[parent] = holds[parent] or holds[i]
+        main[parent] = main[parent] or main[i]
+    while True:
+        top = [-1] * n  # the outermost container with a hit
+        for i in range(1, n):
+            top[i] = top[boxes[i][0]] if top[boxes[i][0]] >= 0 else i if hits[i] else -1
+        if any(g and t < 0 for g, t in zip(good, top)):
+            break
+        most = lambda i: 2 * inside[i] > inside[0]
+        layout = {i for i in set(top) if i >= 0 and not fixed[i] and (most(i) or (holds[i] and (main[i] or hits[i] == 1)))}
+        if not layout:
+            break
+        for i in layout:
+            hits[i] = 0
+    zones = [OPEN] * n
+    for i in range(1, n):
+        parent, name, _, _, article = boxes[i]
+        within = zones[parent]
+        if fixed[i] or top[i] >= 0:
+            zones[i] = BOILER
+        elif name in ("html", "body"):
+            zones[i] = within
+        elif name == "header":  # a page's header; that of an article holds its title
+            zones[i] = within if within == ARTICLE or holds[i] else BOILER
         else:
-            words.update(_WORD.findall(_CAMEL.sub(" ", value).lower()))
-    if words & BOILER_WORDS:
-        return BOILER
-    if name == "header":  # a page's header; that of an article holds its title
-        return within if within == ARTICLE else BOILER
-    if name in ARTICLE_TAGS or words & ARTICLE_WORDS:
-        return ARTICLE
-    return within
+            zones[i] = ARTICLE if name in ARTICLE_TAGS or article else within
+        if within == BOILER:
+            zones[i] = BOILER
+    return zones
 
 
 def blocks(page: str) -> list[tuple[str, int, float, int, int]]:
@@ -170,7 +229,8 @@ def blocks(page: str) -> list[tuple[str, int, float, int, int]]:
     out = []
     parts: list[str] = []
     linked: list[str] = []
-    stack = [("", OPEN)]
+    boxes, sizes = [(0, "", False, 0, False)], [0]
+    stack = [0]
     leaf, heading, in_link, pos = OPEN, 0, False, 0
 
     def flush():
@@ -179,7 +239,8 @@ def blocks(page: str) -> list[tuple[str, int, float, int, int]]:
         if text:
             words = text.count(" ") + 1
             share = min(1.0, len("".join(linked).split()) / words)
-            out.append((text, words, share, min(leaf, stack[-1][1]) if leaf == BOILER else stack[-1][1], heading))
+            out.append((text, words, share, stack[-1], leaf, heading))
+            sizes[stack[-1]] += words
         parts, linked = [], []
 
     def say(raw: str):
@@ -207,21 +268,25 @@ def blocks(page: str) -> list[tuple[str, int, float, int, int]]:
             if not closing:
                 heading = int(name in HEADINGS)
                 if m["attrs"].strip():
-                    leaf = _own_zone("p", m["attrs"], OPEN)
+                    hidden, hit, _ = _marks(m["attrs"])
+                    leaf = BOILER if hidden or hit else OPEN
         elif name in CONTAINERS:
             flush()
             in_link, leaf, heading = False, OPEN, 0
             if not closing:
                 if not m["attrs"].endswith("/") or name in ("div", "section"):
-                    stack.append((name, _own_zone(name, m["attrs"], stack[-1][1])))
-            elif any(open_ == name for open_, _ in stack):
-                while stack[-1][0] != name:
+                    boxes.append((stack[-1], name, *(_marks(m["attrs"]) if m["attrs"].strip() else (False, 0, False))))
+                    sizes.append(0)
+                    stack.append(len(boxes) - 1)
+            elif any(boxes[i][1] == name for i in stack):
+                while boxes[stack[-1]][1] != name:
                     stack.pop()
                 stack.pop()
     if pos < len(page):
         say(page[pos:])
     flush()
-    return out
+    zones = _zones(boxes, sizes)
+    return [(text, words, share, BOILER if leaf == BOILER else zones[box], heading) for text, words, share, box, leaf, heading in out]
 
 
 def grow(rows: np.ndarray, labels: np.ndarray, depth: int = 16) -> tuple:

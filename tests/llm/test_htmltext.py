@@ -66,3 +66,40 @@ def test_given_pages_hold_whole_articles(spark):
         body = re.sub(r"<[^>]*\Z", "", re.search(r"<article>(.*?)(?:</article>|\Z)", page, re.S)[1])
         parts = (" ".join(html.unescape(re.sub(r"<[^>]+>", " ", b)).split()) for b in re.split(r"</?(?:p|h1)>", body))
         assert h.main_text(page, TREE) == "\n".join(p for p in parts if p), page_id
+
+
+def test_layout_classes_leave_the_text():
+    swaps = [
+        ("<body>", "<body class='has-sidebar'>"),
+        ("<body>", "<body class='sidebar search ad'>"),
+        ("<html>", "<html class='no-cookie'>"),
+        ("<article>", "<article class='post comments-open'>"),
+        ("<article>", "<article class='has-comments'>"),
+        ("<article>", "<article class='sidebar-left'>"),
+        ("<article>", "<main class='search widget'><article>"),
+        ("<body>", "<body><div id='page' class='with-comments'>"),
+        ("<body>", "<body><div class='sidebar-layout'><div class='widget-area banner'>"),
+        ("<article>", "<div class='subscribe-wrap'><article>"),
+    ]
+    for old, new in swaps:
+        assert old in PAGE and h.main_text(PAGE.replace(old, new, 1), TREE) == TEXT, new
+
+
+def test_layout_classes_without_an_article():
+    prose = "These are quite a few words that make up a paragraph of plain prose without any link in it at all. " * 2
+    page = f"<body><div class='%s'><p>{prose}</p><p>{prose}</p></div><div class='comments'><p>{prose}</p></div></body>"
+    for name in ("sidebar-page", "widget", "has-comments"):
+        assert h.main_text(page % name, TREE) == "\n".join([prose.strip()] * 2), name
+    assert h.main_text(page.replace("%s", "page"), TREE) == "\n".join([prose.strip()] * 2)
+
+
+def test_comments_stay_out_beside_an_article():
+    reader = "<article><p>I am a reader and I have a long opinion about this article here.</p></article>" * 30
+    page = PAGE.replace('<section id="comments">', f'<section id="comments">{reader}')
+    for wrap in ("<body>", "<body><div class='with-comments'>", "<body><div class='sidebar-layout'>"):
+        assert h.main_text(page.replace("<body>", wrap), TREE) == TEXT
+
+
+def test_formulas_and_labels_in_an_article_are_text():
+    page = "<article><p>Energy is <math><mi>E</mi><mo>=</mo><mi>m</mi></math> so.</p><noscript><p>Plain words.</p></noscript><p>Press <button>Go</button> now.</p></article>"
+    assert h.main_text(page, TREE) == "Energy is E=m so.\nPlain words.\nPress Go now."
