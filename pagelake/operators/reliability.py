@@ -157,6 +157,19 @@ def capability_table(spark) -> DataFrame:
     )
 
 
+def able_methods(requests: DataFrame, spark) -> DataFrame:
+    """The methods that can serve each request: all its needed flags are set.
+
+    ``requests`` has a boolean ``needs_<flag>`` for some flags; a null need is none.
+    """
+    flags = [c for c in ("javascript", "cookies", "screenshots", "forms") if f"needs_{c}" in requests.columns]
+    able = F.lit(True)
+    for c in flags:
+        able = able & (~F.coalesce(F.col(f"needs_{c}"), F.lit(False)) | F.col(c))
+    rows = requests.crossJoin(F.broadcast(capability_table(spark)))
+    return rows.where(able)
+
+
 STRATEGIES = ("speed", "quality", "cost", "reliability")
 
 

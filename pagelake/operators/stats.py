@@ -228,6 +228,39 @@ def run_report(runs: DataFrame, type_col: str = "test_type", ok_col: str = "pass
     )
 
 
+def run_report_overall(runs: DataFrame, type_col: str = "test_type", ok_col: str = "passed", time_col: str = "response_time") -> DataFrame:
+    """The run report by type and, as ``overall``, of all runs, with the
+    has-any flags and time statistics; one GROUPING SETS pass."""
+    rate = F.count_if(F.col(ok_col)) / F.count(F.lit(1))
+    found = runs.groupingSets([[type_col], []], type_col).agg(
+        F.grouping(type_col).alias("_all"),
+        F.count(F.lit(1)).alias("total"),
+        F.count_if(F.col(ok_col)).alias("passed"),
+        F.count_if(~F.col(ok_col)).alias("failed"),
+        rate.alias("pass_rate"),
+        F.when(rate >= 0.9, "excellent").when(rate >= 0.7, "good").otherwise("needs_work").alias("grade"),
+        F.bool_or(F.col(ok_col)).alias("has_passed"),
+        F.bool_or(~F.col(ok_col)).alias("has_failed"),
+        F.min(time_col).alias("min_time"),
+        F.avg(time_col).alias("mean_time"),
+        F.max(time_col).alias("max_time"),
+    )
+    name = F.when(F.col("_all") == 1, "overall").otherwise(F.col(type_col)).alias(type_col)
+    return found.select(name, *[c for c in found.columns if c not in (type_col, "_all")])
+
+
+def task_durations(tasks: DataFrame) -> DataFrame:
+    """By state the tasks, those that have ended, and the seconds they took (null: none has)."""
+    seconds = F.unix_timestamp("completed_at") - F.unix_timestamp("started_at")
+    return tasks.groupBy("status").agg(
+        F.count(F.lit(1)).alias("tasks"),
+        F.count(seconds).alias("ended"),
+        F.min(seconds).alias("min_seconds"),
+        F.avg(seconds).alias("mean_seconds"),
+        F.max(seconds).alias("max_seconds"),
+    )
+
+
 def step_durations(steps: DataFrame) -> DataFrame:
     """Total and count of step durations per request."""
     return steps.groupBy("request_id").agg(

@@ -230,3 +230,23 @@ def x7_links(spark, sf_dir):
         F.count_if(d != F.col("link")).alias("changed"),
         F.sum(F.length(d)).alias("decoded_chars"),
     )
+
+
+_NEEDS = "attempt_id % 2 = 1 AS needs_javascript, attempt_id % 3 = 1 AS needs_cookies, attempt_id % 7 = 3 AS needs_screenshots, attempt_id % 5 = 2 AS needs_forms"
+
+
+def _able_sql() -> str:
+    rows = ", ".join(f"({Q.lit(m)}, {js}, {ck}, {sc}, {fm})" for m, js, ck, sc, fm, _ in R.CAPABILITIES)
+    return Q.with_attempts(
+        f"""SELECT a.attempt_id, c.method FROM (SELECT attempt_id, {_NEEDS} FROM attempts) a
+JOIN (VALUES {rows}) c(method, javascript, cookies, screenshots, forms)
+  ON (c.javascript OR NOT a.needs_javascript) AND (c.cookies OR NOT a.needs_cookies)
+ AND (c.screenshots OR NOT a.needs_screenshots) AND (c.forms OR NOT a.needs_forms)"""
+    )
+
+
+@query("j13_able_methods", _able_sql())
+def j13_able(spark, sf_dir):
+    """The methods that can serve each request (stand-in needs by attempt id)."""
+    a = _attempts(spark, sf_dir).selectExpr("attempt_id", *_NEEDS.split(", "))
+    return R.able_methods(a, spark).select("attempt_id", "method")

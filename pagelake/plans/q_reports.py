@@ -262,4 +262,48 @@ def a27_tasks(spark, sf_dir):
     return latest.groupBy("status").agg(F.count(F.lit(1)).alias("tasks"))
 
 
+@query(
+    "a20_run_overall",
+    Q.with_attempts(
+        """, r AS (SELECT method AS test_type, status = 'success' AS ok, response_time FROM attempts
+  UNION ALL SELECT 'overall', status = 'success', response_time FROM attempts)
+SELECT test_type, count(*) AS total, count(*) FILTER (WHERE ok) AS passed, count(*) FILTER (WHERE NOT ok) AS failed,
+       round(count(*) FILTER (WHERE ok) / count(*), 9) AS pass_rate,
+       CASE WHEN count(*) FILTER (WHERE ok) / count(*) >= 0.9 THEN 'excellent'
+            WHEN count(*) FILTER (WHERE ok) / count(*) >= 0.7 THEN 'good' ELSE 'needs_work' END AS grade,
+       bool_or(ok) AS has_passed, bool_or(NOT ok) AS has_failed,
+       min(response_time) AS min_time, round(avg(response_time), 6) AS mean_time, max(response_time) AS max_time
+FROM r GROUP BY test_type"""
+    ),
+)
+def a20_overall(spark, sf_dir):
+    """Run report by type and overall, with has-any flags and time statistics."""
+    a = tables.attempts(spark, sf_dir)
+    a = a.select(F.col("method").alias("test_type"), (F.col("status") == "success").alias("passed"), "response_time")
+    r = A.run_report_overall(a)
+    return r.withColumn("pass_rate", F.round("pass_rate", 9)).withColumn("mean_time", F.round("mean_time", 6))
+
+
+@query(
+    "a27_task_durations",
+    """SELECT status, count(*) AS tasks, count(seconds) AS ended, min(seconds) AS min_seconds,
+       round(avg(seconds), 6) AS mean_seconds, max(seconds) AS max_seconds
+FROM (SELECT CASE WHEN o_orderstatus = 'F' THEN 'completed' WHEN o_orderstatus = 'O' THEN 'running' ELSE 'failed' END AS status,
+             CASE WHEN o_orderstatus <> 'O' THEN 86400 * (1 + o_orderkey % 30) + o_orderkey % 3600 END AS seconds
+      FROM orders) GROUP BY status""",
+)
+def a27_durations(spark, sf_dir):
+    """Task durations by state (stand-in: an order starts at its date and,
+    unless it is running, ends after days and seconds taken from its key)."""
+    o = tables.read(spark, sf_dir, "orders")
+    start = F.col("o_orderdate").cast("timestamp")
+    took = 86400 * (1 + F.col("o_orderkey") % 30) + F.col("o_orderkey") % 3600
+    t = o.select(
+        F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "O", "running").otherwise("failed").alias("status"),
+        start.alias("started_at"),
+        F.when(F.col("o_orderstatus") != "O", F.timestamp_seconds(F.unix_timestamp(start) + took)).alias("completed_at"),
+    )
+    return A.task_durations(t).withColumn("mean_seconds", F.round("mean_seconds", 6))
+
+
 __all__ = ["R"]

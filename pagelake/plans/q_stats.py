@@ -273,3 +273,12 @@ def a19_counts(spark, sf_dir):
         F.when(F.col("_gs") == 0, F.col("status")).otherwise(F.col("method_used")).alias("value"),
         "count",
     )
+
+
+@query(
+    "a19_points",
+    Q.with_results("""SELECT id, timestamp, response_time, status_code FROM scrape_results"""),
+)
+def a19_points(spark, sf_dir):
+    """The (time, response time, code) point of every result."""
+    return _results(spark, sf_dir).select("id", "timestamp", "response_time", "status_code")
