@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import functools
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,3 +53,40 @@ def tidy(run):
             trim(0)
 
     return wrapped
+
+
+def _starts(text: pa.Array, separator: np.ndarray) -> np.ndarray:
+    """Words (runs of bytes that are no separator) of each text, 0 for a null."""
+    text = text.fill_null("")
+    if not len(text):
+        return np.zeros(0, np.int64)
+    offsets = np.frombuffer(text.buffers()[1], np.int64 if pa.types.is_large_string(text.type) else np.int32)
+    offsets = offsets[text.offset : text.offset + len(text) + 1].astype(np.int64)
+    low, high = int(offsets[0]), int(offsets[-1])
+    if low == high:
+        return np.zeros(len(text), np.int64)
+    inside = ~separator[np.frombuffer(text.buffers()[2], np.uint8)[low:high]]
+    start = inside.copy()
+    start[1:] &= ~inside[:-1]
+    firsts = offsets[:-1] - low
+    firsts = firsts[firsts < start.size]
+    start[firsts] = inside[firsts]
+    total = np.concatenate([[0], np.cumsum(start)])
+    return np.diff(total[offsets - low])
+
+
+def word_counts(docs: DataFrame, *keep: str, text: str = "text", separators: bytes = b" \t\n\x0b\x0c\r") -> DataFrame:
+    """``docs`` with the columns ``keep`` and ``n_words``: runs of bytes other than ``separators`` (a null text: 0)."""
+    from pyspark.sql.types import LongType, StructType
+
+    separator = np.zeros(256, bool)
+    separator[list(separators)] = True
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("_counted_text"))
+    schema = StructType([*rows.schema.fields[:-1]]).add("n_words", LongType())
+
+    def run(batches):
+        for batch in batches:
+            n = pa.array(_starts(batch.column(batch.num_columns - 1), separator), pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], n], names=[*batch.schema.names[:-1], "n_words"])
+
+    return rows.mapInArrow(tidy(run), schema)

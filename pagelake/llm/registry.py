@@ -31,6 +31,7 @@ MODULES = [
     "ordermin",
     "htmltext",
     "langid",
+    "phrases",
 ]
 
 
