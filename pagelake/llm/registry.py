@@ -32,6 +32,8 @@ MODULES = [
     "htmltext",
     "langid",
     "phrases",
+    "mixing",
+    "whitening",
 ]
 
 
