@@ -32,6 +32,36 @@ def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     return docs.select(F.monotonically_increasing_id().alias("rid"), F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
 
 
+def quoted(name: str) -> str:
+    """A column name as it stands, dots and all."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def unused(docs: DataFrame, *names: str) -> list[str]:
+    """``names``, lengthened until none is a column of ``docs`` (case does not tell columns apart)."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def nested(docs: DataFrame, **columns) -> DataFrame:
+    """``docs`` as one struct column ``doc``, beside ``columns``: no name of ``docs`` can clash."""
+    whole = F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("doc")
+    return docs.select(whole, *[c.alias(name) for name, c in columns.items()])
+
+
+def only_rows(docs: DataFrame, rids: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, whose row key (see ``keyed``) is in ``rids(rid)``."""
+    (row,) = unused(docs, "_row")
+    tagged = docs.withColumn(row, F.monotonically_increasing_id())
+    return tagged.join(rids.select(F.col("rid").alias(row)), row, "left_semi").drop(row)
+
+
 def ascii_lower(column):
     """Lower-case A-Z only."""
     return F.translate(column, UPPER, UPPER.lower())

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagelake.llm.common import keyed, table
+from pagelake.llm.common import keyed, table, unused
 from pagelake.llm.registry import query
 from pagelake.operators.numbering import global_rank
 
@@ -141,11 +141,15 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, bits: int = BITS) ->
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, bits: int = BITS) -> None:
-    """Write whole documents, one folder a shard, rows in curve order."""
-    placed = shard_documents(docs, shards, bits).select(F.col("rid").alias("_rid"), F.col("shard").alias("_shard"), F.col("slot").alias("_slot"))
-    rows = docs.withColumn("_row", F.monotonically_increasing_id()).join(placed, F.col("_row") == F.col("_rid"))
-    laid = rows.repartitionByRange(shards, "_shard", "_slot").sortWithinPartitions("_shard", "_slot")
-    laid.drop("_row", "_rid", "_slot").withColumnRenamed("_shard", "shard").write.partitionBy("shard").parquet(path)
+    """Write whole documents, one folder ``shard=<n>`` a shard, rows in curve order.
+
+    If ``docs`` has a column of that name, the folders' is ``shard_``.
+    """
+    row, slot, folder = unused(docs, "_row", "_slot", "shard")
+    placed = shard_documents(docs, shards, bits).select(F.col("rid").alias(row), F.col("shard").alias(folder), F.col("slot").alias(slot))
+    rows = docs.withColumn(row, F.monotonically_increasing_id()).join(placed, row)
+    laid = rows.repartitionByRange(shards, folder, slot).sortWithinPartitions(folder, slot)
+    laid.drop(row, slot).write.partitionBy(folder).parquet(path)
 
 
 @query("op6_hilbert_sharding")

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pagelake.llm.common import table
+from pagelake.llm.common import quoted, table, unused
 from pagelake.llm.registry import query
 
 DIMENSIONS = 4096
@@ -45,12 +45,16 @@ LEAST_EVIDENCE = 0.3  # a profile that its own rows fit by less (too few of them
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b > 127 or 97 <= b <= 122 else 32 for b in range(256))
 _SPACES = bytes(range(9, 14)) + bytes(range(28, 33))
 _NO_LETTERS = bytes(b for b in range(128) if not chr(b).isalpha())
-_LETTER = re.compile(r"[^\W\d_]")
+_MAYBE_LETTER = re.compile(r"[^\W\d_]")  # also number characters that are no digits
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _LOCAL_DOCS = 128
 _TASKS = 64  # scan tasks whose best rows are merged in a step
 
 
+def has_letter(text: str) -> bool:
+    return any(m[0].isalpha() for m in _MAYBE_LETTER.finditer(text))
+
+
 def _count(raw: bytes, counts: np.ndarray) -> None:
     """Add the hashed n-grams of ``raw`` to ``counts``, a piece at a time."""
     longest = max(ORDERS)
@@ -245,7 +249,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     def run(batches):
         for batch in batches:
             texts, langs, ids = (batch.column(c).to_pylist() for c in ("text", "lang", "doc_id"))
-            use = [i for i, t in enumerate(texts) if _LETTER.search(t)]
+            use = [i for i, t in enumerate(texts) if has_letter(t)]
             for at in range(0, len(use), _LOCAL_DOCS):
                 part = use[at : at + _LOCAL_DOCS]
                 x = features([texts[i] for i in part])
@@ -284,15 +288,16 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     def predicted(texts: pd.Series) -> pd.DataFrame:
         lang = [UNKNOWN] * len(texts)
         score = [0.0] * len(texts)
-        use = [i for i, t in enumerate(texts) if t is not None and _LETTER.search(t)]
+        use = [i for i, t in enumerate(texts) if t is not None and has_letter(t)]
         for at in range(0, len(use), _LOCAL_DOCS):
             part = use[at : at + _LOCAL_DOCS]
             for i, (name, s) in zip(part, shared.value.score([texts.iloc[i] for i in part])):
                 lang[i], score[i] = name, s
         return pd.DataFrame({"lang_pred": lang, "score": score})
 
-    others = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    return docs.select(*others, predicted(F.col(f"`{text}`")).alias("_found")).select(*others, "_found.lang_pred", "_found.score")
+    others = [F.col(quoted(c)) for c in docs.columns if c not in ("lang_pred", "score")]
+    (found,) = unused(docs, "_found")
+    return docs.select(*others, predicted(F.col(quoted(text))).alias(found)).select(*others, f"{found}.lang_pred", f"{found}.score")
 
 
 @query("op10_language_id")

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagelake.llm.common import keyed, table
+from pagelake.llm.common import keyed, nested, quoted, table
 from pagelake.llm.registry import query
 from pagelake.operators.numbering import global_rank, saved
 
@@ -89,9 +89,9 @@ def differing_paragraphs(a: Column, b: Column) -> Column:
 
 def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with ``fingerprint`` (replaced if there); a null text counts as empty."""
-    body = docs.withColumn("_body", F.coalesce(F.col(f"`{text}`"), F.lit("")))
-    made = with_tree(body, "_body", "_own").withColumn("fingerprint", fingerprint("_own"))
-    return made.drop("_body", "_own_leaves", "_own_sections", "_own_root")
+    made = with_tree(nested(docs, body=F.coalesce(F.col(quoted(text)), F.lit(""))), "body", "own")
+    others = [F.col("doc").getField(c).alias(c) for c in docs.columns if c != "fingerprint"]
+    return made.select(*others, fingerprint("own").alias("fingerprint"))
 
 
 def next_rows(rows: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelake.llm.common import ascii_lower, keyed, table, tidy
+from pagelake.llm.common import ascii_lower, keyed, only_rows, table, tidy
 from pagelake.llm.registry import query
 from pagelake.operators.numbering import saved
 
@@ -134,9 +134,7 @@ def dedup(docs: DataFrame, block: int = BLOCK_BYTES, doc_id: str = "doc_id", tex
 
 def survivors(docs: DataFrame, block: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs`` that stay, all columns."""
-    kept = dedup(docs, block).where("kept").select(F.col("rid").alias("_kept_rid"))
-    tagged = docs.withColumn("_kept_row", F.monotonically_increasing_id())
-    return tagged.join(kept, F.col("_kept_row") == F.col("_kept_rid"), "left_semi").drop("_kept_row")
+    return only_rows(docs, dedup(docs, block).where("kept").select("rid"))
 
 
 SQL = """WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS s FROM documents),

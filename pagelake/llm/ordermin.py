@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelake.llm.common import keyed, table, tidy
+from pagelake.llm.common import keyed, only_rows, table, tidy
 from pagelake.llm.registry import query
 from pagelake.llm.substrings import Sums, hashes, mix
 from pagelake.operators.numbering import saved
@@ -479,8 +479,7 @@ def near_duplicates(
 def survivors(docs: DataFrame, **options) -> DataFrame:
     """One document of each class, all columns of ``docs``."""
     classes, _ = near_duplicates(docs, **options)
-    tagged = docs.withColumn("_row", F.monotonically_increasing_id())
-    return tagged.join(classes.where("kept").select(F.col("rid").alias("_row")), "_row", "left_semi").drop("_row")
+    return only_rows(docs, classes.where("kept").select("rid"))
 
 
 @query("op8_order_minhash")

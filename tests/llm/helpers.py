@@ -1,5 +1,9 @@
 """Small document tables with every awkward case, shared by the operator tests."""
 
+from pyspark.sql import functions as F
+
+CLASHES = ["_row", "_ROW_", "_kept", "_cut", "_body", "_found", "_kept_row", "_kept_rid", "a.b", "score", "shard", "doc", "own_root", "fingerprint"]
+
 DOC_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, rid string, name string"
 
 _LONG = " ".join(f"word{i % 977} of{i % 53}" for i in range(9000))
@@ -29,8 +33,13 @@ def rows():
 
 
 def frame(spark, data=None):
-    return spark.createDataFrame(rows() if data is None else data, DOC_SCHEMA).repartition(3).cache()
+    return clashing(spark.createDataFrame(rows() if data is None else data, DOC_SCHEMA).repartition(3)).cache()
 
 
 def empty(spark):
-    return spark.createDataFrame([], DOC_SCHEMA)
+    return clashing(spark.createDataFrame([], DOC_SCHEMA))
+
+
+def clashing(df):
+    """More columns, under names that an operator might like to use itself."""
+    return df.withColumns({c: F.lit("clash") for c in CLASHES})

@@ -43,7 +43,7 @@ def test_awkward_rows(spark):
     model = langid.train(docs)
     df = frame(spark)
     out = langid.identify(df, model)
-    assert out.columns == [*df.columns, "lang_pred", "score"]
+    assert out.columns == [*[c for c in df.columns if c != "score"], "lang_pred", "score"]
     for r in out.collect():
         no_letter = r.text is None or not any(ch.isalpha() for ch in r.text)
         assert (r.lang_pred == "und") == no_letter and (r.score == 0) == no_letter
@@ -101,3 +101,9 @@ def test_floor_does_not_depend_on_the_number_of_languages(spark):
     one, four = langid.train(docs.where("lang = 'en'")), langid.train(docs)
     for name, text in _planted().items():
         assert max(one.score([text])[0][1], four.score([text])[0][1]) < 0.2, name
+
+
+def test_number_characters_are_no_letters(spark):
+    df = spark.createDataFrame([(1, "²"), (2, "½ ¼"), (3, "Ⅷ"), (4, "½ a ½"), (5, "٣")], "doc_id long, text string")
+    found = {r.doc_id: r.lang_pred for r in langid.identify(df, langid.train(frame(spark))).collect()}
+    assert found == {1: "und", 2: "und", 3: "und", 4: "en", 5: "und"}

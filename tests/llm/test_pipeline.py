@@ -5,7 +5,7 @@ from pagelake.llm import langid
 from pagelake.operators.numbering import saved
 
 from . import test_naming, test_ordermin, test_packing, test_substrings
-from .helpers import DOC_SCHEMA, empty, frame
+from .helpers import empty, frame
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -64,7 +64,7 @@ def test_run_is_the_stages(spark):
 
 def test_awkward_rows(spark):
     data = [(r[0], (r[1] or "")[:3000] if r[1] else r[1], r[2], r[3], r[4], r[5], r[6]) for r in frame(spark).collect()]
-    check(spark, spark.createDataFrame(data, DOC_SCHEMA))
+    check(spark, frame(spark, data))
 
 
 def test_empty_table(spark):
