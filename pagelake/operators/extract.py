@@ -151,3 +151,17 @@ def page_sizes(pages: DataFrame) -> DataFrame:
         H.json_body(html).isNotNull().alias("is_json"),
         H.json_field_count(html).alias("json_fields"),
     )
+
+
+def body_probe(bodies: DataFrame, id_col: str = "page_id") -> DataFrame:
+    """Per body whether it is JSON, its top-level fields, the length of its value's text and the preview of a plain one."""
+    html = F.col("html")
+    is_json = H.json_body(html).isNotNull()
+    preview = H.body_preview(html)
+    return bodies.select(
+        id_col,
+        is_json.alias("is_json"),
+        F.when(is_json, H.json_field_count(html)).alias("json_fields"),
+        F.when(is_json, F.length(html)).otherwise(F.length(preview)).alias("data_size"),
+        preview.alias("body_preview"),
+    )

@@ -1,9 +1,10 @@
 """Crawl-corpus graph analytics (G1–G5) as iterative DataFrame jobs.
 
 The link graph is an edge frame ``(src, dst)`` of distinct URL pairs.  Each
-iteration is a shuffle join of the current state with the edges on ``src``
-followed by an aggregation on ``dst`` (partial aggregation map-side, so a hot
-target URL is pre-summed before the shuffle).  Iterative state is cut from its
+iteration is a join of the current state with the edges on ``src`` followed by
+an aggregation on ``dst`` (partial aggregation map-side, so a hot target URL is
+pre-summed before the shuffle).  PageRank stores its edges once, bucketed by
+(source, salt), so a round moves ranks to the edges and never the edges.  Iterative state is cut from its
 lineage with a reliable ``checkpoint()`` into the session's checkpoint folder
 every round, so the plan stays one iteration deep and a lost executor
 recomputes one round, not all of them.
@@ -11,14 +12,22 @@ recomputes one round, not all of them.
 
 from __future__ import annotations
 
+import uuid
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagelake.functions import urls as U
+from pagelake.operators import numbering
+from pagelake.session import checkpoint_dir
 
 # PageRank parameters (fixed values).
 DAMPING = 0.85
 ROUNDS = 10
+# Edges of one source in a bucket, and the salts by which rows are spread before they meet a count.
+EDGE_ROWS = 1_000_000
+PRESALT = 16
 # Tracking query parameters dropped when URLs are compared.
 TRACKING_PREFIX = "utm_"
 
@@ -43,6 +52,56 @@ def materialise_edges(edges: DataFrame) -> DataFrame:
     return edges.checkpoint()
 
 
+def salted_counts(df: DataFrame, key: str, spread: Column, target_rows: int) -> DataFrame:
+    """``df`` with ``key_rows`` and ``salts = ceil(key_rows / target_rows)`` of each row's key.
+
+    Rows are spread by a fixed salt of ``spread`` before they meet their key's
+    count, which is repeated for each salt: a hot key joins in ``PRESALT``
+    tasks.  A NULL key is a key.
+    """
+    counts = df.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("key_rows"))
+    repeated = counts.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PRESALT - 1).cast("long"))))
+    rows = df.withColumn("_presalt", F.pmod(F.xxhash64(spread), F.lit(PRESALT)))
+    joined = rows.join(repeated, (rows["_presalt"] == repeated["_salt"]) & rows[key].eqNullSafe(repeated["_key"]))
+    salts = F.greatest(F.lit(1), F.ceil(F.col("key_rows") / F.lit(target_rows))).cast("long")
+    return joined.withColumn("salts", salts).drop("_key", "_salt", "_presalt")
+
+
+@contextmanager
+def placed_edges(edges: DataFrame, target_rows: int = EDGE_ROWS):
+    """The edges as a table bucketed and sorted by ``(src, salt)``, for the time of a job.
+
+    A source with many links is split into ``salts`` buckets of about
+    ``target_rows`` edges.  The files lie in the shared checkpoint folder; only
+    the table's name is dropped at the end.
+    """
+    spark = edges.sparkSession
+    salted = salted_counts(edges, "src", F.col("dst"), target_rows)
+    salted = salted.select("src", F.pmod(F.xxhash64("dst"), F.col("salts")).alias("salt"), "dst", F.col("key_rows").alias("out_deg"), "salts")
+    name = f"pagelake_edges_{uuid.uuid4().hex}"
+    parts = numbering.shuffle_partitions(edges)
+    laid = salted.repartition(parts, "src", "salt")
+    laid.write.bucketBy(parts, "src", "salt").sortBy("src", "salt").option("path", f"{checkpoint_dir(spark)}/{name}").saveAsTable(name)
+    try:
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def contributions(state: DataFrame, placed: DataFrame) -> DataFrame:
+    """``(url, contrib)``: what each URL gets from the URLs that link to it.
+
+    The rank of a source goes to each of its buckets; the edges stay where they are.
+    """
+    shares = state.where(F.col("out_deg") > 0).select(
+        F.col("url").alias("src"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"),
+        (F.col("rank") / F.col("out_deg")).alias("share"),
+    )
+    met = shares.join(placed.select("src", "salt", "dst"), ["src", "salt"])
+    return met.groupBy(F.col("dst").alias("url")).agg(F.sum("share").alias("contrib"))
+
+
 def in_degree(edges: DataFrame) -> DataFrame:
     """Number of distinct pages linking to each URL."""
     return edges.groupBy(F.col("dst").alias("url")).agg(F.count(F.lit(1)).alias("in_degree"))
@@ -78,46 +137,40 @@ def crawl_frontier(edges: DataFrame, seeds: DataFrame, max_depth: int) -> DataFr
     return reduce(lambda a, b: a.unionByName(b), levels)
 
 
-def pagerank(edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def pagerank(edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, target_rows: int = EDGE_ROWS) -> DataFrame:
     """PageRank over the edge frame, fixed rounds, dangling mass spread evenly.
 
-    Returns ``(url, rank, n_nodes)``; ranks sum to 1.  Edges are read once per
-    round (join on ``src``), node state is one row per URL.
+    Returns ``(url, rank, n_nodes)``; ranks sum to 1.  Node state is one row per
+    URL, checkpointed every round; edges are shuffled once, before the rounds.
     """
-    edges = materialise_edges(edges)
-    nodes = edges.select(F.col("src").alias("url")).union(edges.select(F.col("dst").alias("url"))).distinct()
-    out_deg = edges.groupBy(F.col("src").alias("url")).agg(F.count(F.lit(1)).alias("out_deg"))
-    n = nodes.agg(F.count(F.lit(1)).alias("n_nodes"))
-    state = (
-        nodes.join(out_deg, "url", "left")
-        .crossJoin(F.broadcast(n))
-        .select("url", F.coalesce("out_deg", F.lit(0)).alias("out_deg"), "n_nodes")
-        .withColumn("rank", F.lit(1.0) / F.col("n_nodes"))
-        .checkpoint()
-    )
-    for _ in range(rounds):
-        contrib = (
-            state.where(F.col("out_deg") > 0)
-            .select(F.col("url").alias("src"), (F.col("rank") / F.col("out_deg")).alias("share"))
-            .join(edges, "src")
-            .groupBy(F.col("dst").alias("url"))
-            .agg(F.sum("share").alias("contrib"))
-        )
-        dangling = state.where(F.col("out_deg") == 0).agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("dangling"))
+    with placed_edges(edges, target_rows) as placed:
+        sources = placed.groupBy(F.col("src").alias("url")).agg(F.max("out_deg").alias("out_deg"), F.max("salts").alias("salts"))
+        nodes = sources.select("url").union(placed.select(F.col("dst").alias("url"))).distinct()
+        n = nodes.agg(F.count(F.lit(1)).alias("n_nodes"))
         state = (
-            state.join(contrib, "url", "left")
-            .crossJoin(F.broadcast(dangling))
-            .select(
-                "url",
-                "out_deg",
-                "n_nodes",
-                (
-                    F.lit(1.0 - damping) / F.col("n_nodes")
-                    + F.lit(damping) * (F.coalesce("contrib", F.lit(0.0)) + F.col("dangling") / F.col("n_nodes"))
-                ).alias("rank"),
-            )
+            nodes.join(sources, "url", "left")
+            .crossJoin(F.broadcast(n))
+            .select("url", F.coalesce("out_deg", F.lit(0)).alias("out_deg"), F.coalesce("salts", F.lit(1)).alias("salts"), "n_nodes")
+            .withColumn("rank", F.lit(1.0) / F.col("n_nodes"))
             .checkpoint()
         )
+        for _ in range(rounds):
+            dangling = state.where(F.col("out_deg") == 0).agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("dangling"))
+            state = (
+                state.join(contributions(state, placed), "url", "left")
+                .crossJoin(F.broadcast(dangling))
+                .select(
+                    "url",
+                    "out_deg",
+                    "salts",
+                    "n_nodes",
+                    (
+                        F.lit(1.0 - damping) / F.col("n_nodes")
+                        + F.lit(damping) * (F.coalesce("contrib", F.lit(0.0)) + F.col("dangling") / F.col("n_nodes"))
+                    ).alias("rank"),
+                )
+                .checkpoint()
+            )
     return state.select("url", "rank", "n_nodes")
 
 
@@ -150,12 +203,8 @@ def salted_by_domain(df: DataFrame, target_rows: int, domain_col: str = "domain"
     """Partition rows by domain, splitting a heavy domain into
     ``ceil(rows / target_rows)`` salted buckets so no single task gets it all.
 
-    The per-domain counts come from one partial aggregation; the salt is the
-    row id modulo the bucket count, so the assignment is deterministic.
+    The salt is the row id modulo the bucket count, so the assignment is
+    deterministic.  Rows meet their domain's count by a salted join.
     """
-    counts = df.groupBy(domain_col).agg(F.count(F.lit(1)).alias("domain_rows"))
-    buckets = F.greatest(F.lit(1), F.ceil(F.col("domain_rows") / F.lit(target_rows))).cast("long")
-    salted = df.join(counts, domain_col).withColumn("buckets", buckets).withColumn(
-        "salt", F.pmod(F.col(id_col), F.col("buckets"))
-    )
-    return salted.repartition(domain_col, "salt")
+    salted = salted_counts(df, domain_col, F.col(id_col), target_rows).withColumnsRenamed({"key_rows": "domain_rows", "salts": "buckets"})
+    return salted.withColumn("salt", F.pmod(F.col(id_col), F.col("buckets"))).repartition(domain_col, "salt")

@@ -186,7 +186,8 @@ def _stream_groups(batches, group_cols, fn):
     """Feed ``fn`` one whole group at a time from sorted Arrow batches.
 
     Rows arrive sorted by ``group_cols`` within the partition; a group may
-    span batches, so only the group being read is held in memory.  ``fn``
+    span batches, so only the group being read is held in memory.  Group
+    columns are text or whole numbers without NULLs; a NULL text is a value.  ``fn``
     takes a dict of numpy arrays (one group) and returns a dict of equal-
     length lists; the outputs of one input batch leave as one pandas frame.
     """
@@ -250,6 +251,24 @@ def _map_groups(df: DataFrame, group_cols: list[str], order_cols: list[str], fn,
     )
 
 
+def _keyed_log(attempts: DataFrame, key: str, ts: str, tiebreak: str, ok_col: str, width_s: int | None) -> DataFrame:
+    """The narrow segmented log, written once, with its key as text.
+
+    Python sees a NULL number as NaN, which equals nothing, and every number
+    beside it as a double; text keeps every key apart and NULL a key.
+    """
+    kind = dict(attempts.dtypes)[key]
+    # 0.0 makes -0.0 the 0.0 that Spark groups it with.
+    k = F.hex(key) if kind == "binary" else (F.col(key) + 0.0 if kind in ("double", "float") else F.col(key)).cast("string")
+    b = segments(attempts.select(k.alias(key), ts, tiebreak, ok_col), key, [ts, tiebreak], width_s)
+    return b if width_s is None else numbering.saved(b, "attempt-log")
+
+
+def _with_typed_key(df: DataFrame, key: str, key_type: str) -> DataFrame:
+    """The key of ``_keyed_log`` in the type it came in."""
+    return df.withColumn(key, F.unhex(key) if key_type == "binary" else F.col(key).cast(key_type))
+
+
 def health_walk(
     attempts: DataFrame, key: str = "proxy_id", ts: str = "ts", tiebreak: str = "attempt_id", ok_col: str = "ok",
     width_s: int | None = None,
@@ -265,8 +284,7 @@ def health_walk(
     """
     import pandas as pd
 
-    # The narrow segmented log is read by four passes: materialise it once.
-    b = numbering.saved(segments(attempts.select(key, ts, tiebreak, ok_col), key, [ts, tiebreak], width_s), "attempt-log")
+    b = _keyed_log(attempts, key, ts, tiebreak, ok_col, width_s)
 
     def summarise(g):
         oks = g[ok_col].astype(bool)
@@ -275,10 +293,9 @@ def health_walk(
         return {key: [g[key][0]], "_bucket": [int(g["_bucket"][0])], "D": [D], "L": [L], "H": [H],
                 "n": [len(oks)], "fails": [int((~oks).sum())]}
 
-    key_type = dict(attempts.dtypes)[key]
     summ = _map_groups(
         b, [key, "_bucket"], [ts, tiebreak], summarise,
-        f"{key} {key_type}, _bucket long, D long, L long, H long, n long, fails long",
+        f"{key} string, _bucket long, D long, L long, H long, n long, fails long",
     )
 
     def chain(g):
@@ -293,7 +310,7 @@ def health_walk(
             f += int(fl)
         return {key: g[key], "_bucket": g["_bucket"], "start": starts, "n0": ns, "f0": fs}
 
-    carry = _map_groups(summ, [key], ["_bucket"], chain, f"{key} {key_type}, _bucket long, start long, n0 long, f0 long")
+    carry = _map_groups(summ, [key], ["_bucket"], chain, f"{key} string, _bucket long, start long, n0 long, f0 long")
     joined = join_segments(b, carry, key)
 
     # Exact doubles: given the exact integer start of a bucket, the double
@@ -321,7 +338,7 @@ def health_walk(
 
     tail = _map_groups(
         joined, [key, "_bucket"], [ts, tiebreak], tails,
-        f"{key} {key_type}, _bucket long, ops string, end double, reset boolean",
+        f"{key} string, _bucket long, ops string, end double, reset boolean",
     )
 
     def chain_double(g):
@@ -336,7 +353,7 @@ def health_walk(
                     x = min(1.0, x + 0.01) if c == "u" else max(0.0, x - 0.05)
         return {key: g[key], "_bucket": g["_bucket"], "x0": starts}
 
-    dcarry = _map_groups(tail, [key], ["_bucket"], chain_double, f"{key} {key_type}, _bucket long, x0 double")
+    dcarry = _map_groups(tail, [key], ["_bucket"], chain_double, f"{key} string, _bucket long, x0 double")
     joined = join_segments(joined, dcarry, key)
 
     def walk(g):
@@ -352,8 +369,9 @@ def health_walk(
             hs.append(x)
         return {key: g[key], ts: g[ts], tiebreak: g[tiebreak], "health_score": hs, "success_rate": rs}
 
-    out_schema = f"{key} {key_type}, {ts} {dict(attempts.dtypes)[ts]}, {tiebreak} {dict(attempts.dtypes)[tiebreak]}, health_score double, success_rate double"
-    return _map_groups(joined, [key, "_bucket"], [ts, tiebreak], walk, out_schema)
+    out_schema = f"{key} string, {ts} {dict(attempts.dtypes)[ts]}, {tiebreak} {dict(attempts.dtypes)[tiebreak]}, health_score double, success_rate double"
+    walked = _map_groups(joined, [key, "_bucket"], [ts, tiebreak], walk, out_schema)
+    return _with_typed_key(walked, key, dict(attempts.dtypes)[key])
 
 
 def breaker_step(state, ok, t):
@@ -396,10 +414,8 @@ def breaker_replay(
     import numpy as np
     import pandas as pd
 
-    # Read by the summary and the final replay: materialise the narrow log once.
-    b = numbering.saved(segments(attempts.select(key, ts, tiebreak, ok_col), key, [ts, tiebreak], width_s), "attempt-log")
+    b = _keyed_log(attempts, key, ts, tiebreak, ok_col, width_s)
     ts_type = dict(attempts.dtypes)[ts]
-    key_type = dict(attempts.dtypes)[key]
 
     def secs(arr):
         return (np.asarray(arr).astype("datetime64[us]").astype("int64") / 1e6).tolist()
@@ -441,7 +457,7 @@ def breaker_replay(
         return {key: [g[key][0]] * n, "_bucket": [int(g["_bucket"][0])] * n, **out, "first_ts": [times[0]] * n}
 
     summ_schema = (
-        f"{key} {key_type}, _bucket long, start_kind string, start_arg double, probe_ts double, "
+        f"{key} string, _bucket long, start_kind string, start_arg double, probe_ts double, "
         "end_kind string, end_arg double, first_ts double"
     )
     summ = _map_groups(b, [key, "_bucket"], [ts, tiebreak], summarise, summ_schema)
@@ -464,7 +480,7 @@ def breaker_replay(
         return {key: [o[0] for o in out], "_bucket": [o[1] for o in out], "s_kind": [o[2] for o in out],
                 "s_arg": [o[3] for o in out]}
 
-    carry = _map_groups(summ, [key], ["_bucket"], chain, f"{key} {key_type}, _bucket long, s_kind string, s_arg double")
+    carry = _map_groups(summ, [key], ["_bucket"], chain, f"{key} string, _bucket long, s_kind string, s_arg double")
     joined = join_segments(b, carry, key)
 
     def replay(g):
@@ -489,7 +505,69 @@ def breaker_replay(
                 "failure_count_at_least": fcs, "last_failure_epoch": last_fail}
 
     out_schema = (
-        f"{key} {key_type}, {ts} {ts_type}, {tiebreak} {dict(attempts.dtypes)[tiebreak]}, allowed boolean, "
+        f"{key} string, {ts} {ts_type}, {tiebreak} {dict(attempts.dtypes)[tiebreak]}, allowed boolean, "
         "state string, failure_count_at_least long, last_failure_epoch double"
     )
-    return _map_groups(joined, [key, "_bucket"], [ts, tiebreak], replay, out_schema)
+    replayed = _map_groups(joined, [key, "_bucket"], [ts, tiebreak], replay, out_schema)
+    return _with_typed_key(replayed, key, dict(attempts.dtypes)[key])
+
+
+def session_starts(log: DataFrame, key: str, ts: str, tiebreak: str, duration_s: float) -> DataFrame:
+    """``(key, ts, tiebreak, created_at)``, the opening time of the session that holds each row.
+
+    The first row of a key opens a session; it holds for less than
+    ``duration_s``, and the next row after that opens the next.  A segment is
+    summarised by where it leaves off for each row that can be the first to
+    open a session in it; the chain over a key's segments picks the real one.
+    """
+    import numpy as np
+
+    ts_type, id_type, key_type = (dict(log.dtypes)[c] for c in (ts, tiebreak, key))
+    rows = log.withColumn("_none", F.lit(True))
+    b = _keyed_log(rows, key, ts, tiebreak, "_none", None)
+    width = int(duration_s * 1_000_000)
+
+    def micros(arr):
+        return np.asarray(arr).astype("datetime64[us]").astype("int64")
+
+    def summarise(g):
+        """Per possible first opening row: its time and that of the segment's last opening."""
+        t = micros(g[ts])
+        m = len(t)
+        after = np.searchsorted(t, t + width)  # first row of the next session
+        last = t.copy()
+        for j in range(m - 1, -1, -1):
+            if after[j] < m:
+                last[j] = last[after[j]]
+        # A session that is open on entry ends a duration after the first row at the latest.
+        n = min(m, int(np.searchsorted(t, t[0] + width)) + 1)
+        return {key: [g[key][0]] * n, "_bucket": [int(g["_bucket"][0])] * n, "opens": t[:n], "last": last[:n]}
+
+    summ = _map_groups(b, [key, "_bucket"], [ts, tiebreak], summarise, f"{key} string, _bucket long, opens long, last long")
+
+    def chain(g):
+        out, state = [], None
+        starts = np.flatnonzero(np.r_[True, g["_bucket"][1:] != g["_bucket"][:-1]])
+        for a, z in zip(starts, [*starts[1:], len(g["_bucket"])]):
+            out.append((int(g["_bucket"][a]), state))
+            opens = g["opens"][a:z]
+            j = 0 if state is None else int(np.searchsorted(opens, state + width))
+            if j < len(opens):
+                state = int(g["last"][a + j])
+        return {key: [g[key][0]] * len(out), "_bucket": [o[0] for o in out], "open": [-1 if o[1] is None else o[1] for o in out], "is_open": [o[1] is not None for o in out]}
+
+    carry = _map_groups(summ, [key], ["_bucket", "opens"], chain, f"{key} string, _bucket long, open long, is_open boolean")
+    joined = join_segments(b, carry, key)
+
+    def walk(g):
+        state = int(g["open"][0]) if g["is_open"][0] else None
+        out = []
+        for t in micros(g[ts]).tolist():
+            if state is None or t - state >= width:
+                state = t
+            out.append(state)
+        return {key: g[key], ts: g[ts], tiebreak: g[tiebreak], "created": out}
+
+    walked = _map_groups(joined, [key, "_bucket"], [ts, tiebreak], walk, f"{key} string, {ts} {ts_type}, {tiebreak} {id_type}, created long")
+    made = walked.withColumn("created_at", F.timestamp_micros("created").cast(ts_type)).drop("created")
+    return _with_typed_key(made, key, key_type)

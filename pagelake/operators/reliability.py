@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from pagelake.functions import scoring as S
 from pagelake.operators import ordered as O
+from pagelake.operators import store
 
 # Proxy choice weights (W12) and the VPN rotation threshold.
 HEALTH_WEIGHTS = (0.7, 0.3)
@@ -24,6 +25,8 @@ CAPABILITIES = [
     ("pydoll", True, True, False, True, 2),
     ("playwright", True, True, True, True, 3),
 ]
+# Events that stand for the selection of a proxy.
+SELECTING = ("view", "click")
 # Retry policy (X32): retryable codes and the default delay in seconds.
 RETRY_DELAY_S = 5
 
@@ -63,17 +66,25 @@ def proxies_from(attempts: DataFrame, customer: DataFrame, nation: DataFrame, re
 
 
 def health_rank(proxies: DataFrame) -> DataFrame:
-    """Rank within pool by 0.7·health + 0.3·success rate (first wins ties)."""
+    """Rank within pool by 0.7·health + 0.3·success rate (first wins ties).
+
+    Numbered by one range sort over pool and score, so a pool of any size is
+    spread over many tasks.
+    """
     wh, wr = HEALTH_WEIGHTS
-    score = F.col("health_score") * wh + F.col("success_rate") * wr
-    w = W.partitionBy("pool_name").orderBy(F.col("score").desc(), F.col("proxy_id"))
-    return proxies.withColumn("score", score).withColumn("rank", F.row_number().over(w))
+    scored = proxies.withColumn("score", F.col("health_score") * wh + F.col("success_rate") * wr)
+    return store.numbered(scored, [F.col("score").desc(), F.col("proxy_id")], ["pool_name"], "rank")
 
 
 def least_used(proxies: DataFrame, usage_col: str = "total_requests") -> DataFrame:
-    """Proxies whose usage equals the pool minimum (all ties are candidates)."""
-    w = W.partitionBy("pool_name")
-    return proxies.withColumn("_min", F.min(usage_col).over(w)).where(F.col(usage_col) == F.col("_min")).drop("_min")
+    """Proxies whose usage equals the pool minimum (all ties are candidates).
+
+    The minimum is a partial aggregate; the join is on pool and usage, which
+    spreads a large pool by its usage.
+    """
+    least = proxies.groupBy(F.col("pool_name").alias("_pool")).agg(F.min(usage_col).alias("_min"))
+    same = F.col("pool_name").eqNullSafe(F.col("_pool")) & (F.col(usage_col) == F.col("_min"))
+    return proxies.join(least, same, "left_semi")
 
 
 def geographic_candidates(proxies: DataFrame) -> DataFrame:
@@ -96,6 +107,57 @@ def pool_status(proxies: DataFrame) -> DataFrame:
     )
 
 
+SESSION_TIMEOUT_S = 1800
+
+
+def session_intervals(log: DataFrame, duration_s: int = SESSION_TIMEOUT_S, session: str = "session_id") -> DataFrame:
+    """``(session, proxy_id, created_at, expires_at)`` of every sticky session in the log.
+
+    A session keeps the proxy of the request that opened it; the first request
+    ``duration_s`` or more later opens it anew.
+    """
+    started = O.session_starts(log, session, "ts", "attempt_id", duration_s)
+    opening = started.where(F.col("created_at") == F.col("ts")).groupBy(session, "created_at").agg(F.min("attempt_id").alias("attempt_id"))
+    own = opening.join(log.select("attempt_id", "proxy_id"), "attempt_id")
+    return own.select(session, "proxy_id", "created_at", (F.col("created_at") + F.make_dt_interval(secs=F.lit(duration_s))).alias("expires_at"))
+
+
+def sticky_proxies(log: DataFrame, duration_s: int = SESSION_TIMEOUT_S, session: str = "session_id") -> DataFrame:
+    """The log with ``sticky_proxy``, the proxy of the session interval in force at each request.
+
+    The as-of lookup is an equality: the walk that cuts the intervals gives
+    each request the opening time of its own.
+    """
+    held = O.session_starts(log, session, "ts", "attempt_id", duration_s).select("attempt_id", "created_at")
+    intervals = session_intervals(log, duration_s, session).select(
+        F.col(session).alias("_session"), F.col("created_at").alias("_created"), F.col("proxy_id").alias("sticky_proxy")
+    )
+    rows = log.join(held, "attempt_id")
+    return rows.join(intervals, rows[session].eqNullSafe(F.col("_session")) & (F.col("created_at") == F.col("_created"))).drop("_session", "_created")
+
+
+def live_sessions(intervals: DataFrame, as_of: Column) -> DataFrame:
+    """The sessions that hold at ``as_of``, one row a session at most."""
+    return intervals.where((F.col("created_at") <= as_of) & (as_of < F.col("expires_at")))
+
+
+def sessions_by_pool(proxies: DataFrame, live: DataFrame) -> DataFrame:
+    """Live sessions in all, and of each pool's proxies, one row a pool."""
+    held = live.groupBy("proxy_id").agg(F.count(F.lit(1)).alias("_held"))
+    pools = proxies.join(held, "proxy_id", "left").groupBy("pool_name").agg(F.coalesce(F.sum("_held"), F.lit(0)).alias("pool_sessions"))
+    return pools.crossJoin(F.broadcast(live.agg(F.count(F.lit(1)).alias("active_sessions"))))
+
+
+def proxy_counters(attempts: DataFrame) -> DataFrame:
+    """Per proxy the selections, and the zero-floored counters after its last event."""
+    last = F.struct("ts", "attempt_id")
+    return O.zero_floored_counters(attempts).groupBy("proxy_id").agg(
+        F.count_if(F.col("event_type").isin(*SELECTING)).alias("selected_requests"),
+        F.max_by("current_requests", last).alias("current_requests"),
+        F.max_by("recent_failures", last).alias("recent_failures"),
+    )
+
+
 def active_in_country(proxies: DataFrame, country: str) -> DataFrame:
     """active proxies of a country, ignoring case."""
     return proxies.where((F.col("status") == "active") & (F.lower("country") == country.lower()))
@@ -130,18 +192,16 @@ def servers_from(supplier: DataFrame, nation: DataFrame) -> DataFrame:
 def best_servers(servers: DataFrame, preferred: list[str] | None = None) -> DataFrame:
     """Rank servers per country by (load, latency, name), plus a global
     rank with the preferred-country order as first key."""
-    from pagelake.operators import store as ST
-
     # Both ranks use the distributed numbering (no single-task window), with
     # the name as the final tiebreak so the order is total.
-    ranked = ST.numbered(servers, [F.col("load"), F.col("latency"), F.col("name")], group=["country"], name="country_rank")
-    pref = F.array(*[F.lit(c) for c in (preferred or [])]) if preferred else F.array().cast("array<string>")
-    pos = F.array_position(pref, F.col("country"))
-    first_key = F.when(pos > 0, pos).otherwise(F.lit(1 << 30))
-    overall = ST.numbered(
+    ranked = store.numbered(servers, [F.col("load"), F.col("latency"), F.col("name")], group=["country"], name="country_rank")
+    preferred = preferred or []
+    pos = F.array_position(F.array(*map(F.lit, preferred)).cast("array<string>"), F.col("country"))
+    first_key = F.when(pos > 0, pos).otherwise(F.lit(len(preferred) + 1))
+    overall = store.numbered(
         ranked.withColumn("_k", first_key), [F.col("_k"), F.col("load"), F.col("latency"), F.col("name")], name="overall_rank"
     )
-    return overall.drop("_k").withColumn("server_health", S.server_health(F.col("load")))
+    return overall.withColumn("preferred_rank", F.when(F.col("_k") <= len(preferred), F.col("_k"))).drop("_k").withColumn("server_health", S.server_health(F.col("load")))
 
 
 def next_server(servers: DataFrame, current: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagelake.functions import scoring as S
+from pagelake.operators import store
 
 # Best-method rule (A9): minimum requests and score weights.
 BEST_MIN_REQUESTS = 10
@@ -200,20 +201,40 @@ def overall_report(results: DataFrame) -> DataFrame:
     )
 
 
+QUARTILES = {"q0": 0.0, "q25": 0.25, "q50": 0.5, "q75": 0.75, "q100": 1.0}
+
+
+def quantiles_by_rank(df: DataFrame, key: str, value: str, points: dict[str, float]) -> DataFrame:
+    """Exact interpolated quantiles of ``value`` per ``key``, a hot key spread over many tasks.
+
+    Rows are numbered within their key by one saved range sort; a quantile is
+    read off the one or two rows at its rank, so what is aggregated per key are
+    a few rows, never a buffer of all its values.  NULL values do not count; a
+    NULL key is a key.
+    """
+    rows = df.select(key, value).where(F.col(value).isNotNull())
+    ranked = store.numbered(rows, [F.col(value)], [key], "_rank", "_total")
+    place = {name: (F.col("_total") - 1) * F.lit(q) + 1 for name, q in points.items()}
+    sides = {name: (F.floor(p), F.ceil(p)) for name, p in place.items()}
+    wanted = F.lit(False)
+    for low, high in sides.values():
+        wanted = wanted | (F.col("_rank") == low) | (F.col("_rank") == high)
+    few = ranked.where(wanted)
+    aggs = [F.max("_total").alias("_total")]
+    for name, (low, high) in sides.items():
+        aggs += [F.max(F.when(F.col("_rank") == side, F.col(value))).alias(f"_{name}_{at}") for at, side in (("lo", low), ("hi", high))]
+    out = few.groupBy(key).agg(*aggs)
+    between = lambda n: F.col(f"_{n}_lo") + (F.col(f"_{n}_hi") - F.col(f"_{n}_lo")) * (place[n] - sides[n][0])
+    return out.select(key, *[between(n).alias(n) for n in points])
+
+
 def time_quartiles(results: DataFrame, n_domains: int = 10) -> DataFrame:
-    """Response-time quartiles for the first ``n_domains`` domains
-    (by name), exact percentiles."""
+    """Response-time quartiles for the first ``n_domains`` domains (by name), exact."""
     first = results.select("domain").distinct().orderBy("domain").limit(n_domains)
-    q = F.percentile(F.col("response_time"), F.array(*[F.lit(x) for x in (0.0, 0.25, 0.5, 0.75, 1.0)]))
-    return (
-        results.join(F.broadcast(first), "domain", "left_semi")
-        .groupBy("domain")
-        .agg(q.alias("q"))
-        .select(
-            "domain",
-            *[F.col("q")[i].alias(name) for i, name in enumerate(["q0", "q25", "q50", "q75", "q100"])],
-        )
-    )
+    # ``n_domains`` rows at most.
+    few = results.select("domain", "response_time").join(F.broadcast(first), "domain", "left_semi")
+    found = quantiles_by_rank(few, "domain", "response_time", QUARTILES)
+    return first.join(found, "domain", "left")
 
 
 def run_report(runs: DataFrame, type_col: str = "test_type", ok_col: str = "passed") -> DataFrame:

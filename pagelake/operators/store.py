@@ -150,9 +150,13 @@ def latest_per_key_agg(df: DataFrame, key: str, ts: str, tiebreak: str) -> DataF
     return df.groupBy(key).agg(F.max_by(packed, order_key).alias("_r")).select(key, "_r.*")
 
 
-def numbered(df: DataFrame, order: list[Column], group: list[str] | None = None, name: str = "number") -> DataFrame:
+def numbered(
+    df: DataFrame, order: list[Column], group: list[str] | None = None, name: str = "number", total: str | None = None
+) -> DataFrame:
     """1-based number in a total order, optionally restarting per group.
 
+    With ``total`` the number of rows (of the group) is added under that name.
+
     A ``row_number`` window would put a whole group (or, without a group,
     the whole table) in one task.  Here the rows are range-partitioned and
     sorted by ``(group, order)`` once and saved with their partition number
@@ -169,12 +173,14 @@ def numbered(df: DataFrame, order: list[Column], group: list[str] | None = None,
     offsets = counts.select(
         F.col("_pid").alias("_opid"), *[F.col(c).alias(f"_o_{c}") for c in g],
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"), "_first",
+        F.sum("_n").over(W.partitionBy(*g)).alias("_total"),
     )
     same = F.col("_pid") == F.col("_opid")
     for c in g:
         same = same & F.col(c).eqNullSafe(F.col(f"_o_{c}"))
     joined = pos.join(offsets if g else F.broadcast(offsets), same)
-    return joined.withColumn(name, F.col("_off") + (F.col("_pos") - F.col("_first")) + 1).select(*df.columns, name)
+    out = joined.withColumn(name, F.col("_off") + (F.col("_pos") - F.col("_first")) + 1)
+    return out.select(*df.columns, name, *([F.col("_total").alias(total)] if total else []))
 
 
 def to_record(results: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pagelake.operators import numbering
 from pagelake.operators import ordered as O
 from pagelake.operators import reliability as R
 from pagelake.plans import sqlfrag as Q
@@ -80,6 +81,9 @@ FROM br WHERE rn > 0"""
 )
 
 
+BREAKER_CTE = BREAKER_SQL[: BREAKER_SQL.rindex("\nSELECT method")]
+
+
 @query("w4_circuit_breaker", BREAKER_SQL)
 def w4_breaker(spark, sf_dir):
     """Circuit-breaker replay per method (threshold 5, recovery 60 s)."""
@@ -269,32 +273,92 @@ def w14_geo(spark, sf_dir):
     return g.select("proxy_id", "pool_name", "country", "country_count")
 
 
+SESSIONS_CTE = """,
+so AS (SELECT attempt_id % 7 AS session_id, proxy_id, epoch_us(ts) AS us,
+  row_number() OVER (PARTITION BY attempt_id % 7 ORDER BY ts, attempt_id) AS rn FROM attempts),
+sticky AS (
+  SELECT session_id, rn, us, us AS created, proxy_id FROM so WHERE rn = 1
+  UNION ALL
+  SELECT so.session_id, so.rn, so.us, CASE WHEN so.us - k.created >= 1800000000 THEN so.us ELSE k.created END,
+         CASE WHEN so.us - k.created >= 1800000000 THEN so.proxy_id ELSE k.proxy_id END
+  FROM sticky k JOIN so ON so.session_id = k.session_id AND so.rn = k.rn + 1
+)"""
+
+
+def _session_log(spark, sf_dir):
+    """Stand-in: the attempts of seven sticky sessions."""
+    return tables.attempts(spark, sf_dir).withColumn("session_id", F.col("attempt_id") % 7)
+
+
+@query(
+    "a21_session_intervals",
+    "WITH RECURSIVE "
+    + Q.attempts_cte()
+    + SESSIONS_CTE
+    + """
+SELECT DISTINCT session_id, proxy_id, make_timestamp(created) AS created_at, make_timestamp(created + 1800000000) AS expires_at FROM sticky""",
+)
+def a21_intervals(spark, sf_dir):
+    """Interval table of the sticky sessions (1800 s from the request that opens one)."""
+    return R.session_intervals(_session_log(spark, sf_dir))
+
+
+@query(
+    "a21_session_proxies",
+    "WITH RECURSIVE "
+    + Q.attempts_cte()
+    + SESSIONS_CTE
+    + """
+SELECT s.attempt_id, s.proxy_id AS asked_proxy, k.proxy_id AS sticky_proxy
+FROM (SELECT attempt_id, proxy_id, attempt_id % 7 AS session_id, row_number() OVER (PARTITION BY attempt_id % 7 ORDER BY ts, attempt_id) AS rn
+      FROM attempts) s JOIN sticky k ON k.session_id = s.session_id AND k.rn = s.rn""",
+)
+def a21_proxies(spark, sf_dir):
+    """The proxy that each request gets, by the session interval it falls in."""
+    log = _session_log(spark, sf_dir)
+    return R.sticky_proxies(log).select("attempt_id", F.col("proxy_id").alias("asked_proxy"), "sticky_proxy")
+
+
 @query(
     "a21_pool_status",
     PROXIES_CTE
-    + """
+    + SESSIONS_CTE
+    + f""", live AS (SELECT DISTINCT session_id, proxy_id, created FROM sticky
+  WHERE created <= epoch_us({Q.AS_OF_SQL}) AND epoch_us({Q.AS_OF_SQL}) < created + 1800000000)
 SELECT pool_name, count(*) AS total, count(*) FILTER (WHERE status = 'active') AS active,
        count(*) FILTER (WHERE status = 'blocked') AS blocked, count(*) FILTER (WHERE status = 'failed') AS failed,
-       count(*) FILTER (WHERE status = 'rate_limited') AS rate_limited
+       count(*) FILTER (WHERE status = 'rate_limited') AS rate_limited,
+       CAST(sum((SELECT count(*) FROM live WHERE live.proxy_id = proxies.proxy_id)) AS BIGINT) AS pool_sessions,
+       (SELECT count(*) FROM live) AS active_sessions
 FROM proxies GROUP BY pool_name""",
 )
 def a21_pools(spark, sf_dir):
-    """Pool status counts from the proxies' final health."""
-    return R.pool_status(_proxies(spark, sf_dir))
+    """Pool status counts from the proxies' final health, with the sticky sessions that are live at the as-of time."""
+    p = numbering.saved(_proxies(spark, sf_dir), "proxies")
+    live = numbering.saved(R.live_sessions(R.session_intervals(_session_log(spark, sf_dir)), tables.as_of()), "live-sessions")
+    return R.pool_status(p).join(R.sessions_by_pool(p, live), "pool_name")
 
 
 @query(
     "a22_a23_proxy_usage",
     PROXIES_CTE
-    + """
+    + """,
+cs AS (SELECT proxy_id, ts, attempt_id, event_type,
+    sum(CASE WHEN status <> 'success' THEN 1 ELSE -1 END) OVER w AS s_rf,
+    sum(CASE WHEN event_type IN ('view', 'click') THEN 1 ELSE -1 END) OVER w AS s_cr
+  FROM attempts WINDOW w AS (PARTITION BY proxy_id ORDER BY ts, attempt_id ROWS UNBOUNDED PRECEDING)),
+cf AS (SELECT proxy_id, count(*) FILTER (WHERE event_type IN ('view', 'click')) AS selected_requests,
+    CAST(arg_max(s_cr, (ts, attempt_id)) - least(0, min(s_cr)) AS BIGINT) AS current_requests,
+    CAST(arg_max(s_rf, (ts, attempt_id)) - least(0, min(s_rf)) AS BIGINT) AS recent_failures
+  FROM cs GROUP BY proxy_id)
 SELECT proxy_id, total_requests, failed_requests, last_used,
        round((total_requests - failed_requests) / total_requests, 9) AS success_rate,
-       health_score, status
-FROM proxies""",
+       health_score, status, selected_requests, current_requests, recent_failures
+FROM proxies JOIN cf USING (proxy_id)""",
 )
 def a22_usage(spark, sf_dir):
-    """A22 + A23 + X28: per-proxy usage, success rate, final health and status."""
-    p = _proxies(spark, sf_dir)
+    """A22 + A23 + X28: per-proxy usage, selections, open requests, success rate, final health and status."""
+    p = _proxies(spark, sf_dir).join(R.proxy_counters(_attempts(spark, sf_dir)), "proxy_id")
     return p.select(
         "proxy_id",
         "total_requests",
@@ -303,6 +367,9 @@ def a22_usage(spark, sf_dir):
         F.round((F.col("total_requests") - F.col("failed_requests")) / F.col("total_requests"), 9).alias("success_rate"),
         "health_score",
         "status",
+        "selected_requests",
+        "current_requests",
+        "recent_failures",
     )
 
 

@@ -10,6 +10,7 @@ from pagelake.operators import ordered as O
 from pagelake.operators import reliability as R
 from pagelake.operators import reports as RP
 from pagelake.operators import stats as A
+from pagelake.plans import q_reliability
 from pagelake.plans import sqlfrag as Q
 from pagelake.plans.registry import query
 from pagelake.sources import tables
@@ -68,13 +69,14 @@ def _method_services(spark, sf_dir):
 
 @query(
     "a14_f12_service_health",
-    Q.with_attempts(
-        """, m AS (SELECT method, count(*) FILTER (WHERE status = 'success') / count(*) AS success_rate FROM attempts GROUP BY method)
-SELECT count(*) AS total_services, count(*) FILTER (WHERE success_rate >= 0.7) AS healthy_services,
-       CASE WHEN bool_and(success_rate >= 0.7) THEN 'healthy' ELSE 'degraded' END AS overall,
-       count(*) FILTER (WHERE NOT success_rate >= 0.7) AS alerts
-FROM m"""
-    ).replace("WITH ", "WITH ", 1),
+    q_reliability.BREAKER_CTE
+    + """,
+m AS (SELECT method, count(*) FILTER (WHERE status = 'success') / count(*) AS success_rate FROM attempts GROUP BY method),
+z AS (SELECT method, kind FROM br WHERE rn > 0 QUALIFY row_number() OVER (PARTITION BY method ORDER BY rn DESC) = 1),
+h AS (SELECT m.method, z.kind = 'c' AND m.success_rate >= 0.7 AS healthy FROM m JOIN z ON z.method = m.method)
+SELECT count(*) AS total_services, count(*) FILTER (WHERE healthy) AS healthy_services,
+       CASE WHEN bool_and(healthy) THEN 'healthy' ELSE 'degraded' END AS overall, count(*) FILTER (WHERE NOT healthy) AS alerts
+FROM h""",
 )
 def a14_services(spark, sf_dir):
     """A14 + F12: per-method service health (closed breaker and rate >= 0.7), overall and alerts."""

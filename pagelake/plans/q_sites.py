@@ -3,14 +3,18 @@ A25, A29, A30, L6, X3b)."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagelake.functions import text as T
+from pagelake.operators import fulltext as FT
 from pagelake.operators import reliability as R
 from pagelake.operators import reports as RP
 from pagelake.plans import sqlfrag as Q
 from pagelake.plans.registry import query
+from pagelake.session import checkpoint_dir
 from pagelake.sinks import writers as K
 from pagelake.sources import tables
 from pagelake.sources.tables import METHODS
@@ -319,3 +323,39 @@ def x3b_rank(spark, sf_dir):
     score = sum(F.col(f"tf_{w}") * F.log(F.col("n_docs") / F.col(f"df_{w}")) for w in SEARCH_WORDS)
     hits = j.where(F.expr(" AND ".join(f"tf_{w} > 0" for w in SEARCH_WORDS)))
     return hits.select("doc_id", F.round(score, 6).alias("score")).orderBy(F.col("score").desc(), "doc_id").limit(SEARCH_TOP)
+
+
+ALL_WORDS = "The from with THIS er"
+ANY_WORDS = "laou tretre oiment chaux the"
+
+
+def _search_sql(text: str, all_of: bool) -> str:
+    words = sorted({w for w in text.lower().split()})
+    listed = ", ".join(Q.lit(w) for w in words)
+    need = f"HAVING count(*) = {len(words)}" if all_of else ""
+    return f"""WITH t AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), {Q.lit(r'\W+')})) AS term FROM documents),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM t WHERE term IN ({listed}) GROUP BY doc_id, term),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), n AS (SELECT count(*) AS n_docs FROM documents)
+SELECT doc_id, count(*) AS matched, round(sum(tf * ln(n_docs / df)), 6) AS score
+FROM tf JOIN df USING (term) CROSS JOIN n GROUP BY doc_id {need} ORDER BY score DESC, doc_id LIMIT {SEARCH_TOP}"""
+
+
+def _index(spark, sf_dir) -> str:
+    """An index of all documents, written in two appends."""
+    docs = tables.read(spark, sf_dir, "documents")
+    path = f"{checkpoint_dir(spark)}/fulltext-{uuid.uuid4().hex}"
+    for batch in (0, 1):
+        FT.append(docs.where(F.pmod(F.col("doc_id"), F.lit(2)) == batch), path, batch)
+    return path
+
+
+@query("x3b_index_all", _search_sql(ALL_WORDS, True))
+def x3b_index_all(spark, sf_dir):
+    """Documents that hold all words of a query, from the stored inverted index."""
+    return FT.search(spark, _index(spark, sf_dir), ALL_WORDS, "all", SEARCH_TOP)
+
+
+@query("x3b_index_any", _search_sql(ANY_WORDS, False))
+def x3b_index_any(spark, sf_dir):
+    """Documents that hold any word of a query, from the stored inverted index."""
+    return FT.search(spark, _index(spark, sf_dir), ANY_WORDS, "any", SEARCH_TOP)

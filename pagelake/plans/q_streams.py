@@ -15,10 +15,22 @@ from pagelake.functions import urls as U
 from pagelake.plans import q_io, q_reliability, q_reports
 from pagelake.plans import sqlfrag as Q
 from pagelake.plans.registry import QUERIES, query
+from pagelake.sinks import writers as K
 from pagelake.sources import tables
+from pagelake.streaming import inorder as IO
 from pagelake.streaming import streams as ST
 
 
+def _replayed(spark, sf_dir, name, source, key, fold):
+    """Rows that a stream over the events table tells, folded in event order to the table's end."""
+    told, _ = IO.replay(spark, source, tables.events(spark, sf_dir), key, fold, ST.scratch(spark, name))
+    return told
+
+
+def _attempts_replayed(spark, sf_dir, name, key, fold):
+    return _replayed(spark, sf_dir, name, lambda: ST.attempt_stream(spark, sf_dir), key, fold)
+
+
 def _read(spark, path, fmt="parquet"):
     return spark.read.format(fmt).load(path)
 
@@ -55,10 +67,8 @@ def t1_pipeline(spark, sf_dir):
 )
 def t2_changes(spark, sf_dir):
     """Change alerts per user from a stream, last observation in state (W8's answer)."""
-    d = ST.scratch(spark, "t2")
-    ev = ST.table_stream(spark, sf_dir, "events").where(F.col("event_type") != "error")
-    ST.to_files(ST.change_alerts(ev, "user_id"), f"{d}/out", f"{d}/ckpt")
-    return _read(spark, f"{d}/out")
+    source = lambda: ST.table_stream(spark, sf_dir, "events").where(F.col("event_type") != "error")
+    return IO.change_rows(_replayed(spark, sf_dir, "t2", source, "user_id", IO.ChangeFold()))
 
 
 @query(
@@ -77,21 +87,72 @@ def t3_metrics(spark, sf_dir):
     return ST.read_upsert_log(spark, f"{d}/out", ["window_start", "method"])
 
 
+@query(
+    "t3_sliding_rate",
+    Q.with_attempts(
+        """SELECT make_timestamp((slot - j) * 900000000) AS window_start, make_timestamp((slot - j + 4) * 900000000) AS window_end, method,
+       count(*) AS attempts, count(*) FILTER (WHERE status = 'success') AS successes, round(count(*) / 3600.0, 9) AS requests_per_second
+FROM (SELECT method, status, epoch_us(ts) // 900000000 AS slot FROM attempts) a CROSS JOIN (SELECT unnest([0, 1, 2, 3]) AS j) k
+GROUP BY slot - j, method"""
+    ),
+)
+def t3_sliding(spark, sf_dir):
+    """Request rate per method over one-hour windows that slide by 15 minutes, update mode into the upsert log."""
+    d = ST.scratch(spark, "t3-sliding")
+    ST.to_upsert_log(ST.sliding_rate(ST.attempt_stream(spark, sf_dir)), f"{d}/out", f"{d}/ckpt")
+    return ST.read_upsert_log(spark, f"{d}/out", ["window_start", "window_end", "method"])
+
+
 @query("t4_proxy_health", q_reliability.WALK_SQL)
 def t4_health(spark, sf_dir):
-    """T4: proxy health walk as a stateful stream keyed by proxy (W2's answer)."""
-    d = ST.scratch(spark, "t4")
-    ST.to_files(ST.proxy_health(ST.attempt_stream(spark, sf_dir)), f"{d}/out", f"{d}/ckpt")
-    out = _read(spark, f"{d}/out")
-    return out.select("proxy_id", "attempt_id", "health_score", F.round("success_rate", 12).alias("success_rate"))
+    """T4: proxy health walk as a stateful stream keyed by proxy, in event order (W2's answer)."""
+    told = _attempts_replayed(spark, sf_dir, "t4", "proxy_id", IO.HealthFold()).where("kind = 'attempt'")
+    return told.select("proxy_id", "attempt_id", "health_score", F.round("success_rate", 12).alias("success_rate"))
+
+
+SWEEP_SQL = (
+    q_reliability.WALK_CTE
+    + """,
+s AS (SELECT w.proxy_id, w.rn, w.h, (epoch_us(o.ts) + 299999999) // 300000000 AS slot
+  FROM walk w JOIN o ON o.proxy_id = w.proxy_id AND o.rn = w.rn),
+l AS (SELECT proxy_id, slot, row_number() OVER (PARTITION BY proxy_id, slot ORDER BY rn DESC) AS back,
+  CASE WHEN h < 0.3 THEN 'blocked' WHEN h < 0.5 THEN 'rate_limited' ELSE 'active' END AS status_before,
+  CASE WHEN h < 0.2 THEN 'blocked' WHEN h < 0.4 THEN 'rate_limited' ELSE 'active' END AS status FROM s)
+SELECT proxy_id, make_timestamp(slot * 300000000) AS swept_at, status_before, status FROM l WHERE back = 1 AND status_before <> status"""
+)
+
+
+@query("t4_status_sweep", SWEEP_SQL)
+def t4_sweep(spark, sf_dir):
+    """T4: the check every 300 s, by timer, and the proxies whose status it changes."""
+    told = _attempts_replayed(spark, sf_dir, "t4-sweep", "proxy_id", IO.HealthFold()).where("kind = 'sweep'")
+    return told.select("proxy_id", F.timestamp_micros("at_us").cast("timestamp_ntz").alias("swept_at"), "status_before", "status")
 
 
 @query("t5_breaker_stream", q_reliability.BREAKER_SQL)
 def t5_breaker(spark, sf_dir):
-    """T5: circuit-breaker state as a stateful stream keyed by method (W4's answer)."""
-    d = ST.scratch(spark, "t5")
-    ST.to_files(ST.breaker_states(ST.attempt_stream(spark, sf_dir)), f"{d}/out", f"{d}/ckpt")
-    return _read(spark, f"{d}/out").select("method", "attempt_id", "allowed", "state", "failure_count_at_least")
+    """T5: circuit-breaker state as a stateful stream keyed by method, in event order (W4's answer)."""
+    told = _attempts_replayed(spark, sf_dir, "t5", "method", IO.BreakerFold()).where("kind = 'attempt'")
+    return told.select("method", "attempt_id", "allowed", "state", "failure_count_at_least")
+
+
+CHANGES_SQL = (
+    q_reliability.BREAKER_CTE
+    + """,
+p AS (SELECT br.method, br.rn, br.kind, br.allowed, lag(br.kind) OVER (PARTITION BY br.method ORDER BY br.rn) AS before FROM br),
+q AS (SELECT p.method, p.kind, p.before, epoch_us(o.ts) AS us FROM p JOIN o ON o.method = p.method AND o.rn = p.rn WHERE p.allowed)
+SELECT method, make_timestamp(us) AS changed_at, CASE WHEN before = 'c' THEN 'closed' ELSE 'half_open' END AS state_before,
+       CASE WHEN kind = 'c' THEN 'closed' ELSE 'open' END AS state FROM q WHERE kind = 'o' OR before = 'o'
+UNION ALL
+SELECT method, make_timestamp(us + 60000000), 'open', 'half_open' FROM q WHERE kind = 'o'"""
+)
+
+
+@query("t5_breaker_changes", CHANGES_SQL)
+def t5_changes(spark, sf_dir):
+    """T5: every change of a breaker's state; half-open comes by timer, 60 s after the last failure."""
+    told = _attempts_replayed(spark, sf_dir, "t5-changes", "method", IO.BreakerFold()).where("kind = 'change'")
+    return told.select("method", F.timestamp_micros("at_us").cast("timestamp_ntz").alias("changed_at"), "state_before", "state")
 
 
 @query(
@@ -155,6 +216,5 @@ __all__ = ["q_io", "q_reports"]
 )
 def t6_cache(spark, sf_dir):
     """TTL cache (3600 s) as keyed stream state with event-time eviction; per request hit or miss (A29's replay)."""
-    d = ST.scratch(spark, "t6")
-    ST.to_files(ST.cache_ttl(ST.attempt_stream(spark, sf_dir)), f"{d}/out", f"{d}/ckpt")
-    return _read(spark, f"{d}/out")
+    told = _attempts_replayed(spark, sf_dir, "t6", "url", IO.CacheFold(K.CACHE_TTL_S))
+    return told.select("attempt_id", "url", "hit")

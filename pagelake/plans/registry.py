@@ -75,6 +75,8 @@ MODULES = [
     "q_sites",
     "q_attempts",
     "q_requests",
+    "q_records",
+    "q_stored",
 ]
 
 

@@ -104,13 +104,21 @@ def json_fields(df: DataFrame, json_col: str, id_col: str = "id") -> DataFrame:
     return df.select(id_col, F.explode(kv).alias("key", "value"))
 
 
+# Times keep their microseconds; reading them back takes the same formats.
+CSV_OPTIONS = {
+    "header": "true",
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+}
+
+
 def export_csv(df: DataFrame, path: str) -> None:
     """CSV with a header; array/map columns as JSON text."""
     cols = [
         F.to_json(F.col(f.name)).alias(f.name) if f.dataType.typeName() in ("array", "map", "struct") else F.col(f.name)
         for f in df.schema.fields
     ]
-    df.select(*cols).write.mode("overwrite").option("header", True).csv(path)
+    df.select(*cols).write.mode("overwrite").options(**CSV_OPTIONS).csv(path)
 
 
 def export_json(results: DataFrame, path: str) -> None:
@@ -127,12 +135,33 @@ def successes_csv_frame(results: DataFrame) -> DataFrame:
     )
 
 
+def xml_data(data_json: Column) -> Column:
+    """K9: a JSON object as a map that Spark's XML writer turns into one element a key.
+
+    A list becomes ``<item>`` elements, any other value the element's text;
+    nulls are left out.  Keys are made into element names: what a name cannot
+    hold becomes ``_``.
+    """
+    fields = F.map_filter(F.from_json(data_json, "map<string, string>"), lambda k, v: v.isNotNull())
+    name = lambda k, v: F.regexp_replace(F.regexp_replace(k, r"[^\p{L}\p{N}_.\-]", "_"), r"^([^\p{L}_]|$)", "_$1")
+
+    def element(k, v):
+        listed = v.startswith("[")
+        return F.struct(
+            F.when(~listed, v).alias("_VALUE"), F.when(listed, F.from_json(v, "array<string>")).alias("item")
+        )
+
+    return F.transform_keys(F.transform_values(fields, element), name)
+
+
 def export_xml(results: DataFrame, path: str) -> None:
-    """K9: ``<scrape_results><result>…</result></scrape_results>``, successes only."""
+    """K9: ``<scrape_results><result>`` with url, timestamp and ``data/<key>``, successes only."""
     ok = results.where(F.col("status") == "success").select(
-        "url", F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"), "title", "links"
+        "url", F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"), xml_data(F.col("data_json")).alias("data")
     )
-    ok.write.mode("overwrite").format("xml").option("rootTag", XML_ROOT_TAG).option("rowTag", XML_ROW_TAG).save(path)
+    # No name begins with @, so no key is taken for an attribute.
+    w = ok.write.mode("overwrite").format("xml").option("rootTag", XML_ROOT_TAG).option("rowTag", XML_ROW_TAG)
+    w.option("attributePrefix", "@").save(path)
 
 
 def markdown_lines(results: DataFrame) -> DataFrame:
@@ -233,10 +262,12 @@ def messages(results: DataFrame) -> DataFrame:
 
 
 def workbook(results: DataFrame) -> dict[str, DataFrame]:
-    """K8: Main, Links (internal/external), Images and Summary tables."""
+    """K8: Main (successes), Links (internal/external), Images and Summary tables."""
     from pagelake.operators import stats as A
 
-    main = results.select("id", "url", "domain", "status", "title", "timestamp", "links_count", "images_count")
+    main = results.where(F.col("status") == "success").select(
+        "id", "url", F.coalesce("title", F.lit("")).alias("title"), "timestamp", "response_time", F.coalesce("method_used", F.lit("")).alias("method")
+    )
     links = results.select("id", "url", F.explode("links").alias("link")).withColumn(
         "type", F.when(F.col("link").contains(U.netloc(F.col("url"))), "internal").otherwise("external")
     )
@@ -244,8 +275,13 @@ def workbook(results: DataFrame) -> dict[str, DataFrame]:
     return {"main": main, "links": links, "images": images, "summary": A.export_summary(results)}
 
 
+WORKBOOK_COLUMNS = ["id", "url", "title", "timestamp", "response_time", "method_used", "status", "links", "images"]
+
+
 def write_workbook(results: DataFrame, path: str) -> None:
-    for name, df in workbook(results).items():
+    """K8: the four tables as CSV datasets, from one pass over the results."""
+    once = saved(results.select(*WORKBOOK_COLUMNS), "workbook")
+    for name, df in workbook(once).items():
         export_csv(df, f"{path}/{name}")
 
 

@@ -1,6 +1,7 @@
 """Graph jobs against plain Python on a hand-made multi-level graph."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -98,3 +99,44 @@ def test_salting_splits_hot_domain(spark):
     assert out.count() == 330
     per = {r.salt: r.n for r in out.where(F.col("domain") == "hot.example.com").groupBy("salt").agg(F.count("*").alias("n")).collect()}
     assert len(per) == 6 and max(per.values()) == 50
+
+
+def test_a_round_does_not_move_the_edges(spark):
+    """The ranks are shuffled to the placed edges, the contributions to their targets, nothing else."""
+    edges = spark.createDataFrame(_graph(), "src string, dst string")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        with G.placed_edges(edges, target_rows=4) as placed:
+            state = placed.groupBy(F.col("src").alias("url")).agg(F.max("out_deg").alias("out_deg"), F.max("salts").alias("salts"))
+            state = state.withColumn("rank", F.lit(1.0)).checkpoint()
+            plan = G.contributions(state, placed)._jdf.queryExecution().executedPlan().toString()
+            assert state.agg(F.max("salts")).first()[0] > 1
+            assert placed.count() == edges.count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    lines = plan.split("\n")
+    assert sum("Exchange hashpartitioning" in line for line in lines) == 2
+    # From the edges' scan up to the join: no exchange on the way.
+    at = next(i for i, line in enumerate(lines) if "Bucketed: true" in line)
+    depth = lambda line: re.search(r"[A-Za-z*(]", line).start()
+    while "SortMergeJoin" not in lines[at]:
+        assert "Exchange" not in lines[at]
+        at = next(i for i in range(at - 1, -1, -1) if depth(lines[i]) < depth(lines[at]))
+
+
+def test_hot_source_and_small_buckets_give_the_same_ranks(spark):
+    edges = sorted(set(_graph()) | {("hub", f"n{i}") for i in range(50)})
+    df = spark.createDataFrame(edges, "src string, dst string")
+    got = {r.url: r.rank for r in G.pagerank(df, 0.85, 6, target_rows=3).collect()}
+    want = _pagerank(edges, 0.85, 6)
+    assert got.keys() == want.keys()
+    assert all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("pagelake_edges")]
+
+
+def test_salting_keeps_rows_without_a_domain(spark):
+    df = spark.createDataFrame([(i, None if i % 2 else "d") for i in range(40)], "page_id long, domain string")
+    out = G.salted_by_domain(df, 5)
+    assert out.count() == 40 and out.columns == ["page_id", "domain", "domain_rows", "buckets", "salt"]
+    assert {(r.domain, r.domain_rows, r.buckets) for r in out.collect()} == {(None, 20, 4), ("d", 20, 4)}

@@ -90,6 +90,47 @@ def test_xml_export(spark, tmp_path):
     assert back.count() == r.where(F.col("status") == "success").count()
 
 
+def test_xml_has_an_element_for_every_data_key(spark, tmp_path):
+    data = ['{"title": "a < b & c", "tags": ["x", "y"], "my key": "v", "9th": 1, "gone": null, "deep": {"k": [1]}}', "{}", "not json", None]
+    rows = [(f"u{i}", "success", dt.datetime(2024, 1, 1, 2, 3, 4, 5), d) for i, d in enumerate(data)] + [("f", "failed", None, "{}")]
+    df = spark.createDataFrame(rows, "url string, status string, timestamp timestamp_ntz, data_json string")
+    path = str(tmp_path / "xml")
+    K.export_xml(df, path)
+    text = "".join(p.read_text() for p in (tmp_path / "xml").glob("part-*"))
+    assert "<title>a &lt; b &amp; c</title>" in text and "<my_key>v</my_key>" in text and "<_9th>1</_9th>" in text
+    assert "<item>x</item>" in text and "gone" not in text and '<deep>{"k":[1]}</deep>' in text.replace("&quot;", '"')
+    schema = "url string, timestamp string, data struct<title: string, tags: struct<item: array<string>>>"
+    back = {r.url: r for r in spark.read.format("xml").option("rowTag", K.XML_ROW_TAG).schema(schema).load(path).collect()}
+    assert set(back) == {"u0", "u1", "u2", "u3"}
+    assert back["u0"].data.title == "a < b & c" and back["u0"].data.tags.item == ["x", "y"]
+    assert back["u0"].timestamp == "2024-01-01T02:03:04.000005"
+
+
+def test_workbook_is_written_from_one_pass(spark, tmp_path):
+    r = _results(spark)
+    path = str(tmp_path / "book")
+    K.write_workbook(r, path)
+    read = lambda name: spark.read.option("header", True).csv(f"{path}/{name}")
+    assert read("main").count() == r.where(F.col("status") == "success").count()
+    assert read("links").count() == r.agg(F.sum(F.size("links"))).first()[0]
+    assert int(read("summary").first().total_results) == r.count()
+
+
+def test_stored_reads_prune_days_and_push_filters(spark, tmp_path):
+    from pagelake.operators import store as ST
+
+    path = str(tmp_path / "store")
+    K.append_results(_results(spark), path)
+    one = tables.stored_results(spark, path, "2024-01-10", "2024-01-12").where(F.col("status") == "success").select("id", "title")
+    shown = spark.conf.get("spark.sql.maxMetadataStringLength")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")  # else the list of filters is cut short
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.maxMetadataStringLength", shown)
+    assert "PartitionFilters: [isnotnull(date" in plan and "EqualTo(status,success)" in plan and "html" not in plan
+    field = ST.json_field_equals(tables.stored_results(spark, path), "title", "x").select("id")
+    assert "html" not in field._jdf.queryExecution().executedPlan().toString()
+
+
 def test_server_list_defaults(spark, tmp_path):
     p = tmp_path / "servers.json"
     p.write_text(json.dumps([{"name": "a", "hostname": "a.example", "country": "US"}, {"name": "b", "port": 9, "load": 0.3}]))

@@ -2,7 +2,9 @@
 
 import datetime as dt
 import random
+from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
 from pagelake.operators import ordered as O
@@ -187,6 +189,40 @@ def test_null_key_is_a_key(spark):
     assert got == {1: (1, 1, 0), 2: (1, 0, 1), 3: (2, 1, 1)}
 
 
+@pytest.mark.parametrize(
+    "kind, keys",
+    [
+        ("bigint", [None, 2**53, 2**53 + 1, -4]),
+        ("double", [None, 1.5, float("nan"), -0.0]),
+        ("date", [None, dt.date(2024, 2, 29), dt.date(1969, 12, 31), dt.date(1, 1, 1)]),
+        ("decimal(20,3)", [None, Decimal("1.500"), Decimal("-12345678901234567.891"), Decimal(0)]),
+        ("binary", [None, b"\xff\x00", b"", b"a"]),
+        ("string", [None, "", "None", "nan"]),
+    ],
+)
+def test_keys_of_any_type_with_nulls(spark, kind, keys):
+    rnd = random.Random(4)
+    rows, t = [], T0
+    for i in range(300):
+        t += dt.timedelta(seconds=rnd.choice([1, 5, 70]))
+        ok = rnd.random() < 0.4
+        rows.append((rnd.randrange(4), t, i, ok, "success" if ok else "failed"))
+    given = [(keys[k], *rest) for k, *rest in rows]
+    df = spark.createDataFrame(given, f"key {kind}, ts timestamp_ntz, attempt_id long, ok boolean, status string")
+    walk = O.health_walk(df, key="key")
+    assert dict(walk.dtypes)["key"] == kind
+    got = walk.collect()
+    assert len(got) == len(rows)
+    assert {r.attempt_id: (r.health_score, r.success_rate) for r in got} == py_health(rows)
+    shown = lambda k: bytes(k) if kind == "binary" and k is not None else str(k + 0.0 if kind == "double" and k is not None else k)
+    assert {r.attempt_id: shown(r.key) for r in got} == {i: shown(Decimal("0.000") if kind.startswith("decimal") and k == 0 else k) for k, _, i, _, _ in given}
+    replay = O.breaker_replay(df, key="key")
+    assert dict(replay.dtypes)["key"] == kind
+    got = replay.collect()
+    assert len(got) == len(rows)
+    assert {r.attempt_id: (r.allowed, r.state) for r in got} == {k: v[:2] for k, v in py_breaker(rows).items()}
+
+
 def test_breaker_dense_segment_is_linear(spark):
     """100,000 attempts within 20 s of event time."""
     base = spark.range(100_000).select(
