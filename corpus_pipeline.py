@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelake.llm import langid, naming, ordermin, packing, substrings
-from pagelake.llm.common import table
+from pagelake.llm.common import nested, quoted, table, unused
 from pagelake.operators.numbering import saved
 from pagelake.session import configure
 
@@ -24,9 +24,9 @@ MIN_LANGUAGE_SCORE = 0.2
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is identified (operator 10), learned from the labelled rows."""
     configure(spark)
-    found = langid.identify(docs.select("*", F.col("text").alias("_body")), langid.train(docs), "_body")
+    found = langid.identify(nested(docs, text=F.col("text")), langid.train(docs))
     known = (F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE)
-    return found.where(known).select(*docs.columns)
+    return found.where(known).select("doc.*")
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,12 +46,11 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     loses none keeps its text as it is.  No document is dropped.
     """
     _ready(spark, docs)
-    cut = substrings.dedup(docs).where("n_removed > 0").select(F.col("rid").alias("_cut"), F.col("kept").cast("string").alias("_kept"))
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
-    joined = rows.join(cut, F.col("_row") == F.col("_cut"), "left")
-    text = F.coalesce("_kept", "text")
-    new = {"text": text, "n_chars": F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(F.length("_kept").cast("long"))}
-    return joined.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+    row, kept = unused(docs, "_row", "_kept")
+    cut = substrings.dedup(docs).where("n_removed > 0").select(F.col("rid").alias(row), F.col("kept").cast("string").alias(kept))
+    joined = docs.withColumn(row, F.monotonically_increasing_id()).join(cut, row, "left")
+    new = {"text": F.coalesce(kept, "text"), "n_chars": F.when(F.col(kept).isNull(), F.col("n_chars")).otherwise(F.length(kept).cast("long"))}
+    return joined.select(*[new.get(c, F.col(quoted(c))).alias(c) for c in docs.columns])
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
