@@ -77,6 +77,7 @@ MODULES = [
     "q_requests",
     "q_records",
     "q_stored",
+    "q_markup",
 ]
 
 
