@@ -18,6 +18,7 @@ where a rank stands in the line follows from the histogram.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from array import array
 from dataclasses import dataclass
@@ -116,7 +117,9 @@ class Words:
             size = len(core)
             if core.isalpha():
                 core = core.lower()
-            elif core.isascii() or not core.decode().isalpha():
+            elif core.isascii() or not unicodedata.normalize("NFC", core.decode()).lower().isalpha():
+                # No letters alone, or letters that the vocabulary's normalisation
+                # leaves with a combining mark, which goes with the marks behind.
                 core, size = w, len(w)
             marks = w[size:]
             cut.append((w, core, marks))

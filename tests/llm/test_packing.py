@@ -64,6 +64,10 @@ def test_words_give_the_ids_of_whole_texts(spark, monkeypatch):
     t.encode_special_tokens = True
     texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     texts += ["Ünï wörds, don't stop! \n\t " * 3000, "a\u00a0b\u2003c\u0301 d\u0301", "ΟΔΟΣ ΟΔΟΣ, 日本語 <|endoftext|> x\x1cy\x0bz", "İi e\u0301\n\u0301x 12ab3's", "AbC.,, ÀÉÎ!!\u0338 don't. 's's 'S x1** ***$ Straße) it's."]
+    texts += ["İ( İ, İSTANBULİ. ûİ$ uƮɁİ, … GELDİ! e\u0301. É\u0301, ŉ. ǰ) ΐ* ﬁ. ß, İ̇.", "İİ..İ( a\u0307. A\u0307. ①. Ⅷ, ½! x²."]
+    letters = "İıIiÉe\u0301\u0307ßŉǰﬁΣςσ.,(!$*a1 "
+    rng = random.Random(6)
+    texts += ["".join(rng.choice(letters) for _ in range(rng.randrange(40))) for _ in range(400)]
     monkeypatch.setattr(packing, "CACHE", 300)
     monkeypatch.setattr(packing, "PART", 70)
     for text, ids in zip(texts, packing.token_ids(texts, PATH)):
