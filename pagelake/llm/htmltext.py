@@ -45,10 +45,10 @@ LABELLED = [
     (3, 0.0, 2, 1.0, 1, 1.0, ARTICLE, 0, 1),
     (1, 0.0, 1, 0.0, 1, 0.0, ARTICLE, 0, 1),
     (5, 0.0, 1, 1.0, 5, 1.0, ARTICLE, 1, 1),
-    # a run of links that closes an article
-    (4, 1.0, 5, 1.0, 4, 1.0, ARTICLE, 0, 0),
-    (7, 1.0, 6, 1.0, 8, 1.0, ARTICLE, 0, 0),
-    (3, 1.0, 4, 1.0, 3, 1.0, ARTICLE, 0, 0),
+    # a list of links inside an article
+    (4, 1.0, 5, 1.0, 4, 1.0, ARTICLE, 0, 1),
+    (7, 1.0, 6, 1.0, 8, 1.0, ARTICLE, 0, 1),
+    (3, 1.0, 4, 1.0, 3, 1.0, ARTICLE, 0, 1),
     # menus, headers, footers, sidebars, notices, adverts, forms, reader comments
     (1, 1.0, 1, 1.0, 1, 1.0, BOILER, 0, 0),
     (2, 1.0, 0, 0.0, 3, 1.0, BOILER, 0, 0),
@@ -106,7 +106,8 @@ LABELLED = [
 ]
 
 # Elements whose content is no text of the page.
-SILENT = "script|style|template|head|title|textarea|select|svg|iframe|object|canvas|audio|video"
+# (A head may be left open, so it is read like any other; what is in it is silent by itself.)
+SILENT = "script|style|template|title|textarea|select|svg|iframe|object|canvas|audio|video"
 # Elements that end a block without being containers of blocks.
 LEAVES = frozenset("p li h1 h2 h3 h4 h5 h6 dt dd td th tr pre hr figcaption caption summary legend address option optgroup".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -120,7 +121,7 @@ BOILER_WORDS = frozenset(
     """ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr
     notice notices alert popup modal overlay newsletter subscribe subscription signup login nav navbar navigation menu
     breadcrumb breadcrumbs sidebar aside widget widgets related recommended recommendations share sharing social comment
-    comments commentlist reply replies respond disqus discussion footer masthead topbar toolbar copyright legal disclaimer
+    comments commentlist reply replies respond responses feedback disqus discussion footer masthead topbar toolbar copyright legal disclaimer
     search pagination pager contentinfo complementary dialog skip hidden teaser teasers""".split()
 )
 ARTICLE_WORDS = frozenset("article post entry story content main".split())
@@ -130,7 +131,7 @@ STATES = frozenset("has no not with without is show hide js can supports open cl
 _TAG = re.compile(
     rf"""<!--.*?(?:-->|\Z)
     | <(?P<silent>{SILENT})\b(?:[^>"']|"[^"]*"|'[^']*')*(?:/>|>.*?(?:</(?P=silent)\s*>|\Z))
-    | <(?P<close>/?)(?P<name>[a-z][a-z0-9:-]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*)>
+    | <(?P<close>/?)(?P<name>[a-z][a-z0-9:-]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*'|["'](?=[^"'>]*>))*)>
     | <[!?][^>]*(?:>|\Z)
     | </?[a-z][^<>]*\Z""",
     re.I | re.S | re.X,

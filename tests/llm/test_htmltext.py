@@ -103,3 +103,28 @@ def test_comments_stay_out_beside_an_article():
 def test_formulas_and_labels_in_an_article_are_text():
     page = "<article><p>Energy is <math><mi>E</mi><mo>=</mo><mi>m</mi></math> so.</p><noscript><p>Plain words.</p></noscript><p>Press <button>Go</button> now.</p></article>"
     assert h.main_text(page, TREE) == "Energy is E=m so.\nPlain words.\nPress Go now."
+
+
+def test_head_that_is_not_closed():
+    page = "<html><head><meta charset=utf-8><title>x <b></title><style>p{}</style><body><article><h1>Head</h1><p>Some text of the article.</p></article>"
+    assert h.main_text(page, TREE) == "Head\nSome text of the article."
+    assert h.main_text(PAGE.replace("</head>", ""), TREE) == TEXT
+
+
+def test_linked_items_of_an_article_stay():
+    items = "".join(f'<li><a href="/{i}">item number {i}</a></li>' for i in range(5))
+    page = f"<body><ul><li><a>menu</a></li><li><a>more</a></li></ul><article><p>These are the items that the text is about.</p><ul>{items}</ul></article>"
+    assert h.main_text(page, TREE).split("\n")[1:] == [f"item number {i}" for i in range(5)]
+
+
+def test_reader_responses_go():
+    page = PAGE.replace('<section id="comments">', '<section class="reader-responses">')
+    assert h.main_text(page, TREE) == TEXT
+
+
+def test_a_quote_that_is_not_closed():
+    for tag in ('<p class="lead>', "<p class='lead>", '<p title="a" class="lead>'):
+        page = f"<article>{tag}Words of a paragraph.</p><p>And more of them.</p></article>"
+        assert h.main_text(page, TREE) == "Words of a paragraph.\nAnd more of them.", tag
+    # Up to the next quote, as a browser reads it; never the tag itself.
+    assert "<" not in h.main_text('<article><p class="lead>one</p><p>two <a href="x">three</a> four</p></article>', TREE)
