@@ -342,7 +342,10 @@ def _block_pairs(least: float):
                 node, label, n = ([np.array([m[c] for m in side]) for side in sides] for c in ("node", "label", "n"))
                 common = shared_counts(*sets)
                 total = n[0][:, None] + n[1][None, :]
-                # Halved hashes may coincide in a set; that only raises the count.
+                # K-mers of one set whose halved hashes coincide count once; a pair has lost no
+                # more of its common ones than the set with fewer of them has.
+                lost = [np.array([len(s) - len(np.unique(s)) for s in side]) for side in sets]
+                common = common + np.minimum(lost[0][:, None], lost[1][None, :])
                 enough = common >= least / (1 + least) * total - 1
                 x, y = np.nonzero(enough & (label[0][:, None] != label[1][None, :]))
                 a, b = node[0][x], node[1][y]
@@ -457,8 +460,7 @@ def near_duplicates(
         pairs = pairs.select(F.least("h", "m").alias("a"), F.greatest("h", "m").alias("b")).distinct()
         if not test(pairs):
             break
-    if labels is not None:
-        test(across_components(labelled_members(), texts, shingle, least))
+    test(across_components(labelled_members(), texts, shingle, least))
 
     known = sketch.select("rid", "doc_id", "words", "n")
     named = known.where("n > 0").join(nodes.select("words", "node"), "words").select("rid", "doc_id", "node")
