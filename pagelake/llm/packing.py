@@ -37,6 +37,7 @@ from pagelake.operators.numbering import global_rank, saved
 SEQUENCE = 4096
 GRID = 8  # tokens of a length class
 MAX_GAP = 48  # tokens a pattern may leave free in the mean
+RESIDUAL_MISSES = 40  # patterns in a row that fill too little before the rest is laid end to end
 MAX_ROUNDS = 1500  # pricing rounds; stopping early costs padding, never a document
 MARK = 16  # ids between the places where a piece may be cut again
 TOLERANCE = 0.005
@@ -365,11 +366,97 @@ class Plan:
         return self.line_sequence + max(0, self.line_total - 1) // self.size
 
 
+def fullest(size: np.ndarray, left: np.ndarray, room: int) -> np.ndarray:
+    """How many of each class, at most ``left``, fill ``room`` best (bounded knapsack, worth is size).
+
+    Classes are met in a fixed shuffled order: large and small ones go alike, so
+    neither kind is left over.
+    """
+    reached = np.zeros(room + 1, bool)
+    reached[0] = True
+    by = np.full(room + 1, -1)
+    bundles: list[tuple[int, int]] = []
+    for k in np.random.default_rng(len(size)).permutation(len(size)).tolist():
+        rest, n = min(int(left[k]), room // int(size[k])), 1
+        while rest > 0 and not reached[room]:
+            n = min(n, rest)
+            sums = np.flatnonzero(reached[: room + 1 - n * size[k]]) + n * size[k]
+            sums = sums[~reached[sums]]
+            by[sums] = len(bundles)
+            reached[sums] = True
+            bundles.append((k, n))
+            rest -= n
+            n *= 2
+    at = int(np.flatnonzero(reached)[-1])
+    count = np.zeros(len(size), np.int64)
+    while at:
+        k, n = bundles[by[at]]
+        count[k] += n
+        at -= n * int(size[k])
+    return count
+
+
+class _Shelf:
+    """Pieces that have no place yet, by length class: ranks ``at`` to ``stop`` of each."""
+
+    def __init__(self, lengths: list[int], histogram: dict[int, int], rank: int, grid: int, rest: list[int]):
+        count = np.array([histogram[n] for n in lengths], np.int64)
+        self.lengths = np.array(lengths, np.int64)
+        self.first = np.concatenate([[0], np.cumsum(count)[:-1]]).astype(np.int64) if lengths else np.zeros(0, np.int64)
+        self.before = np.concatenate([[0], np.cumsum(count * self.lengths)]).astype(np.int64)
+        self.end = int(count.sum())
+        demand: dict[int, int] = {}
+        for n in rest:
+            demand[-(-n // grid)] = demand.get(-(-n // grid), 0) + histogram[n]
+        self.size = np.array(sorted(demand, reverse=True), int)
+        self.demand = np.array([demand[c] for c in self.size], float)
+        bounds = rank + np.concatenate([[0], np.cumsum(self.demand)]).astype(np.int64)
+        self.at, self.stop = bounds[:-1].copy(), bounds[1:]
+
+    def longest(self, rank):
+        """Length of the piece of that rank, which no later one exceeds."""
+        return self.lengths[np.searchsorted(self.first, np.minimum(rank, self.end - 1), side="right") - 1]
+
+    def tokens(self, rank: np.ndarray) -> np.ndarray:
+        """Ids of all pieces of lower rank."""
+        rank = np.asarray(rank)
+        k = np.searchsorted(self.first, np.minimum(rank, self.end - 1), side="right") - 1
+        return self.before[k] + (rank - self.first[k]) * self.lengths[k]
+
+    def filled(self, pattern: np.ndarray, times: int, sequence: int, max_gap: int) -> tuple[np.ndarray, int, bool]:
+        """The pattern, its free room given to other classes; how often it is used; whether it leaves little free.
+
+        The first sequence of a pattern gets the longest pieces of each class, so
+        what fits it fits all.
+        """
+        pattern = pattern.copy()
+        used = np.flatnonzero(pattern)
+        times = min([times, *((self.stop - self.at)[used] // pattern[used])])
+        if times < 1:
+            return pattern, 0, False
+        start = self.tokens(self.at)
+        room = sequence - int((self.tokens(self.at + pattern) - start).sum())
+        while room > 0:  # the longest that fits, again and again
+            spare = (self.stop - self.at) // times - pattern
+            longest = self.longest(self.at + pattern)
+            fits = np.flatnonzero((spare > 0) & (longest <= room))
+            if not fits.size:
+                break
+            k = int(fits[0])
+            pattern[k] += min(int(spare[k]), room // int(longest[k]))
+            room = sequence - int((self.tokens(self.at + pattern) - start).sum())
+        held = int((self.tokens(self.at + times * pattern) - start).sum())
+        return pattern, times, room >= 0 and sequence - held / times <= max_gap
+
+
 def plan(histogram: dict[int, int], sequence: int = SEQUENCE, grid: int = GRID, max_gap: int = MAX_GAP) -> Plan:
     """Places for all pieces, from the count of pieces of each length.
 
-    Patterns that leave more than ``max_gap`` tokens free in the mean are not
-    used; what they and rounding leave out is laid end to end.
+    The rounded patterns of the linear program come first.  What rounding has
+    left out is priced again by the knapsack, a pattern at a time, as long as
+    patterns fill sequences.  A pattern's free room goes to whatever still fits;
+    one that leaves more than ``max_gap`` tokens free in the mean even so is not
+    used.  Pieces that no pattern takes are laid end to end.
     """
     runs: list[tuple[int, int, int, int, int]] = []
     lengths = sorted(histogram, reverse=True)
@@ -382,31 +469,55 @@ def plan(histogram: dict[int, int], sequence: int = SEQUENCE, grid: int = GRID,
         rank += histogram[n]
         next_sequence += histogram[n]
     rest = [n for n in lengths if -(-n // grid) < room or n < sequence - max_gap]
-    classes = sorted({-(-n // grid) for n in rest}, reverse=True)
-    size = np.array(classes, int)
-    demand = np.array([sum(histogram[n] for n in range(max(1, (c - 1) * grid + 1), c * grid + 1) if n in histogram) for c in classes], float)
-    held = [sum(n * histogram[n] for n in range(max(1, (c - 1) * grid + 1), c * grid + 1) if n in histogram) for c in classes]
-    mean = np.array(held, float) / np.maximum(demand, 1)
-    at = rank + np.concatenate([[0], np.cumsum(demand)]).astype(int)  # next free rank of each class
-    stop = at[1:].copy()
-    for pattern, times in solve(size, demand, room) if classes else ():
-        whole = min([int(times + 1e-9), *((stop[k] - at[k]) // pattern[k] for k in np.flatnonzero(pattern))])
-        if not whole or sequence - pattern @ mean > max_gap:
-            continue
-        slot = 0
-        for k in np.flatnonzero(pattern):
-            runs.append((int(at[k]), int(pattern[k]), next_sequence, slot, 0))
-            at[k] += whole * pattern[k]
-            slot += int(pattern[k])
-        next_sequence += whole
+    shelf = _Shelf(lengths, histogram, rank, grid, rest)
+
+    def use(pattern: np.ndarray, times: int) -> bool:
+        """Place up to ``times`` sequences; fewer at once leave more to fill each with."""
+        nonlocal next_sequence
+        step, any_ = times, False
+        while step >= 1 and times >= 1:
+            made, n, dense = shelf.filled(pattern, min(step, times), sequence, max_gap)
+            if not dense:
+                step = min(step, max(n, 1)) // 4
+                continue
+            slot = 0
+            for k in np.flatnonzero(made):
+                runs.append((int(shelf.at[k]), int(made[k]), next_sequence, slot, 0))
+                shelf.at[k] += n * made[k]
+                slot += int(made[k])
+            next_sequence += n
+            times -= n
+            any_ = True
+        return any_
+
+    solved = solve(shelf.size, shelf.demand, room) if len(shelf.size) else []
+    # Patterns of few large pieces first: small ones are left to fill with.
+    for pattern, times in sorted(solved, key=lambda p: int(p[0].sum())):
+        use(pattern, int(times + 1e-9))
+    failed = 0
+    while failed < RESIDUAL_MISSES:
+        left = (shelf.stop - shelf.at).copy()
+        open_ = np.flatnonzero(left > 0)
+        if not open_.size or left[open_] @ shelf.size[open_] < room:
+            break  # not a sequence's worth
+        # Around the longest piece that is left; after a miss, around a shorter one.
+        start = open_[min(failed, open_.size - 1)]
+        left[start] -= 1
+        pattern = np.zeros(len(left), np.int64)
+        size = shelf.longest(shelf.at)  # to the token: what is left is too little to lose roundings
+        pattern[open_] = fullest(size[open_], left[open_], sequence - int(size[start]))
+        pattern[start] += 1
+        left[start] += 1
+        used = np.flatnonzero(pattern)
+        times = int((left[used] // pattern[used]).min())
+        failed = 0 if use(pattern, times) else failed + 1
     length = -(-np.array(lengths, np.int64) // MARK) * MARK
     count = np.array([histogram[n] for n in lengths], np.int64)
-    length_first = np.concatenate([[0], np.cumsum(count)[:-1]]).astype(np.int64)
     tokens = np.concatenate([[0], np.cumsum(count * length)[:-1]]).astype(np.int64)
-    made = Plan(*[np.zeros(0, np.int64)] * 5, length_first, length, tokens, next_sequence, 0, sequence)
+    made = Plan(*[np.zeros(0, np.int64)] * 5, shelf.first, length, tokens, next_sequence, 0, sequence)
     total = int(count @ length) if len(lengths) else 0
-    for k in range(len(classes)):
-        lo, hi = int(at[k]), int(stop[k])
+    for k in range(len(shelf.size)):
+        lo, hi = int(shelf.at[k]), int(shelf.stop[k])
         if lo < hi:
             runs.append((lo, 0, -1, 0, made.line_total))
             end = total if hi >= count.sum() else int(made.before(np.array([hi]))[0])

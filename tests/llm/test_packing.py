@@ -120,3 +120,28 @@ def test_knapsack_against_enumeration():
     best = max(2.0 * a + 3.1 * b + 0.9 * c for a in range(6) for b in range(4) for c in range(8) if 3 * a + 5 * b + 2 * c <= 14)
     got, count = packing.knapsack(value, size, 14)
     assert abs(got - best) < 1e-9 and count @ size <= 14 and abs(count @ value - got) < 1e-9
+
+
+def test_most_pieces_lie_in_patterns():
+    rng = np.random.default_rng(5)
+    for n, mean in ((1500, 6.2), (12000, 6.4), (12000, 4.5)):
+        lengths = np.sort(np.clip(np.exp(rng.normal(mean, 1.0, n)).astype(int) + 1, 1, 4095))[::-1]
+        made = packing.plan(Counter(lengths.tolist()))
+        seq, _ = made.place(np.arange(n))
+        short = lengths < 4096 - packing.MAX_GAP
+        assert (seq[short] >= 0).mean() >= 0.9, (n, mean, (seq[short] >= 0).mean())
+        fill = np.bincount(seq[seq >= 0], weights=lengths[seq >= 0])
+        assert fill.max() <= 4096 and (4096 - fill[fill > 0]).mean() <= packing.MAX_GAP
+
+
+def test_fullest_against_enumeration():
+    rng = random.Random(7)
+    for _ in range(200):
+        size = np.array(sorted(rng.sample(range(1, 25), rng.randrange(1, 6)), reverse=True))
+        left = np.array([rng.randrange(0, 4) for _ in size])
+        room = rng.randrange(0, 60)
+        count = packing.fullest(size, left, room)
+        sums = {0}
+        for s, c in zip(size.tolist(), left.tolist()):
+            sums = {a + k * s for a in sums for k in range(c + 1)}
+        assert (count <= left).all() and count @ size == max(s for s in sums if s <= room)
