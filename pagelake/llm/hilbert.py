@@ -7,7 +7,10 @@ shards whose row counts differ by at most one.  Rows near each other in all
 dimensions fall into the same few shards, so per-file minima and maxima prune
 on each of the dimensions at once.
 
-Scale: one range sort of narrow rows (no text) and a broadcast of one row per
+Strings are quantised by the rank of their value, so neighbours on the curve are
+neighbours in the value too.
+
+Scale: texts are read once; one range sort of narrow rows (no text) and a broadcast of one row per
 partition.  Ties on the curve (a hot source, copies) are broken by text
 checksum, id and row, so a hot grid cell is spread over partitions.
 """
@@ -19,7 +22,7 @@ from pyspark.sql import functions as F
 
 from pagelake.llm.common import keyed, table, unused
 from pagelake.llm.registry import query
-from pagelake.operators.numbering import global_rank
+from pagelake.operators.numbering import global_rank, saved
 
 SHARDS = 40
 BITS = 8
@@ -32,9 +35,18 @@ def quantised_log(column: Column, bits: int = BITS, steps: int = 8) -> Column:
     return F.least(cell, F.lit((1 << bits) - 1)).cast("int")
 
 
-def quantised_prefix(column: Column, bits: int = BITS) -> Column:
-    """Strings on a grid that keeps values together: a hash of the value, null at 0."""
-    return F.when(column.isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(column), F.lit(1 << bits))).cast("int")
+def with_cell(rows: DataFrame, column: str, cell: str, bits: int = BITS) -> DataFrame:
+    """``rows`` with ``cell``: the place of the value of ``column`` among its sorted values, on the grid.
+
+    Neighbours in the order of values are neighbours on the grid, so a file's
+    minimum and maximum tell what it holds; null comes first.  The values, one
+    row each, are numbered by a range sort of their own; Spark joins them by size.
+    """
+    values = global_rank(rows.select(F.col(column).alias("_value")).distinct(), [F.col("_value").asc_nulls_first()], "_place")
+    # One row: the number of values.
+    placed = values.crossJoin(F.broadcast(values.agg(F.count(F.lit(1)).alias("_values"))))
+    cells = saved(placed.select("_value", F.floor(F.col("_place") * (1 << bits) / F.col("_values")).cast("int").alias(cell)), "value-cells")
+    return rows.join(cells, rows[column].eqNullSafe(cells["_value"])).drop("_value")
 
 
 def hilbert_index(dims: list[Column], bits: int = BITS) -> Column:
@@ -135,9 +147,12 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, bits: int = BITS) ->
         (F.octet_length(body) + ROW_BYTES).cast("long").alias("size"),
         F.crc32(body).alias("text_crc32"),
     )
-    dims = [quantised_prefix(F.col("source"), bits), quantised_prefix(F.col("lang"), bits), quantised_log(F.col("size"), bits)]
+    rows = saved(rows, "shard-rows")  # numbers only; every later step reads them here
+    for c in ("source", "lang"):
+        rows = with_cell(rows, c, f"{c}_cell", bits)
+    dims = [F.col("source_cell"), F.col("lang_cell"), quantised_log(F.col("size"), bits)]
     ties = [F.col("size").asc(), F.col("text_crc32").asc(), F.col("doc_id").asc_nulls_first(), F.col("rid").asc()]
-    return shard(rows, dims, ties, shards, bits).drop("source", "lang")
+    return shard(rows, dims, ties, shards, bits).drop("source", "lang", "source_cell", "lang_cell")
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, bits: int = BITS) -> None:

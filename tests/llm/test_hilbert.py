@@ -56,3 +56,16 @@ def test_written_files_prune(spark, tmp_path):
     assert back.count() == len(rows())
     # The rows have a column named shard: the folders take another name.
     assert {r.shard_ for r in back.select("shard_").distinct().collect()} == {0, 1, 2, 3}
+
+
+def test_files_to_read_for_one_value(spark, tmp_path):
+    """By minimum and maximum of each file: a source, a language or a size needs few of the shards."""
+    data = [(i, "w " * (i * 7919 % 2000), ["de", "en", "es", "fr", None][i * 31 % 5], f"src{i * 17 % 20}", None, None, None) for i in range(4000)]
+    hilbert.write_shards(frame(spark, data).drop("shard"), str(tmp_path / "out"), 40)
+    files = spark.read.parquet(str(tmp_path / "out")).groupBy("shard").agg(
+        *[f(c).alias(f"{c}_{n}") for c in ("source", "lang") for n, f in (("lo", F.min), ("hi", F.max))]
+    ).collect()
+    assert len(files) == 40
+    read = lambda c, v: sum(r[f"{c}_lo"] is not None and r[f"{c}_lo"] <= v <= r[f"{c}_hi"] for r in files)
+    assert sum(read("source", f"src{i}") for i in range(20)) / 20 <= 14
+    assert sum(read("lang", v) for v in ("de", "en", "es", "fr")) / 4 <= 20
