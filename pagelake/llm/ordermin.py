@@ -291,18 +291,20 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) ->
 
 
 def _signatures(shingle: int):
-    """Labelled k-mers of packed texts, halved to 32 bits: an upper bound of what texts share."""
+    """Labelled k-mers of packed texts, halved to 32 bits, and how many of them coincide with another."""
 
     def run(batches):
         import zstandard
 
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            out = []
+            out, lost = [], []
             for packed in batch.column("packed"):
                 own = kmers(hashes(unpack(packed.as_py()).split()), shingle)
-                out.append((labelled(own, np.zeros(len(own), np.int64)) >> _U(32)).astype("<u4").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.array(out, pa.binary())], names=["node", "kmers"])
+                halved = (labelled(own, np.zeros(len(own), np.int64)) >> _U(32)).astype("<u4")
+                out.append(halved.tobytes())
+                lost.append(len(halved) - len(np.unique(halved)))
+            yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.array(out, pa.binary()), pa.array(lost, pa.int64())], names=["node", "kmers", "lost"])
 
     return tidy(run)
 
@@ -339,14 +341,12 @@ def _block_pairs(least: float):
             for i in range(batch.num_rows):
                 sides = [batch.column(c)[i].as_py() for c in ("left", "right")]
                 sets = [[np.frombuffer(m["kmers"], "<u4") for m in side] for side in sides]
-                node, label, n = ([np.array([m[c] for m in side]) for side in sides] for c in ("node", "label", "n"))
+                node, label, n, lost = ([np.array([m[c] for m in side]) for side in sides] for c in ("node", "label", "n", "lost"))
                 common = shared_counts(*sets)
                 total = n[0][:, None] + n[1][None, :]
                 # K-mers of one set whose halved hashes coincide count once; a pair has lost no
                 # more of its common ones than the set with fewer of them has.
-                lost = [np.array([len(s) - len(np.unique(s)) for s in side]) for side in sets]
-                common = common + np.minimum(lost[0][:, None], lost[1][None, :])
-                enough = common >= least / (1 + least) * total - 1
+                enough = common + np.minimum(lost[0][:, None], lost[1][None, :]) >= least / (1 + least) * total - 1
                 x, y = np.nonzero(enough & (label[0][:, None] != label[1][None, :]))
                 a, b = node[0][x], node[1][y]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
@@ -367,9 +367,9 @@ def across_components(inside: DataFrame, texts: DataFrame, shingle: int, least:
     spread = saved(spread.where("_lo <> _hi").select("t", "key", "_blocks"), "open-buckets")
     members = inside.join(spread, ["t", "key"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("_blocks")))
     open_nodes = members.select(F.col("node").alias("rid")).distinct()
-    signatures = texts.join(open_nodes, "rid", "left_semi").mapInArrow(_signatures(shingle), "node long, kmers binary")
+    signatures = texts.join(open_nodes, "rid", "left_semi").mapInArrow(_signatures(shingle), "node long, kmers binary, lost long")
     signatures = saved(signatures, "signatures")
-    blocks = members.join(signatures, "node").groupBy("t", "key", "block").agg(F.collect_list(F.struct("node", "n", "label", "kmers")).alias("docs"))
+    blocks = members.join(signatures, "node").groupBy("t", "key", "block").agg(F.collect_list(F.struct("node", "n", "label", "kmers", "lost")).alias("docs"))
     blocks = saved(blocks, "blocks")
     left = blocks.select("t", "key", F.col("block").alias("x"), F.col("docs").alias("left"))
     right = blocks.select("t", "key", F.col("block").alias("y"), F.col("docs").alias("right"))
