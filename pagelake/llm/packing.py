@@ -431,7 +431,7 @@ class _Shelf:
         """
         pattern = pattern.copy()
         used = np.flatnonzero(pattern)
-        times = min([times, *((self.stop - self.at)[used] // pattern[used])])
+        times = int(min([times, *((self.stop - self.at)[used] // pattern[used])]))
         if times < 1:
             return pattern, 0, False
         start = self.tokens(self.at)
