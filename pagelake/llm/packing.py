@@ -18,6 +18,7 @@ where a rank stands in the line follows from the histogram.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 import zlib
 from array import array
@@ -48,9 +49,28 @@ PART = 20_000  # words looked up at once
 _END = np.array([END_ID], "<u4").tobytes()
 
 PIECES = "rid long, doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, marks array<long>"
+#: Letters whose lower case is one letter and which compose with none of each other: ASCII,
+#: Latin-1, Latin Extended-A, Cyrillic, kana, Han and Hangul syllables.  A run of them is one pre-token.
+LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f\u0400-\u045f\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]+")
+PROBES = ("the", "Packing", "a", "\u00c9tude", "\u0441\u043b\u043e\u0432\u043e", "\u8a9e", "qzxjw")
 _tokenizers: dict = {}
 
 
+def _byte_characters() -> dict[int, int]:
+    """The character that stands for each byte in a byte-level vocabulary."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in shown]
+    return {b: 256 + i for i, b in enumerate(rest)}
+
+
+_BYTES = _byte_characters()
+
+
+def letter_ids(model, letters: str) -> list[int]:
+    """Ids of a run of ``LETTERS`` straight from the vocabulary's model, normalised as the tokenizer would."""
+    return [t.id for t in model.tokenize(letters.lower().encode().decode("latin-1").translate(_BYTES))]
+
+
 def tokenizer(path: str):
     if path not in _tokenizers:
         import os
@@ -72,7 +92,9 @@ class Words:
     Letters and marks are different pre-tokens too, so a word of letters with
     ASCII marks behind has the ids of both parts, and ASCII letters those of
     their lower case.  A worker tokenises each part once; of two generations of
-    ``CACHE`` entries the older one goes, so memory is bounded.
+    ``CACHE`` entries the older one goes, so memory is bounded.  A part of
+    ``LETTERS`` alone is one pre-token and goes straight to the vocabulary's
+    model; the others go through the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -81,20 +103,24 @@ class Words:
         self.old_words: dict[bytes, bytes] = {}
         self.parts: dict[bytes, bytes] = {}
         self.old_parts: dict[bytes, bytes] = {}
+        t = tokenizer(path)
+        # Only where the vocabulary normalises and cuts as ``letter_ids`` takes it to.
+        plain = all(letter_ids(t.model, p) == t.encode(p, add_special_tokens=False).ids for p in PROBES)
+        self.model = t.model if plain else None
+
+    def _letters(self, core: bytes) -> bytes | None:
+        """Ids of a part of ``LETTERS`` (ASCII ones in lower case); None if it holds something else."""
+        if core.isalpha():  # ASCII letters are their own byte characters
+            return array("I", [t.id for t in self.model.tokenize(core.decode())]).tobytes()
+        text = core.decode()
+        return array("I", letter_ids(self.model, text)).tobytes() if LETTERS.fullmatch(text) else None
 
     def _tokenised(self, parts: list[bytes]) -> None:
         """Have the ids of all ``parts`` in ``self.parts``."""
-        old, held = self.old_parts, self.parts
-        todo = []
-        for p in parts:
-            ids = old.get(p)
-            if ids is None:
-                todo.append(p)
-            else:
-                held[p] = ids
+        held = self.parts
         t = tokenizer(self.path)
-        for at in range(0, len(todo), 4096):
-            some = todo[at : at + 4096]
+        for at in range(0, len(parts), 4096):
+            some = parts[at : at + 4096]
             found = t.encode_batch_fast([p.decode() for p in some], add_special_tokens=False)
             for p, e in zip(some, found):
                 held[p] = array("I", e.ids).tobytes()
@@ -105,30 +131,39 @@ class Words:
             self.old_words, self.words = self.words, {}
         if len(self.parts) + 2 * len(words) > 2 * CACHE:
             self.old_parts, self.parts = self.parts, {}
-        held, old, parts = self.words, self.old_words, self.parts
-        cut, new = [], set()
-        for w in words:
-            if w in held:
-                continue
-            ids = old.get(w)
-            if ids is not None:
-                held[w] = ids
-                continue
+        held, old, parts, old_parts = self.words, self.old_words, self.parts, self.old_parts
+        new = words.difference(held)
+        again = [w for w in new if w in old]
+        held.update(zip(again, map(old.__getitem__, again)))
+        new.difference_update(again)
+        direct = self.model is not None
+        cut, todo = [], set()
+        for w in new:
             core = w.rstrip(MARKS)
-            size = len(core)
+            marks = w[len(core) :] if len(core) < len(w) else b""
             if core.isalpha():
                 core = core.lower()
             elif core.isascii() or not unicodedata.normalize("NFC", core.decode()).lower().isalpha():
                 # No letters alone, or letters that the vocabulary's normalisation
                 # leaves with a combining mark, which goes with the marks behind.
-                core, size = w, len(w)
-            marks = w[size:]
-            cut.append((w, core, marks))
-            if core not in parts:
-                new.add(core)
+                core, marks = w, b""
+            ids = parts.get(core) or old_parts.get(core) or (self._letters(core) if direct else None)
+            if ids:
+                parts[core] = ids
+                if not marks:
+                    held[w] = ids
+                    continue
+                behind = parts.get(marks) or old_parts.get(marks)
+                if behind:
+                    parts[marks] = behind
+                    held[w] = ids + behind
+                    continue
+            else:
+                todo.add(core)
             if marks and marks not in parts:
-                new.add(marks)
-        self._tokenised(list(new))
+                todo.add(marks)
+            cut.append((w, core, marks))
+        self._tokenised(list(todo))
         for w, core, marks in cut:
             held[w] = parts[core] + parts[marks] if marks else parts[core]
 

@@ -145,3 +145,27 @@ def test_fullest_against_enumeration():
         for s, c in zip(size.tolist(), left.tolist()):
             sums = {a + k * s for a in sums for k in range(c + 1)}
         assert (count <= left).all() and count @ size == max(s for s in sums if s <= room)
+
+
+def test_letter_runs_have_the_tokenizers_ids(monkeypatch):
+    """Parts of plain letters go straight to the model; the whole tokenizer sees the others only."""
+    import random
+
+    import public_tokenizers
+
+    from pagelake.llm import packing
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    whole = packing.tokenizer(path)
+    rnd = random.Random(3)
+    letters = [chr(c) for c in range(0x10000) if packing.LETTERS.fullmatch(chr(c))]
+    words = ["".join(rnd.choice(rnd.choice((letters, letters[:300]))) for _ in range(rnd.randint(1, 9))) for _ in range(3000)]
+    words += ["İx", "été.", "don't", "Σς", "a1", "́a", "..", "Café,", "ª"]
+    want = [whole.encode(w, add_special_tokens=False).ids + [packing.END_ID] for w in words]
+    seen = []
+    known = packing.Words(path)
+    monkeypatch.setitem(packing._words, path, known)
+    through = known._tokenised
+    monkeypatch.setattr(known, "_tokenised", lambda parts: (seen.extend(parts), through(parts)))
+    assert [x.tolist() for x in packing.token_ids(words, path)] == want
+    assert seen and not [p for p in seen if packing.LETTERS.fullmatch(p.decode())]
