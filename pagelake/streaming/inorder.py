@@ -12,7 +12,8 @@ delay is longer by the same; only rows later than that are dropped, and counted
 in the query progress (``numRowsDroppedByWatermark``).
 
 State of a key: its carry (a few numbers), its buffered rows, one timer.  The
-buffer holds ``delay`` of a key's rows, never its history.
+buffer holds ``delay`` of a key's rows, never its history; a worker holds a few
+sorted blocks of it at once.
 
 A stream that ends leaves the rows of its last ``delay`` in the buffers.  Clock
 rows, a second file source of bare times, move the watermark on without data:
@@ -22,6 +23,7 @@ a service drops one from time to time, a finished replay drops one at its end.
 from __future__ import annotations
 
 import datetime as dt
+import pickle
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,6 +37,10 @@ from pagelake.streaming import streams as ST
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 GRACE_DAYS = 3650
 CLOCK_SCHEMA = "ts timestamp_ntz"
+RUN = 65_536  # rows of a key that are sorted at once
+BLOCK = 8192  # rows of a block of a key's buffer
+STEP = 64  # blocks that are folded at once
+TOLD = 10_000  # rows of a frame that a fold tells
 
 # --------------------------------------------------------------------------
 # Folds: what one key does with a row, and with time
@@ -192,42 +198,89 @@ class CacheFold(Fold):
 # --------------------------------------------------------------------------
 
 
+def _sorted(parts: list[list]) -> list:
+    """Columns (time, fields) of ``parts``, one after the other, in (time, id) order."""
+    import numpy as np
+
+    cols = [np.concatenate([p[i] for p in parts]) for i in range(len(parts[0]))]
+    t, ids = cols[:2]
+    if ids.dtype == object:
+        keys = [(at, i is None, i) for at, i in zip(t.tolist(), ids.tolist())]
+        order = np.array(sorted(range(len(keys)), key=keys.__getitem__), np.int64)
+    else:
+        order = np.lexsort((ids, t))
+    return [c[order] for c in cols]
+
+
 class InOrder(StatefulProcessor):
-    """Reorder buffer, carry and timer of each key around a ``Fold``."""
+    """Reorder buffer, carry and timer of each key around a ``Fold``.
+
+    The buffer is an external sort: a key with few rows has them beside its
+    place, one with many in sorted blocks of ``BLOCK`` rows, each a map entry.
+    Folding goes by time, a few blocks at once, and tells its rows in frames of
+    ``TOLD``; so a hot key is never held as a whole.
+    """
 
     def __init__(self, fold: Fold, buffered: str, columns: list[str]):
         self.fold, self.buffered, self.columns = fold, buffered, columns
         # pandas turns whole numbers beside NULLs into doubles.
-        self.whole = [c.split()[1] in ("bigint", "int", "smallint", "tinyint") for c in buffered.split(", ")[1:]]
+        self.whole = [c.split()[1] in ("bigint", "long", "int", "smallint", "tinyint") for c in buffered.split(", ")]
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.buffer = handle.getListState("buffer", self.buffered)
+        self.blocks = handle.getMapState("blocks", "block long", "rows binary")
         self.carry = handle.getValueState("carry", self.fold.carry)
-        # Up to where the key has been folded, and the timer that is set (-1: none).
-        self.place = handle.getValueState("place", "folded long, timer long")
+        # Up to where the key has been folded, the timer that is set (-1: none), the rows
+        # beside it, and number, first time of each block.
+        self.place = handle.getValueState("place", "folded long, timer long, held binary")
+
+    def _placed(self) -> tuple:
+        folded, timer, held = self.place.get() or (-1, -1, None)
+        return (folded, timer, *(pickle.loads(bytes(held)) if held else (None, [])))
+
+    def _arrays(self, pdf) -> list:
+        """Time and fields of the data rows; a NULL makes a column one of objects, with None."""
+        # By place (key, watermark column, time, clock, fields): names do not all come through.
+        own = pdf[~pdf.iloc[:, 3].astype(bool)].iloc[:, [2, *range(4, pdf.shape[1])]]
+        out = []
+        for i, whole in enumerate(self.whole):
+            values = own.iloc[:, i]
+            has = values.notna().to_numpy()
+            if has.all() and values.dtype.kind in "iufb":
+                out.append(values.to_numpy().astype("int64") if whole else values.to_numpy())
+            else:
+                plain = values.astype(object).to_numpy(copy=True)
+                plain[~has] = None
+                if whole:
+                    plain[has] = [int(v) for v in plain[has]]
+                out.append(plain)
+        return out
 
     def handleInputRows(self, key, rows, timerValues):
-        folded, timer = self.place.get() or (-1, -1)
-        new, late = [], []
+        import numpy as np
+
+        folded, timer, held, blocks = self._placed()
+        parts = [] if held is None else [held]
+        size, new = sum(len(p[0]) for p in parts), False
         for pdf in rows:
-            # By place (key, watermark column, time, clock, fields): names do not all come through.
-            own = pdf[~pdf.iloc[:, 3].astype(bool)].iloc[:, [2, *range(4, pdf.shape[1])]]
-            values = own.astype(object).where(own.notna(), None)
-            for t, *row in values.itertuples(index=False, name=None):
-                row = [int(v) if whole and v is not None else v for v, whole in zip(row, self.whole)]
-                if t is None or int(t) <= folded:
-                    late.append((key[0], *row[:1], t))
-                else:
-                    new.append((int(t), *row))
+            cols = self._arrays(pdf)
+            ready = np.array([t is not None and t > folded for t in cols[0]], bool) if cols[0].dtype == object else cols[0] > folded
+            if not ready.all():
+                late = [c[~ready].tolist() for c in cols[:2]]
+                yield self._frame([(key[0], True, t, *self._late(i)) for t, i in zip(*late)])
+            if ready.any():
+                new = True
+                parts.append([c[ready].astype("int64") if i == 0 else c[ready] for i, c in enumerate(cols)])
+                size += int(ready.sum())
+            if size > RUN:
+                self._spill(parts, blocks)
+                parts, size = [], 0
         if new:
-            yield from self._fold(key, new, timerValues, folded, timer)
-        if late:
-            yield self._frame([(key[0], True, t, *self._late(i)) for _, i, t in late])
+            yield from self._fold(key, parts, blocks, timerValues, folded, timer)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        folded, _ = self.place.get() or (-1, -1)
-        yield from self._fold(key, [], timerValues, folded, -1)
+        folded, _, held, blocks = self._placed()
+        yield from self._fold(key, [] if held is None else [held], blocks, timerValues, folded, -1)
 
     def close(self) -> None:
         pass
@@ -241,12 +294,51 @@ class InOrder(StatefulProcessor):
 
         return pd.DataFrame(rows, columns=self.columns, dtype=object)
 
-    def _fold(self, key, new, timerValues, folded, timer):
+    def _spill(self, parts: list[list], blocks: list[tuple]) -> None:
+        """Rows sorted into blocks of the state; ``blocks`` has number and first time of each."""
+        cols = _sorted(parts)
+        number = max((n for n, _ in blocks), default=-1) + 1
+        for at in range(0, len(cols[0]), BLOCK):
+            part = [c[at : at + BLOCK] for c in cols]
+            self.blocks.updateValue((number,), (pickle.dumps(part, 5),))
+            blocks.append((number, int(part[0][0])))
+            number += 1
+
+    def _ready(self, parts: list[list], blocks: list[tuple], upto: int):
+        """Rows up to ``upto`` in order, a few blocks at once; what is left stays in both lists."""
+        import numpy as np
+
+        open_ = {len(blocks) and max(n for n, _ in blocks) + 1: _sorted(parts)} if parts else {}
+        blocks.sort(key=lambda b: b[1])
+        while True:
+            cut = upto + 1
+            if len(blocks) > STEP:
+                # Every row before the cut is in a block that begins before it.
+                cut = min(cut, max(blocks[STEP][1], blocks[0][1] + 1))
+            while blocks and blocks[0][1] < cut:
+                number, _ = blocks.pop(0)
+                open_[number] = pickle.loads(bytes(self.blocks.getValue((number,))[0]))
+                self.blocks.removeKey((number,))
+            heads = []
+            for number in sorted(open_):
+                cols = open_[number]
+                n = int(np.searchsorted(cols[0], cut))
+                if n:
+                    heads.append([c[:n] for c in cols])
+                    if n < len(cols[0]):
+                        open_[number] = [c[n:] for c in cols]
+                    else:
+                        del open_[number]
+            if heads:
+                yield _sorted(heads) if len(heads) > 1 else heads[0]
+            if cut > upto:
+                break
+        parts[:] = [open_[number] for number in sorted(open_)]
+
+    def _fold(self, key, parts, blocks, timerValues, folded, timer):
         fold = self.fold
         upto = timerValues.getCurrentWatermarkInMs() * 1000
-        held = [*self.buffer.get()] if self.buffer.exists() else []
-        ready = sorted((r for r in [*held, *new] if r[0] <= upto), key=lambda r: (r[0], r[1] is None, r[1]))
-        carry = self.carry.get() if self.carry.exists() else None
+        carry = self.carry.get()
         told: list[tuple] = []
 
         def wait(until: int, carry):
@@ -256,26 +348,28 @@ class InOrder(StatefulProcessor):
                 told.extend((key[0], False, due, *o) for o in out)
             return carry
 
-        for t, *row in ready:
-            carry = wait(t, carry)
-            carry, out = fold.row(fold.start() if carry is None else carry, t, tuple(row))
-            told.extend((key[0], False, t, *o) for o in out)
+        for cols in self._ready(parts, blocks, upto):
+            for t, *row in zip(*[c.tolist() for c in cols]):
+                carry = wait(t, carry)
+                carry, out = fold.row(fold.start() if carry is None else carry, t, tuple(row))
+                for o in out:
+                    told.append((key[0], False, t, *o))
+                if len(told) >= TOLD:
+                    yield self._frame(told)
+                    told.clear()
         if upto > 0:
             carry = wait(upto + 1, carry)
-        rest = [r for r in [*held, *new] if r[0] > upto] if ready else None
-        if rest is None:
-            if new:
-                self.buffer.appendList(new)
-            rest = [*held, *new]
-        elif rest:
-            self.buffer.put(rest)
-        else:
-            self.buffer.clear()
         if carry is None:
             self.carry.clear()
         else:
             self.carry.update(carry)
-        nexts = [min(r[0] for r in rest)] if rest else []
+        if sum(len(p[0]) for p in parts) > BLOCK:
+            self._spill(parts, blocks)
+            parts = []
+        held = _sorted(parts) if parts else None
+        nexts = [at for _, at in blocks]
+        if held is not None:
+            nexts.append(int(held[0][0]))
         if carry is not None and (due := fold.due(carry)) is not None:
             nexts.append(due)
         # Milliseconds, rounded up: the watermark is past the time when the timer fires.
@@ -285,7 +379,8 @@ class InOrder(StatefulProcessor):
                 self.handle.deleteTimer(timer)
             if want >= 0:
                 self.handle.registerTimer(want)
-        self.place.update((max(folded, upto), want))
+        kept = pickle.dumps((held, blocks), 5) if held is not None or blocks else None
+        self.place.update((max(folded, upto), want, kept))
         if told:
             yield self._frame(told)
 

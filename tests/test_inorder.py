@@ -194,3 +194,78 @@ def test_sliding_rate_equals_brute_force(spark, tmp_path, width, slide):
             w[1] += ok
             at -= slide
     assert got == {k: (n, good, round(n / width, 9)) for k, (n, good) in want.items()}
+
+
+class Held:
+    """State of one key in memory; counts the rows that a processor reads back."""
+
+    def __init__(self):
+        self.value, self.map, self.timers, self.largest = None, {}, set(), 0
+
+    def getValueState(self, name, schema):
+        state = Held()
+        state.get, state.update, state.clear = (lambda: state.value), (lambda v: setattr(state, "value", v)), (lambda: setattr(state, "value", None))
+        return state
+
+    def getMapState(self, name, key, value):
+        return self
+
+    def updateValue(self, key, value):
+        self.map[key] = value
+        self.largest = max(self.largest, len(value[0]))
+
+    def getValue(self, key):
+        return self.map[key]
+
+    def removeKey(self, key):
+        del self.map[key]
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.discard(at)
+
+
+class Mark:
+    def __init__(self, us):
+        self.us = us
+
+    def getCurrentWatermarkInMs(self):
+        return self.us // 1000
+
+
+def test_a_hot_key_is_folded_by_blocks(monkeypatch):
+    """A key's rows go through the state in small blocks and are told in small frames, in event order."""
+    import pandas as pd
+
+    for name, n in (("RUN", 500), ("BLOCK", 50), ("STEP", 4), ("TOLD", 100)):
+        monkeypatch.setattr(IO, name, n)
+    rnd = random.Random(7)
+    rows = [(rnd.randrange(1, 40_000) * 1000, rnd.choice([None, i]), bool(rnd.random() < 0.4)) for i in range(5000)]
+    fold = IO.BreakerFold()
+    columns = ["method", "late", "event_us", *[c.split()[0] for c in fold.out.split(", ")]]
+    p = IO.InOrder(fold, "_t long, attempt_id bigint, ok boolean", columns)
+    state = Held()
+    p.init(state)
+    blocks, frames, key = [], [], ("m",)
+    load = IO._sorted
+    monkeypatch.setattr(IO, "_sorted", lambda parts: (blocks.append(sum(len(c[0]) for c in parts)), load(parts))[1])
+    for at in range(0, 5000, 1000):
+        pdfs = [pd.DataFrame([("m", None, t, False, i, ok) for t, i, ok in rows[x : x + 100]]) for x in range(at, at + 1000, 100)]
+        frames += [*p.handleInputRows(key, iter(pdfs), Mark(0))]
+    assert frames == [] and len(state.map) >= 90 and state.timers
+    frames += [*p.handleExpiredTimer(key, Mark(20_000_000), None)]
+    half = sum(len(f) for f in frames)
+    frames += [*p.handleExpiredTimer(key, Mark(50_000_000), None)]
+    assert state.map == {} and 0 < half < sum(len(f) for f in frames)
+    # A step reads a few blocks and, of each run, the open one; never the key.
+    assert max(blocks) <= 1200 and max(len(f) for f in frames) <= 102
+    got = [r for f in frames for r in f.itertuples(index=False, name=None) if r[3] == "attempt"]
+    want, carry = [], fold.start()
+    for t, i, ok in sorted(rows, key=lambda r: (r[0], r[1] is None, r[1] or 0)):
+        while (due := fold.due(carry)) is not None and due < t:
+            carry, _ = fold.at(carry, due)
+        carry, told = fold.row(carry, t, (i, ok))
+        want += [("m", False, t, *o) for o in told if o[0] == "attempt"]
+    assert [tuple(None if x != x else x for x in r) for r in got] == want
