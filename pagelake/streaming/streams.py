@@ -9,7 +9,8 @@ size, never by the key's history).  Sinks are:
   writes each micro-batch to its own ``_batch=<id>`` folder with overwrite, so
   a retried batch replaces itself; readers take the last version per key.
 
-Streams that fold a key's rows in order (T2, T4, T5, T6) are in ``inorder``.
+Streams that fold a key's rows in event order (T2, T4, T5, T6) are in ``inorder``;
+those here take a key's micro-batches as they arrive, each sorted by ``(ts, id)``.
 Event-time aggregates use a 10-minute watermark; rows later than that are
 dropped by Spark and counted in the query progress
 (``numRowsDroppedByWatermark``).
@@ -28,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from pagelake.operators import ordered as O
 from pagelake.session import checkpoint_dir, configure
 from pagelake.sinks import writers as K
 from pagelake.sources import tables
@@ -231,6 +233,170 @@ def write_task_log(updates: DataFrame, path: str, ckpt: str) -> StreamingQuery:
     return run_available_now(w.trigger(availableNow=True).start())
 
 
+# --------------------------------------------------------------------------
+# Stateful streams in order of arrival (one state row per key); ``inorder`` has event order
+# --------------------------------------------------------------------------
+
+
+def _sorted_group(pdfs, order: list[str]):
+    import pandas as pd
+
+    frames = [p for p in pdfs if len(p)]
+    if not frames:
+        return None
+    return pd.concat(frames, ignore_index=True).sort_values(order, kind="mergesort").reset_index(drop=True)
+
+
+def proxy_health(attempts: DataFrame, key: str = "proxy_id") -> DataFrame:
+    """T4: health score and success rate after each attempt, per proxy, with
+    the state ``(health, total, failed)`` carried across micro-batches."""
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    import pandas as pd
+
+    def fold(k, pdfs, state):
+        g = _sorted_group(pdfs, ["ts", "attempt_id"])
+        if g is None:
+            return
+        x, total, failed = state.get if state.exists else (1.0, 0, 0)
+        hs, rs = [], []
+        for ok in g["ok"].astype(bool):
+            total += 1
+            failed += 0 if ok else 1
+            x = O.health_step(x, ok)
+            hs.append(x)
+            rs.append((total - failed) / total)
+        state.update((x, total, failed))
+        yield pd.DataFrame({key: g[key], "attempt_id": g["attempt_id"], "health_score": hs, "success_rate": rs})
+
+    return attempts.select(key, "ts", "attempt_id", "ok").groupBy(key).applyInPandasWithState(
+        fold,
+        f"{key} string, attempt_id long, health_score double, success_rate double",
+        "health double, total long, failed long",
+        "append",
+        GroupStateTimeout.NoTimeout,
+    )
+
+
+def breaker_states(attempts: DataFrame, key: str = "method") -> DataFrame:
+    """T5: circuit-breaker state per method with the state ``(kind, arg)``
+    carried across micro-batches (same step function as the W4 replay)."""
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    import numpy as np
+    import pandas as pd
+
+    def fold(k, pdfs, state):
+        g = _sorted_group(pdfs, ["ts", "attempt_id"])
+        if g is None:
+            return
+        kind, arg = state.get if state.exists else ("c", 0.0)
+        st = ("c", int(arg)) if kind == "c" else ("o", float(arg))
+        times = (g["ts"].to_numpy().astype("datetime64[us]").astype("int64") / 1e6).tolist()
+        allowed, states, fcs = [], [], []
+        for ok, t in zip(g["ok"].astype(bool).tolist(), times):
+            st, a = O.breaker_step(st, ok, t)
+            allowed.append(a)
+            states.append("closed" if st[0] == "c" else "open")
+            fcs.append(st[1] if st[0] == "c" else O.BREAKER_THRESHOLD)
+        state.update((st[0], float(st[1])))
+        yield pd.DataFrame(
+            {key: g[key], "attempt_id": g["attempt_id"], "allowed": allowed, "state": states,
+             "failure_count_at_least": np.asarray(fcs, dtype="int64")}
+        )
+
+    return attempts.select(key, "ts", "attempt_id", "ok").groupBy(key).applyInPandasWithState(
+        fold,
+        f"{key} string, attempt_id long, allowed boolean, state string, failure_count_at_least long",
+        "kind string, arg double",
+        "append",
+        GroupStateTimeout.NoTimeout,
+    )
+
+
+def change_alerts(obs: DataFrame, key: str = "user_id") -> DataFrame:
+    """Per key, the change of ``event_type`` and ``value`` against the last
+    observation held in state (the first sighting reports nothing)."""
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    import pandas as pd
+
+    key_type = dict(obs.dtypes)[key]
+
+    def fold(k, pdfs, state):
+        g = _sorted_group(pdfs, ["ts", "event_id"])
+        if g is None:
+            return
+        prev_t, prev_v = state.get if state.exists else (None, None)
+        pts, pvs = [], []
+        for t, v in zip(g["event_type"], g["value"]):
+            pts.append(prev_t)
+            pvs.append(prev_v)
+            prev_t, prev_v = t, float(v)
+        state.update((prev_t, prev_v))
+        yield pd.DataFrame(
+            {key: g[key], "event_id": g["event_id"], "prev_type": pts, "event_type": g["event_type"],
+             "prev_value": pvs, "value": g["value"].astype(float)}
+        )
+
+    pairs = obs.select(key, "ts", "event_id", "event_type", "value").groupBy(key).applyInPandasWithState(
+        fold,
+        f"{key} {key_type}, event_id long, prev_type string, event_type string, prev_value double, value double",
+        "last_type string, last_value double",
+        "append",
+        GroupStateTimeout.NoTimeout,
+    )
+    pt, ct = F.col("prev_type"), F.col("event_type")
+    pv, cv = F.col("prev_value").cast("string"), F.col("value").cast("string")
+    out = pairs.where(pt.isNotNull()).select(
+        key,
+        "event_id",
+        F.when(pt != ct, F.concat(pt, F.lit(" -> "), ct)).alias("type_change"),
+        F.when(pv != cv, F.concat(pv, F.lit(" -> "), cv)).alias("value_change"),
+    )
+    return out.where(F.col("type_change").isNotNull() | F.col("value_change").isNotNull())
+
+
+def cache_ttl(attempts: DataFrame, ttl_s: int = K.CACHE_TTL_S) -> DataFrame:
+    """TTL cache as keyed state.  Per URL the state holds the time of the
+    last success; a request is a hit when that success is less than
+    ``ttl_s`` old.  An event-time timeout evicts the entry once the watermark
+    passes its expiry, so state holds only live entries."""
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    import pandas as pd
+
+    ttl_us = ttl_s * 1_000_000
+
+    def fold(k, pdfs, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        g = _sorted_group(pdfs, ["ts", "attempt_id"])
+        if g is None:
+            return
+        last = state.get[0] if state.exists else None
+        times = g["ts"].to_numpy().astype("datetime64[us]").astype("int64").tolist()
+        hits = []
+        for t, st in zip(times, g["status"].tolist()):
+            hits.append(last is not None and t - last < ttl_us)
+            if st == "success":
+                last = t
+        if last is None:
+            state.remove()
+        else:
+            state.update((last,))
+            expiry_ms = (last + ttl_us) // 1000
+            state.setTimeoutTimestamp(max(expiry_ms, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"attempt_id": g["attempt_id"], "url": g["url"], "hit": hits})
+
+    ev = event_time(attempts.select("url", "ts", "attempt_id", "status")).withWatermark("event_time", WATERMARK)
+    return ev.groupBy("url").applyInPandasWithState(
+        fold, "attempt_id long, url string, hit boolean", "last_success_us long", "append",
+        GroupStateTimeout.EventTimeTimeout,
+    )
+
+
 def messages_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Result messages as a stream; the page extraction is computed
     once and checkpointed, then joined to each micro-batch of attempts."""
