@@ -26,8 +26,8 @@ def article_records(pages: DataFrame, selectors: dict[str, str] | None = None) -
     the joined text; single fields are the first hit or empty, lists are empty
     without a hit.  A page without any of it gives an empty record.
     """
-    rec = SEL.selector_record(pages, selectors or ARTICLE_SELECTORS)
-    hits = lambda name: F.coalesce(F.col("data")[name], F.array().cast("array<string>"))
+    rec = SEL.selector_lists(pages, selectors or ARTICLE_SELECTORS)
+    hits = lambda name: F.coalesce(F.col(name), F.array().cast("array<string>"))
     first = lambda name: F.coalesce(F.get(hits(name), F.lit(0)), F.lit(""))
     joined = rec.select(
         "page_id",

@@ -23,3 +23,13 @@ def test_own_selectors(spark):
     own = articles.ARTICLE_SELECTORS | {"headline": "time", "content": "p"}
     r = articles.article_records(pages, own).first()
     assert r.headline == "May 1" and r.content == "First part. Second bold part. outside"
+
+
+def test_records_take_only_the_fields_asked_for(spark, monkeypatch):
+    """No body text is gathered for a record, and the content is cut into words once."""
+    pages = spark.createDataFrame([(1, PAGE.replace("First part.", " First 　\tpart. ")), (None, None)], "page_id long, html string")
+    rec = articles.article_records(pages)
+    plan = rec._jdf.queryExecution().optimizedPlan().toString()
+    assert "body_text" not in plan and plan.count("split(") == 1
+    got = {r.page_id: r.word_count for r in rec.collect()}
+    assert got == {1: 5, None: 0}
