@@ -42,6 +42,7 @@ SAMPLED = 3
 ROUNDS = 2
 BLOCK_KMERS = 25_000  # k-mers of a block of documents that are compared at once
 COLUMNS = 4096  # distinct k-mers of two blocks that are compared at once
+BITMAPS = 8192  # bitmaps of 4 KiB that are brought to the rows at once
 CHUNK = 1 << 19
 
 _U = np.uint64
@@ -388,6 +389,24 @@ def _pack(batches):
         yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.array(packed, pa.binary())], names=["rid", "packed"])
 
 
+def chosen(rows: DataFrame, rids: DataFrame) -> DataFrame:
+    """The ``rows`` whose ``rid`` is in ``rids(rid)``, without a shuffle of their texts.
+
+    The row keys travel as bitmaps, one of 4 KiB for each 32,768 rows of a scan
+    partition, and every row looks up its own bit.  More than ``BITMAPS`` of them
+    would weigh on the driver; both sides are then dealt by row key.
+    """
+    bucket, place = F.bitmap_bucket_number("rid"), F.bitmap_bit_position("rid")
+    # Dealt by bucket first: a bucket's bits are set in one task, no half-empty bitmaps are shuffled.
+    bits = rids.select(bucket.alias("_bucket"), place.alias("_place")).repartition("_bucket")
+    bits = saved(bits.groupBy("_bucket").agg(F.bitmap_construct_agg("_place").alias("_bits")), "chosen")
+    if bits.count() > BITMAPS:
+        return rows.join(rids, "rid", "left_semi")
+    byte = F.conv(F.hex(F.substring("_bits", F.shiftright(place, 3).cast("int") + 1, 1)), 16, 10).cast("int")
+    found = rows.join(F.broadcast(bits), bucket == F.col("_bucket")).where(F.getbit(byte, place % 8) == 1)
+    return found.select(*rows.columns)
+
+
 def near_duplicates(
     docs: DataFrame,
     shingle: int = SHINGLE,
@@ -419,7 +438,7 @@ def near_duplicates(
     shared = saved(entries.groupBy("t", "key").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("t", "key"), "buckets")
     members = saved(entries.join(shared, ["t", "key"]), "members")
     wanted = members.select(F.col("node").alias("rid")).distinct()
-    texts = saved(rows.join(wanted, "rid", "left_semi").mapInArrow(_pack, "rid long, packed binary"), "texts")
+    texts = saved(chosen(rows, wanted).mapInArrow(_pack, "rid long, packed binary"), "texts")
 
     tested = links = labels = None
 

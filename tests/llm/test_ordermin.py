@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from pagelake.llm import ordermin as om
 
@@ -146,6 +147,39 @@ def test_groups_of_near_copies_and_a_shared_passage(spark, monkeypatch):
     check(spark, frame(spark, [doc(i, t) for i, t in enumerate(data)]))
 
 
+def test_texts_are_found_without_a_shuffle(spark, monkeypatch):
+    plans = {}
+
+    def saved(df, name, save=om.saved):
+        plans[name] = df._jdf.queryExecution().sparkPlan().toString()
+        return save(df, name)
+
+    monkeypatch.setattr(om, "saved", saved)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as if the row keys were many
+    try:
+        df = frame(spark, [doc(i, f"some words of the text {'twice' if i < 2 else i} " * 9 + str(i)) for i in range(20)])
+        check(spark, df)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert "MapInArrow" in plans["texts"] and "BroadcastHashJoin" in plans["texts"]
+    assert "SortMergeJoin" not in plans["texts"] and "ShuffledHashJoin" not in plans["texts"]
+
+
+@pytest.mark.parametrize("bitmaps", [8192, 0])
+def test_chosen_rows(spark, monkeypatch, bitmaps):
+    monkeypatch.setattr(om, "BITMAPS", bitmaps)
+    rng = random.Random(4)
+    starts = [0, 1 << 33, (1 << 33) + 32760, 5 << 33, (1 << 33) * 70000]
+    all_rids = [s + i for s in starts for i in range(3 * 32768 if s == 5 << 33 else 20)]
+    some = {0, 1, 5 << 33, (5 << 33) + 32767, (5 << 33) + 32768, (5 << 33) + 32769, *rng.sample(all_rids, 5000)}
+    rows = spark.createDataFrame([(i, f"t{i}") for i in all_rids], "rid long, text string").repartition(5)
+    rids = spark.createDataFrame([(i,) for i in [*some, 0, 7, 7, 1 << 34]], "rid long")
+    got = om.chosen(rows, rids)
+    assert got.columns == ["rid", "text"]
+    assert sorted(tuple(r) for r in got.collect()) == [(i, f"t{i}") for i in sorted(some | {7})]
+
+
 def test_components_of_a_chain(spark):
     edges = [(i, i + 1) for i in range(100)] + [(500, 400), (400, 450)]
     got = {r.v: r.label for r in om.components(spark.createDataFrame(edges, "a long, b long")).collect()}
