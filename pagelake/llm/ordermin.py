@@ -13,13 +13,15 @@ as similarity 0.8 allows, gives the k-mers that both have in the same order;
 their share among all k-mers of both must be ``SIMILARITY`` or more.
 
 Scale: texts of equal words are one node.  In a bucket each node is paired with
-one hub, not with all others; linked groups then count as one component, and
-the next round pairs only nodes of different components, with other hubs.  What
-no hub has linked is compared in blocks: two blocks of a bucket are one row, a
-matrix product gives the k-mers that their documents share in any order, and
-only pairs of different components that share enough leave the block, to be
-aligned.  So no link between components is left out, and no list of all pairs
-is made.  Components are labels moved by joins; no links reach the driver.
+one hub, not with all others; linked groups then count as one component.  What
+no hub has linked is compared in blocks: two blocks of a bucket are one row, and
+a matrix product gives the k-mers that their documents share in any order.  In
+a round each component takes, of its pairs with other components that share
+enough, the likest; these are aligned, those that hold are merged and those that
+fail are kept out of later rounds, which go on until no pair is left.  So no
+link between components is left out, and a round aligns no more pairs than there
+are components (``SLOTS``, ``SLOTS`` squared, ... times as many in later rounds,
+which have what failed before).  Components are labels moved by joins; no links reach the driver.
 """
 
 from __future__ import annotations
@@ -39,8 +41,9 @@ SHINGLE = 5
 SIMILARITY = 0.8
 TABLES = 16
 SAMPLED = 3
-ROUNDS = 2
-BLOCK_KMERS = 25_000  # k-mers of a block of documents that are compared at once
+BLOCK_KMERS = 250_000  # k-mers of a block of documents that are compared at once
+BLOCK_DOCS = 1000  # and its documents
+SLOTS = 16  # pairs that a component takes in a round, per pair of the round before
 COLUMNS = 4096  # distinct k-mers of two blocks that are compared at once
 BITMAPS = 8192  # bitmaps of 4 KiB that are brought to the rows at once
 CHUNK = 1 << 19
@@ -253,19 +256,18 @@ def similarity(a: np.ndarray, b: np.ndarray, shingle: int = SHINGLE, least: floa
 def components(links: DataFrame) -> DataFrame:
     """``(v, label)`` for each end of ``links(a, b)``: the smallest node it is connected to.
 
-    Each round takes the least label around, then the label of the label; rounds
+    Each round takes the least label of the labels around, in one shuffle; rounds
     grow with the logarithm of a component's extent.  Hot nodes are summed
     map-side and every round is a written table.
     """
-    edges = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    edges = saved(edges, "edges")
+    links = saved(links.select("a", "b"), "edges")
+    edges = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = saved(edges.groupBy("a").agg(F.min("b").alias("_m")).select(F.col("a").alias("v"), F.least("a", "_m").alias("label")), "labels")
     while True:
-        around = edges.join(labels, edges["b"] == labels["v"]).groupBy("a").agg(F.min("label").alias("_m"))
-        step = labels.join(around, labels["v"] == around["a"]).select("v", F.col("label").alias("old"), F.least("label", "_m").alias("label"))
-        step = saved(step, "labels")
-        jump = step.select(F.col("v").alias("_v"), F.col("label").alias("_l"))
-        new = saved(step.join(jump, F.col("label") == F.col("_v"), "left").select("v", F.least("label", "_l").alias("label"), "old"), "labels")
+        above = labels.select(F.col("v").alias("_v"), F.col("label").alias("_l"))
+        jump = labels.join(above, F.col("label") == F.col("_v")).select("v", F.col("_l").alias("label"), F.col("label").alias("old"))
+        around = edges.join(jump, edges["b"] == jump["v"]).select(F.col("a").alias("v"), "label", F.lit(None).cast("long").alias("old"))
+        new = saved(jump.unionByName(around).groupBy("v").agg(F.min("label").alias("label"), F.max("old").alias("old")), "labels")
         if new.where("label <> old").isEmpty():
             return new.select("v", "label")
         labels = new.select("v", "label")
@@ -334,49 +336,77 @@ def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
     return total
 
 
-def _block_pairs(least: float):
-    """Pairs of different components in two blocks whose texts share enough k-mers in any order."""
+def _best_pairs(least: float, slots: int):
+    """Of the pairs of different components in two blocks whose texts share enough k-mers in any order: the likest.
+
+    One for each component and each of ``slots`` slots, which pairs are dealt to by hash.
+    """
 
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 sides = [batch.column(c)[i].as_py() for c in ("left", "right")]
                 sets = [[np.frombuffer(m["kmers"], "<u4") for m in side] for side in sides]
-                node, label, n, lost = ([np.array([m[c] for m in side]) for side in sides] for c in ("node", "label", "n", "lost"))
+                node, label, n, lost = ([np.array([m[c] for m in side], np.int64) for side in sides] for c in ("node", "label", "n", "lost"))
                 common = shared_counts(*sets)
                 total = n[0][:, None] + n[1][None, :]
                 # K-mers of one set whose halved hashes coincide count once; a pair has lost no
                 # more of its common ones than the set with fewer of them has.
-                enough = common + np.minimum(lost[0][:, None], lost[1][None, :]) >= least / (1 + least) * total - 1
-                x, y = np.nonzero(enough & (label[0][:, None] != label[1][None, :]))
-                a, b = node[0][x], node[1][y]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+                enough = common + np.minimum(lost[0][:, None], lost[1][None, :]) >= least / (1 + least) * total - 1e-9
+                enough &= label[0][:, None] != label[1][None, :]
+                for side, other, grid in ((0, 1, enough), (1, 0, enough.T)):
+                    for at, m in enumerate(sides[side]):
+                        if m["refused"]:
+                            grid[at] &= ~np.isin(node[other], m["refused"])
+                x, y = np.nonzero(enough)
+                a, b = np.minimum(node[0][x], node[1][y]), np.maximum(node[0][x], node[1][y])
+                share = common[x, y].astype(np.float64) / total[x, y]
+                slot = (mix(mix(a.astype(_U)) ^ b.astype(_U)) % _U(slots)).astype(np.int64)
+                for own in (label[0][x], label[1][y]):
+                    order = np.lexsort((b, a, share, slot, own))
+                    last = np.ones(len(order), bool)
+                    last[:-1] = (own[order][1:] != own[order][:-1]) | (slot[order][1:] != slot[order][:-1])
+                    best = order[last]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(v[best]) for v in (own, slot, share, a, b)], names=["label", "slot", "share", "a", "b"]
+                    )
 
     return tidy(run)
 
 
-def across_components(inside: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
-    """Candidate pairs (a, b) between components that share a bucket.
+def signed(inside: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """Signatures of the nodes that share a bucket with another component."""
+    spread = inside.groupBy("t", "key").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).where("_lo <> _hi")
+    open_nodes = inside.join(spread, ["t", "key"]).select(F.col("node").alias("rid")).distinct()
+    signatures = texts.join(open_nodes, "rid", "left_semi").mapInArrow(_signatures(shingle), "node long, kmers binary, lost long")
+    return saved(signatures, "signatures")
+
+
+def across_components(inside: DataFrame, signatures: DataFrame, refused: DataFrame | None, least: float, slots: int = 1) -> DataFrame:
+    """Candidate pairs (label, a, b) between components that share a bucket: the likest of each component ``label`` and slot.
 
     ``inside`` has (t, key, node, n, label).  Buckets of one component are left
-    out.  A bucket is dealt by hash into blocks of about ``BLOCK_KMERS``
-    k-mers, and each two of its blocks are one row.
+    out, and so are the pairs ``refused(a, b)``.  A bucket is dealt by hash into
+    blocks of about ``BLOCK_KMERS`` k-mers or ``BLOCK_DOCS`` documents, and each
+    two of its blocks are one row.  A component without a row has no such pair.
     """
-    spread = inside.groupBy("t", "key").agg(
-        F.min("label").alias("_lo"), F.max("label").alias("_hi"), F.ceil(F.sum("n") / BLOCK_KMERS).alias("_blocks")
-    )
-    spread = saved(spread.where("_lo <> _hi").select("t", "key", "_blocks"), "open-buckets")
-    members = inside.join(spread, ["t", "key"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("_blocks")))
-    open_nodes = members.select(F.col("node").alias("rid")).distinct()
-    signatures = texts.join(open_nodes, "rid", "left_semi").mapInArrow(_signatures(shingle), "node long, kmers binary, lost long")
-    signatures = saved(signatures, "signatures")
-    blocks = members.join(signatures, "node").groupBy("t", "key", "block").agg(F.collect_list(F.struct("node", "n", "label", "kmers", "lost")).alias("docs"))
-    blocks = saved(blocks, "blocks")
+    parts = F.ceil(F.greatest(F.sum("n") / BLOCK_KMERS, F.count(F.lit(1)) / BLOCK_DOCS))
+    spread = inside.groupBy("t", "key").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi"), parts.alias("_blocks"))
+    members = inside.join(spread.where("_lo <> _hi"), ["t", "key"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("_blocks")))
+    known = signatures
+    if refused is None:
+        known = known.withColumn("refused", F.lit(None).cast("array<long>"))
+    else:
+        known = known.join(refused.groupBy(F.col("a").alias("node")).agg(F.collect_list("b").alias("refused")), "node", "left")
+    docs = F.collect_list(F.struct("node", "n", "label", "kmers", "lost", "refused")).alias("docs")
+    blocks = saved(members.join(known, "node").groupBy("t", "key", "block").agg(docs), "blocks")
     left = blocks.select("t", "key", F.col("block").alias("x"), F.col("docs").alias("left"))
     right = blocks.select("t", "key", F.col("block").alias("y"), F.col("docs").alias("right"))
     # Both sides come straight from a written table, so Spark may split a hot bucket.
-    pairs = left.join(right, ["t", "key"]).where("x <= y").select("left", "right")
-    return pairs.mapInArrow(_block_pairs(least), "a long, b long").distinct()
+    rows = left.join(right, ["t", "key"]).where("x <= y").select("left", "right")
+    found = rows.mapInArrow(_best_pairs(least, slots), "label long, slot long, share double, a long, b long")
+    best = found.groupBy("label", "slot").agg(F.max(F.struct("share", "a", "b")).alias("_best"))
+    return saved(best.select("label", "_best.a", "_best.b"), "likest")
 
 
 @tidy
@@ -421,7 +451,8 @@ def near_duplicates(
     ``classes`` has one row a document: rid, doc_id, class_id (the smallest
     doc_id of its class), class_size, kept (one row of each class: that of the
     smallest doc_id, null last, then scan order).  ``links`` are the verified
-    pairs (a, b, similarity) of class representatives, by rid.
+    pairs (a, b, similarity) of class representatives, by rid, that connect the
+    classes.
 
     Documents of the same words are always of one class; one without words
     (null, empty, white space) is alone.  Repeated rows are documents of their
@@ -440,60 +471,45 @@ def near_duplicates(
     wanted = members.select(F.col("node").alias("rid")).distinct()
     texts = saved(chosen(rows, wanted).mapInArrow(_pack, "rid long, packed binary"), "texts")
 
-    tested = links = labels = None
-
-    def test(pairs: DataFrame) -> bool:
-        """Verify new pairs and merge components; False if there was none."""
-        nonlocal tested, links, labels
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+    # The hub of a bucket is its smallest node.
+    hubs = members.groupBy("t", "key").agg(F.min(F.struct("node", "n")).alias("hub"))
+    pairs = members.join(hubs, ["t", "key"]).where(F.col("node") != F.col("hub.node"))
+    # k-mer counts further apart than this cannot be similar enough.
+    pairs = pairs.where(F.least("n", "hub.n") >= least * F.greatest("n", "hub.n"))
+    pairs = pairs.select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct()
+    links = labels = refused = signatures = None
+    turn = 0
+    while True:
         pairs = saved(pairs, "pairs")
-        if pairs.isEmpty():
-            return False
-        tested = pairs if tested is None else tested.unionByName(pairs)
+        if turn and pairs.isEmpty():
+            break
         found = _verified(pairs, texts, shingle, least)
+        # Components so far are stars around their labels: no link is walked twice.
+        edges = found.select("a", "b")
+        labels = components(edges if labels is None else edges.unionByName(labels.select(F.col("label").alias("a"), F.col("v").alias("b"))))
         links = found if links is None else links.unionByName(found)
-        labels = components(links)
-        return True
-
-    def labelled_members() -> DataFrame:
-        if labels is None:
-            return members.withColumn("label", F.col("node"))
-        return members.join(labels, members["node"] == labels["v"], "left").select(*members.columns, F.coalesce("label", "node").alias("label"))
-
-    def sized(pairs: DataFrame) -> DataFrame:
-        # k-mer counts further apart than this cannot be similar enough.
-        return pairs.where(F.least("an", "bn") >= least * F.greatest("an", "bn"))
-
-    for turn in range(ROUNDS):
-        inside = labelled_members()
-        # The first round's hubs are the smallest nodes; later ones are drawn by hash.
-        rank = F.col("node") if turn == 0 else F.xxhash64("node", "t", F.lit(turn))
-        hubs = inside.groupBy("t", "key").agg(
-            F.min_by(F.struct("node", "n", "label"), rank).alias("hub"), F.min("label").alias("_lo"), F.max("label").alias("_hi")
-        )
-        hubs = saved(hubs.where("_lo <> _hi").select("t", "key", "hub"), "hubs")
-        pairs = inside.join(hubs, ["t", "key"]).where(F.col("label") != F.col("hub.label"))
-        pairs = sized(pairs.select(F.col("hub.node").alias("h"), F.col("node").alias("m"), F.col("hub.n").alias("an"), F.col("n").alias("bn")))
-        # Either end may be the smaller one; the hub stays first where it is.
-        pairs = pairs.select(F.least("h", "m").alias("a"), F.greatest("h", "m").alias("b")).distinct()
-        if not test(pairs):
-            break
-    test(across_components(labelled_members(), texts, shingle, least))
+        inside = members.join(labels, members["node"] == labels["v"], "left").select(*members.columns, F.coalesce("label", "node").alias("label"))
+        if signatures is None:
+            signatures = signed(inside, texts, shingle)
+        else:
+            failed = pairs.join(found, ["a", "b"], "left_anti")
+            refused = failed if refused is None else refused.unionByName(failed)
+        likest = across_components(inside, signatures, refused, least, SLOTS**turn)
+        # Only components that had a pair to take can have one after they are merged.
+        members = saved(inside.join(likest.select("label").distinct(), "label", "left_semi").select(members.columns), "members")
+        pairs = likest.select("a", "b").distinct()
+        turn += 1
 
     known = sketch.select("rid", "doc_id", "words", "n")
     named = known.where("n > 0").join(nodes.select("words", "node"), "words").select("rid", "doc_id", "node")
     alone = known.where("n = 0").select("rid", "doc_id", F.col("rid").alias("node"))
-    if labels is not None:
-        named = named.join(labels, named["node"] == labels["v"], "left").select("rid", "doc_id", F.coalesce("label", "node").alias("node"))
+    named = named.join(labels, named["node"] == labels["v"], "left").select("rid", "doc_id", F.coalesce("label", "node").alias("node"))
     placed = saved(named.unionByName(alone), "placed")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id"), F.col("rid"))).alias("first")
     classes = saved(placed.groupBy("node").agg(first, F.count(F.lit(1)).alias("class_size")), "classes")
     out = placed.join(classes, "node").select(
         "rid", "doc_id", F.col("first.doc_id").alias("class_id"), "class_size", (F.col("rid") == F.col("first.rid")).alias("kept")
     )
-    if links is None:
-        links = docs.sparkSession.createDataFrame([], "a long, b long, similarity double")
     return out, links
 
 

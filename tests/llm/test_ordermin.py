@@ -147,6 +147,40 @@ def test_groups_of_near_copies_and_a_shared_passage(spark, monkeypatch):
     check(spark, frame(spark, [doc(i, t) for i, t in enumerate(data)]))
 
 
+def test_each_component_takes_one_pair(spark, monkeypatch):
+    import zstandard
+
+    monkeypatch.setattr(om, "BLOCK_DOCS", 30)  # several blocks
+    rng = random.Random(5)
+    base = [f"w{rng.randint(0, 3000)}" for _ in range(150)]
+    docs = [edited(rng, base, 0.004) for _ in range(100)] + [[f"v{rng.randint(0, 3000)}" for _ in range(150)]]
+    texts = [(i, bytearray(zstandard.compress(" ".join(w).encode()))) for i, w in enumerate(docs)]
+    inside = spark.createDataFrame([(0, 1, i, len(grams(w)), i) for i, w in enumerate(docs)], "t int, key long, node long, n long, label long")
+    signatures = om.signed(inside, spark.createDataFrame(texts, "rid long, packed binary"), 5)
+    counts = [Counter(grams(w)) for w in docs]
+    alike = set()
+    for b in range(len(docs)):
+        for a in range(b):
+            most = (counts[a] & counts[b]).total()
+            if most / (counts[a].total() + counts[b].total() - most) >= 0.8:
+                alike.add((a, b))
+    assert len(alike) > 2000
+    got = [tuple(r) for r in om.across_components(inside, signatures, None, 0.8).collect()]
+    assert {x[0] for x in got} == {v for p in alike for v in p} and len(got) <= 100  # before: every pair
+    first = {x[1:] for x in got}
+    assert first <= alike
+    refused = spark.createDataFrame(sorted(first), "a long, b long")
+    again = [tuple(r)[1:] for r in om.across_components(inside, signatures, refused, 0.8, 1 << 40).collect()]
+    assert set(again) == alike - first
+
+
+def test_hub_of_another_size(spark):
+    base = [f"w{i}" for i in range(40)]
+    longer = base + [f"v{i}" for i in range(25)]
+    data = [" ".join(base), " ".join([*longer, "end"]), " ".join([*longer, "tail"])]
+    check(spark, frame(spark, [doc(i, t) for i, t in enumerate(data)]))
+
+
 def test_texts_are_found_without_a_shuffle(spark, monkeypatch):
     plans = {}
 
